@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from clusterloom.llm import packing, quality_rules, url_filters
+from clusterloom.llm import packing, quality_rules, token_counts, url_filters, warc
 
 
 def queries() -> dict:
     return {
         "op1_quality_rules": quality_rules.query,
         "op2_packing": packing.query,
+        "op3_warc": warc.query,
+        "op4_token_counts": token_counts.query,
         "op6_url_filters": url_filters.query,
     }
 
@@ -16,5 +18,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": quality_rules.SQL,
+        "op3_warc": warc.SQL,
         "op6_url_filters": url_filters.SQL,
     }
