@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from clusterloom.llm import packing, quality_rules, token_counts, url_filters, warc
+from clusterloom.llm import ngram_join, packing, quality_rules, token_counts, url_filters, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_packing": packing.query,
         "op3_warc": warc.query,
         "op4_token_counts": token_counts.query,
+        "op5_ngram_join": ngram_join.query,
         "op6_url_filters": url_filters.query,
     }
 
