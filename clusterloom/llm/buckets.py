@@ -19,10 +19,11 @@ HELD = 3_000_000
 class Packer:
     """Deals (signature, id) over parts as packed rows (part, signatures, ids): 6 bytes a signature, 8 an id and 2 a
     count. The top bits of a signature choose the part, 48 others are kept, so rare false partners arise; callers
-    verify pairs. Of a signature with more than LARGE ids in one task, LARGE + 1 go out: it is large anyway."""
+    verify pairs. Of a signature with more than LARGE ids in one task, LARGE + 1 go out: it is large anyway. With
+    pair_large all go out."""
 
-    def __init__(self, parts: int):
-        self.parts, self.sigs, self.ids, self.n = parts, [], [], 0
+    def __init__(self, parts: int, pair_large: bool = False):
+        self.parts, self.sigs, self.ids, self.n, self.pair_large = parts, [], [], 0, pair_large
 
     def add(self, sigs: np.ndarray, id_: int) -> pa.RecordBatch | None:
         self.sigs.append(sigs)
@@ -37,13 +38,14 @@ class Packer:
         ids = np.array([i for i, _ in self.ids], dtype=np.int64)
         of = np.repeat(np.arange(len(ids), dtype=np.int64), [n for _, n in self.ids])
         self.sigs, self.ids, self.n = [], [], 0
-        order = np.argsort(sig, kind="stable")
-        run = sig[order]
-        begin = np.concatenate([[True], run[1:] != run[:-1]])
-        place = np.arange(len(run)) - np.maximum.accumulate(np.where(begin, np.arange(len(run)), 0))
-        kept = order[place <= LARGE]
-        kept.sort()
-        sig, of = sig[kept], of[kept]
+        if not self.pair_large:
+            order = np.argsort(sig, kind="stable")
+            run = sig[order]
+            begin = np.concatenate([[True], run[1:] != run[:-1]])
+            place = np.arange(len(run)) - np.maximum.accumulate(np.where(begin, np.arange(len(run)), 0))
+            kept = order[place <= LARGE]
+            kept.sort()
+            sig, of = sig[kept], of[kept]
         part = part_of(sig, self.parts)
         order = np.argsort(part, kind="stable")  # inside a part, by id as before
         sig, of, part = sig[order], of[order], part[order]
@@ -74,9 +76,12 @@ def low_bits(sig: np.ndarray) -> np.ndarray:
     return sig & U((1 << 48) - 1)
 
 
-def bucket_pairs(packed: DataFrame) -> DataFrame:
+def bucket_pairs(packed: DataFrame, pair_large: bool = False) -> DataFrame:
     """(a, b, kind): of packed rows, kind 0: a < b are ids that share a bucket of at most LARGE; kind 1: a is the part
-    and b the low bits of the signature of a large bucket. A pair comes once from each part at most."""
+    and b the low bits of the signature of a large bucket. A pair comes once from each part at most.
+
+    With pair_large, large buckets give pairs instead: each id with the next one, and with one that the signature
+    chooses; so their number grows with the bucket, not with its square."""
 
     def reduce(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
@@ -105,8 +110,12 @@ def bucket_pairs(packed: DataFrame) -> DataFrame:
             if len(begin := at[size == n]):
                 i, j = np.triu_indices(n, 1)
                 pairs.append(np.unique(np.stack([own[begin[:, None] + i].ravel(), own[begin[:, None] + j].ravel()], axis=1).view([("a", np.int64), ("b", np.int64)])).view(np.int64).reshape(-1, 2))
+        for k in np.flatnonzero(size > LARGE) if pair_large else ():
+            ids = own[at[k] : at[k] + size[k]]
+            chosen = ids[int(sig[at[k]]) % len(ids)]
+            pairs += [np.stack([ids[:-1], ids[1:]], axis=1), np.stack([np.minimum(ids, chosen), np.maximum(ids, chosen)], axis=1)[ids != chosen]]
         found = np.unique(np.concatenate(pairs).view([("a", np.int64), ("b", np.int64)])).view(np.int64).reshape(-1, 2)
-        large = sig[at[size > LARGE]].astype(np.int64)
+        large = sig[at[size > LARGE]].astype(np.int64) if not pair_large else np.zeros(0, np.int64)
         return pa.table(
             {
                 "a": np.concatenate([found[:, 0], np.full(len(large), part, dtype=np.int64)]),
