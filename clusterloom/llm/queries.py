@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from clusterloom.llm import line_dedup, ngram_join, packing, quality_rules, token_counts, url_filters, warc
+from clusterloom.llm import decontaminate, line_dedup, ngram_join, packing, quality_rules, token_counts, url_filters, warc
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_ngram_join": ngram_join.query,
         "op6_url_filters": url_filters.query,
         "op8_line_dedup": line_dedup.query,
+        "op9_decontamination": decontaminate.query,
     }
 
 
