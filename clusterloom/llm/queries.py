@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from clusterloom.llm import decontaminate, line_dedup, ngram_join, packing, quality_rules, token_counts, url_filters, warc
+from clusterloom.llm import decontaminate, line_dedup, ngram_join, packing, quality_model, quality_rules, token_counts, url_filters, warc
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_token_counts": token_counts.query,
         "op5_ngram_join": ngram_join.query,
         "op6_url_filters": url_filters.query,
+        "op7_quality_model": quality_model.query,
         "op8_line_dedup": line_dedup.query,
         "op9_decontamination": decontaminate.query,
     }
