@@ -13,7 +13,7 @@ U = np.uint64
 #: Buckets of more ids than this are large: they are named, not paired.
 LARGE = 48
 #: Signatures that a task holds before it deals them out.
-HELD = 3_000_000
+HELD = 1_000_000
 
 
 class Packer:
