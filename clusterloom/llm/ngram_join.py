@@ -319,3 +319,11 @@ def linked_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
 def query(spark, sf_dir: str) -> DataFrame:
     return linked_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+def distinct(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, words: int = 5) -> DataFrame:
+    """docs with its own columns, one document of each component: the one with the smallest id. Repeated rows of an id
+    are one document; rows without an id stay if nothing with an id links with them."""
+    found = linked_components(docs, doc_id, text, words=words)
+    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay_id")).distinct()
+    return docs.join(stay, docs[f"`{doc_id}`"].eqNullSafe(stay["_stay_id"]), "left_semi")
