@@ -93,7 +93,7 @@ def gram_set(text: bytes) -> set:
 
 def _fresh(keys: np.ndarray, seen: set) -> np.ndarray:
     """Places of the keys that the task has not met lately, each once."""
-    if len(seen) > 2_000_000:
+    if len(seen) > 300_000:
         seen.clear()
     _, at = np.unique(keys, return_index=True)
     out = [i for i in at.tolist() if int(keys[i]) not in seen]
@@ -157,21 +157,24 @@ def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept, last, own_set = [], None, set()
-            for i, (a, x, y) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                short, long = sorted((len(x), len(y)))
-                if a != last:
-                    last, own_set = a, gram_set(x)
-                other = gram_set(y)
-                common = len(own_set & other)
-                if common >= similarity * (len(own_set) + len(other) - common):
+            kept, sets = [], {}
+            for i, (a, b, x, y) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(4)))):
+                if (p := sets.get(a)) is None:
+                    p = sets[a] = gram_set(x)
+                if (q := sets.get(b)) is None:
+                    q = sets[b] = gram_set(y)
+                common = len(p & q)
+                if common >= similarity * (len(p) + len(q) - common):
                     kept.append(i)
+                if len(sets) > 2000:
+                    sets.clear()
             yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(kept, pa.int64())) for i in (0, 1)], names=["a", "b"])
 
     chars = stored(own.mapInArrow(texts, "key long, chars binary").groupBy("key").agg(F.first("chars").alias("chars")), "texts")
     left, right = chars.select(F.col("key").alias("a"), F.col("chars").alias("ca")), chars.select(F.col("key").alias("b"), F.col("chars").alias("cb"))
     links = pairs.join(left, "a").join(right, "b").select("a", "b", "ca", "cb").mapInArrow(check, "a long, b long")
-    known = components(links)
+    # Stored, so that no task needs the workers of two steps at once.
+    known = components(stored(links, "links"))
     # The line that stays in each component; components of one key matter only if the line occurs again.
     grouped = firsts.join(known.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     kept = grouped.groupBy("component").agg(F.min("first").alias("stays"), F.sum("n").alias("m")).where("m > 1").select("component", "stays")
