@@ -76,12 +76,13 @@ def low_bits(sig: np.ndarray) -> np.ndarray:
     return sig & U((1 << 48) - 1)
 
 
-def bucket_pairs(packed: DataFrame, pair_large: bool = False) -> DataFrame:
+def bucket_pairs(packed: DataFrame, pair_large: bool = False, most: int | None = None) -> DataFrame:
     """(a, b, kind): of packed rows, kind 0: a < b are ids that share a bucket of at most LARGE; kind 1: a is the part
     and b the low bits of the signature of a large bucket. A pair comes once from each part at most.
 
     With pair_large, large buckets give pairs instead: each id with the next one, and with one that the signature
-    chooses; so their number grows with the bucket, not with its square."""
+    chooses; so their number grows with the bucket, not with its square. most: LARGE, unless given."""
+    most = LARGE if most is None else most
 
     def reduce(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
@@ -106,16 +107,16 @@ def bucket_pairs(packed: DataFrame, pair_large: bool = False) -> DataFrame:
         at = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
         size = np.diff(np.concatenate([at, [len(sig)]]))
         pairs = [np.zeros((0, 2), np.int64)]
-        for n in range(2, LARGE + 1):
+        for n in range(2, most + 1):
             if len(begin := at[size == n]):
                 i, j = np.triu_indices(n, 1)
                 pairs.append(np.unique(np.stack([own[begin[:, None] + i].ravel(), own[begin[:, None] + j].ravel()], axis=1).view([("a", np.int64), ("b", np.int64)])).view(np.int64).reshape(-1, 2))
-        for k in np.flatnonzero(size > LARGE) if pair_large else ():
+        for k in np.flatnonzero(size > most) if pair_large else ():
             ids = own[at[k] : at[k] + size[k]]
             chosen = ids[int(sig[at[k]]) % len(ids)]
             pairs += [np.stack([ids[:-1], ids[1:]], axis=1), np.stack([np.minimum(ids, chosen), np.maximum(ids, chosen)], axis=1)[ids != chosen]]
         found = np.unique(np.concatenate(pairs).view([("a", np.int64), ("b", np.int64)])).view(np.int64).reshape(-1, 2)
-        large = sig[at[size > LARGE]].astype(np.int64) if not pair_large else np.zeros(0, np.int64)
+        large = sig[at[size > most]].astype(np.int64) if not pair_large else np.zeros(0, np.int64)
         return pa.table(
             {
                 "a": np.concatenate([found[:, 0], np.full(len(large), part, dtype=np.int64)]),

@@ -19,6 +19,8 @@ U = np.uint64
 GRAM, SHORTEST = 5, 20
 #: Bands and their rows. At a similarity of 0.85, 999 of 1000 pairs share a band; at 0.8, 996.
 BANDS, ROWS = 8, 3
+#: Lines of a bucket whose pairs are all candidates; in larger ones, neighbours and one line that the band chooses.
+PAIRED = 12
 _rng = np.random.Generator(np.random.PCG64(77))
 _A = (_rng.integers(1, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2)) + np.uint32(1)
 _X = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
@@ -142,7 +144,7 @@ def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "version", "line")
     firsts = stored(lines.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n")), "lines")
     parts = int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), firsts.count() * BANDS // 3_000_000))
-    pairs = stored(bucket_pairs(own.mapInArrow(sign, PACKED), pair_large=True).select("a", "b").distinct(), "pairs")
+    pairs = stored(bucket_pairs(own.mapInArrow(sign, PACKED), pair_large=True, most=PAIRED).select("a", "b").distinct(), "pairs")
     bloom = Bloom.of(pairs.select(F.explode(F.array("a", "b")).alias("key")), "key")
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
