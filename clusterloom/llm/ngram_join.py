@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from clusterloom.llm.buckets import PACKED, Bloom, Packer, bucket_pairs, low_bits, part_of
 from clusterloom.llm.common import pick, stored
@@ -59,8 +60,8 @@ def _level(s: np.ndarray, level: int) -> np.ndarray:
     return s if level == 0 else np.sort(mix(s ^ U(level * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)))
 
 
-def signed(s: np.ndarray) -> list[tuple[np.ndarray, int]]:
-    """(signatures, T) of a sorted set, a pair for each key and level: any set that links with it shares T of them or
+def signed(s: np.ndarray) -> list[tuple[np.ndarray, int, int]]:
+    """(signatures, T, tag) of a sorted set, for each key and level, which the tag numbers: any set that links with it shares T of them or
     more, under one of its keys, at the first level where either T is positive."""
     n, out = len(s), []
     if not n:
@@ -68,7 +69,7 @@ def signed(s: np.ndarray) -> list[tuple[np.ndarray, int]]:
     if n <= SMALL + SIGNED_TOO:
         e = mix(s + U(0x51ED270B))
         sums = [e[list(c)].sum(dtype=np.uint64) for size in range(-(-3 * n // 4), min(n, SMALL) + 1) for c in combinations(range(n), size)]
-        out.append((mix(np.array(sums, dtype=np.uint64)), 1))
+        out.append((mix(np.array(sums, dtype=np.uint64)), 1, 0))
     if n <= SMALL:
         return out
     own = bisect_right(BANDS, n) - 1
@@ -87,7 +88,7 @@ def signed(s: np.ndarray) -> list[tuple[np.ndarray, int]]:
             if shared <= 0 and level == LEVELS - 1:  # a chance of one in many millions: parts that are empty in both
                 empty = np.setdiff1d(np.arange(n1, dtype=np.uint64), at[begin])
                 sig = np.concatenate([sig, mix(mix(empty | key))])
-            out.append((sig, shared))
+            out.append((sig, shared, (j << 3 | level) + 1))
             if shared > 0:
                 break
     return out
@@ -99,9 +100,9 @@ def class_of(s: np.ndarray) -> int:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """Parities of the set over 2^m bits, about one a feature: two sets differ in as many features at least as their
+    """Parities of the set over 2^m bits, four to eight a feature: two sets differ in as many features at least as their
     sketches differ in bits. A sketch folds to half its length by xor of its halves."""
-    m = max(6, int(len(s)).bit_length())
+    m = max(6, int(len(s)).bit_length() + 2)
     bits = np.bincount((mix(s + U(0x7F4A7C15)) & U((1 << m) - 1)).astype(np.int64), minlength=1 << m) & 1
     return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
 
@@ -159,7 +160,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, words:
             if len(seen) > 1_000_000:
                 seen.clear()
             seen.add(c)
-            if out := packer.add(np.concatenate([sig for sig, _ in signed(s)]), c):
+            if out := packer.add(np.concatenate([sig for sig, _, _ in signed(s)]), c):
                 yield out
         if out := packer.flush():
             yield out
@@ -174,12 +175,14 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, words:
         links = _verified(own, pairs.union(stars).distinct(), classes, words)
         # Where one representative did not join the whole bucket, compare members of different components.
         known = components(links)
-        rest = rest.join(known.withColumnRenamed("node", "cls"), "cls", "left").select("sig", "cls", "t", F.coalesce("component", "cls").alias("comp"))
+        rest = rest.join(known.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
         apart = rest.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("m")).where("low <> high")
         rest = rest.join(apart.select("sig", "m"), "sig")
-        # The rule of T again: buckets that are one component by now can't add a link.
-        still = rest.groupBy("cls").agg(F.count("*").alias("h"), F.min("t").alias("t_least")).where("h >= t_least").select("cls")
-        rest = rest.join(still, "cls")
+        # A partner of another component shares T signatures of a tag or more, and none outside the buckets that are
+        # left: so each set can do without T - 1 of them, those of the largest buckets.
+        order = Window.partitionBy("cls", "tag").orderBy("m", "sig")
+        rest = rest.withColumns({"at": F.row_number().over(order), "h": F.count("*").over(Window.partitionBy("cls", "tag"))})
+        rest = stored(rest.where("at <= h - t + 1").select("sig", "cls", "comp"), "large")
         more = stored(_blocks(rest, classes), "pairs")
         if not more.isEmpty():
             links = stored(links.union(_verified(own, more.distinct(), classes, words)).distinct(), "links")
@@ -189,8 +192,8 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, words:
 
 
 def _rest(own: DataFrame, large: DataFrame, parts: int, words: int) -> DataFrame:
-    """(sig, cls, t): the large buckets' members that may share no smaller bucket with a partner. A Bloom filter names
-    the large signatures; a false one can only add rows."""
+    """(sig, cls, t, tag): the large buckets' members that may share no smaller bucket with a partner. A Bloom filter
+    names the large signatures; a false one can only add rows."""
     bloom = Bloom.of(large, "b")
 
     def run(batches):
@@ -201,10 +204,10 @@ def _rest(own: DataFrame, large: DataFrame, parts: int, words: int) -> DataFrame
             if len(seen) > 1_000_000:
                 seen.clear()
             seen.add(c)
-            for sig, shared in signed(s):
+            for sig, shared, tag in signed(s):
                 hot = sig[bloom.has(low_bits(sig))]
                 if len(hot) >= max(1, shared):
-                    rows.append((hot, c, max(1, shared)))
+                    rows.append((hot, c, max(1, shared), tag))
             if len(rows) > 2000:
                 yield _long(rows)
                 rows = []
@@ -212,13 +215,14 @@ def _rest(own: DataFrame, large: DataFrame, parts: int, words: int) -> DataFrame
             yield _long(rows)
 
     def _long(rows):
-        n = [len(h) for h, _, _ in rows]
-        hot = np.concatenate([h for h, _, _ in rows])
-        cols = [hot.view(np.int64), np.repeat([c for _, c, _ in rows], n), np.repeat([t for _, _, t in rows], n).astype(np.int64), part_of(hot, parts).astype(np.int64), low_bits(hot).astype(np.int64)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["sig", "cls", "t", "a", "b"])
+        n = [len(r[0]) for r in rows]
+        hot = np.concatenate([r[0] for r in rows])
+        own = [np.repeat(np.array([r[k] for r in rows], dtype=np.int64), n) for k in (1, 2, 3)]
+        cols = [hot.view(np.int64), *own, part_of(hot, parts).astype(np.int64), low_bits(hot).astype(np.int64)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["sig", "cls", "t", "tag", "a", "b"])
 
-    out = own.mapInArrow(run, "sig long, cls long, t long, a long, b long").dropDuplicates(["sig", "cls"])
-    return out.join(large.select("a", "b").distinct(), ["a", "b"], "left_semi").select("sig", "cls", "t")
+    out = own.mapInArrow(run, "sig long, cls long, t long, tag long, a long, b long").dropDuplicates(["sig", "cls"])
+    return out.join(large.select("a", "b").distinct(), ["a", "b"], "left_semi").select("sig", "cls", "t", "tag")
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,15 +277,19 @@ def _verified(own: DataFrame, pairs: DataFrame, classes: DataFrame, words: int)
 
 
 def _blocks(rest: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs of members of a bucket, of different components, whose sketches allow a link. rest: sig, cls, comp, m.
+    """Pairs of members of a bucket, of different components, whose sketches allow a link. rest: sig, cls, comp.
 
-    A bucket of m members has blocks of BLOCK; each member goes to the pairs of its block with every block, so a task
-    holds two blocks, however large the bucket.
+    Members of the component that the bucket's first member has are not compared with each other. All others are, with
+    every member: both sides have blocks of BLOCK, and a task holds one of each, however large the bucket is.
     """
-    n = F.ceil(F.col("m") / BLOCK).cast("int")
-    dealt = rest.join(classes, "cls").withColumn("i", F.pmod(F.xxhash64("cls"), n).cast("int"))
-    dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), n - 1)))
-    dealt = dealt.select("sig", "cls", "comp", "n", "sketch", "i", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"))
+    main = rest.groupBy("sig").agg(F.min_by("comp", "cls").alias("main"), F.count("*").alias("m"))
+    both = rest.join(main, "sig")
+    others = both.where("comp <> main").groupBy("sig").agg(F.count("*").alias("k"))
+    both = both.join(others, "sig").join(classes, "cls")
+    left_blocks, right_blocks = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("k", "m"))
+    shared = ["sig", "cls", "comp", "n", "sketch"]
+    left = both.where("comp <> main").select(*shared, F.lit(True).alias("left"), F.pmod(F.xxhash64("cls"), left_blocks).cast("int").alias("x"), F.explode(F.sequence(F.lit(0), right_blocks - 1)).alias("y"))
+    right = both.select(*shared, F.lit(False).alias("left"), F.explode(F.sequence(F.lit(0), left_blocks - 1)).alias("x"), F.pmod(F.xxhash64("cls"), right_blocks).cast("int").alias("y"))
 
     def run(table: pa.Table) -> pa.Table:
         cls, comp, size = (table.column(c).to_numpy() for c in ("cls", "comp", "n"))
@@ -294,16 +302,19 @@ def _blocks(rest: DataFrame, classes: DataFrame) -> DataFrame:
                 v = v[: len(v) // 2] ^ v[len(v) // 2 :]
             bits[k] = v
         words = bits.view(np.uint64)
+        is_left = np.array(table.column("left").to_pylist())
+        mine, theirs = np.flatnonzero(is_left), np.flatnonzero(~is_left)
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for k in range(len(cls) - 1):
-            differ = np.bitwise_count(words[k + 1 :] ^ words[k]).sum(axis=1, dtype=np.int64)
-            s, t = size[k + 1 :], size[k]
-            hit = np.flatnonzero((7 * differ <= s + t) & (4 * np.minimum(s, t) >= 3 * np.maximum(s, t)) & (comp[k + 1 :] != comp[k])) + k + 1
+        for k in mine:
+            s, t = size[theirs], size[k]
+            maybe = theirs[(4 * np.minimum(s, t) >= 3 * np.maximum(s, t)) & (comp[theirs] != comp[k])]
+            differ = np.bitwise_count(words[maybe] ^ words[k]).sum(axis=1, dtype=np.int64)
+            hit = maybe[7 * differ <= size[maybe] + t]
             a.append(np.minimum(cls[hit], cls[k]))
             b.append(np.maximum(cls[hit], cls[k]))
         return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
-    return dealt.groupBy("sig", "x", "y").applyInArrow(run, "a long, b long")
+    return left.unionByName(right).groupBy("sig", "x", "y").applyInArrow(run, "a long, b long")
 
 
 def linked_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, words: int = 5) -> DataFrame:

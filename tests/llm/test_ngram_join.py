@@ -81,8 +81,8 @@ def test_linked_sets_share_a_signature():
             continue
         assert ngram_join.sketches_near(ngram_join.sketch(s), len(s), ngram_join.sketch(t), len(t))
         a, b = ngram_join.signed(s), ngram_join.signed(t)
-        assert set(np.concatenate([x for x, _ in a]).tolist()) & set(np.concatenate([x for x, _ in b]).tolist())
-        shared = [len(set(x.tolist()) & set(y.tolist())) for x, _ in a for y, _ in b]
+        assert set(np.concatenate([x for x, _, _ in a]).tolist()) & set(np.concatenate([x for x, _, _ in b]).tolist())
+        shared = [len(set(x.tolist()) & set(y.tolist())) for x, _, _ in a for y, _, _ in b]
         assert max(shared) >= 1
 
 
