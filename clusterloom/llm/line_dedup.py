@@ -16,9 +16,10 @@ from clusterloom.llm.hashing import _PLACES, _powers, mix, slices
 
 U = np.uint64
 #: Characters of a shingle, and of a line at least: shorter ones are never removed.
-GRAM, SHORTEST = 5, 20
-#: Bands and their rows. At a similarity of 0.85, 999 of 1000 pairs share a band; at 0.8, 996.
-BANDS, ROWS = 8, 3
+GRAM, SHORTEST = 8, 20
+#: Bands and their rows. At a similarity of 0.8, 999 of 1000 pairs share a band; at 0.75, 995. Lines of one language
+#: have similarities of some hundredths; four rows leave next to no such pair as a candidate.
+BANDS, ROWS = 14, 4
 #: Lines of a bucket whose pairs are all candidates; in larger ones, neighbours and one line that the band chooses.
 PAIRED = 12
 _rng = np.random.Generator(np.random.PCG64(77))
@@ -84,13 +85,13 @@ class Lines:
             out[:, b] = h
         return out
 
-    def text(self, i: int) -> bytes:
-        return self.chars[self.starts[i] : self.ends[i]].tobytes()
+    def text(self, i: int) -> str:
+        return self.chars[self.starts[i] : self.ends[i]].tobytes().decode("utf-32-le")
 
 
-def gram_set(text: bytes) -> set:
-    """The distinct shingles of a line given as UTF-32."""
-    return {text[i : i + 4 * GRAM] for i in range(0, len(text) - 4 * GRAM + 1, 4)}
+def gram_set(text: str) -> set:
+    """The distinct shingles of a line."""
+    return {text[i : i + GRAM] for i in range(len(text) - GRAM + 1)}
 
 
 def _fresh(keys: np.ndarray, seen: set) -> np.ndarray:
@@ -103,7 +104,7 @@ def _fresh(keys: np.ndarray, seen: set) -> np.ndarray:
     return np.array(sorted(out), dtype=np.int64)
 
 
-def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, similarity: float = 0.8) -> DataFrame:
+def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, similarity: float = 0.75) -> DataFrame:
     """(doc_id, version, lines): for each document that loses lines, their numbers from 0, ascending.
 
     Lines are what stands between newlines. Two lines link when they are equal, A-Z in lower case, or when the Jaccard
@@ -155,7 +156,7 @@ def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 at = np.flatnonzero(bloom.has(x.keys))
                 chosen = at[_fresh(x.keys[at], seen)] if len(at) else at
                 if len(chosen):
-                    yield pa.RecordBatch.from_arrays([pa.array(x.keys[chosen].view(np.int64)), pa.array([x.text(i) for i in chosen.tolist()], pa.binary())], names=["key", "chars"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x.keys[chosen].view(np.int64)), pa.array([x.text(i) for i in chosen.tolist()], pa.string())], names=["key", "chars"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,7 +173,7 @@ def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     sets.clear()
             yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(kept, pa.int64())) for i in (0, 1)], names=["a", "b"])
 
-    chars = stored(own.mapInArrow(texts, "key long, chars binary").groupBy("key").agg(F.first("chars").alias("chars")), "texts")
+    chars = stored(own.mapInArrow(texts, "key long, chars string").groupBy("key").agg(F.first("chars").alias("chars")), "texts")
     left, right = chars.select(F.col("key").alias("a"), F.col("chars").alias("ca")), chars.select(F.col("key").alias("b"), F.col("chars").alias("cb"))
     links = pairs.join(left, "a").join(right, "b").select("a", "b", "ca", "cb").mapInArrow(check, "a long, b long")
     # Stored, so that no task needs the workers of two steps at once.

@@ -5,10 +5,10 @@ from clusterloom.llm import line_dedup
 
 def grams(s):
     s = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in s)
-    return {s[i : i + 5] for i in range(len(s) - 4)}
+    return {s[i : i + line_dedup.GRAM] for i in range(len(s) - line_dedup.GRAM + 1)}
 
 
-def brute(rows, similarity=0.8):
+def brute(rows, similarity=0.75):
     lines = [(d, n, ln) for d, t in rows for n, ln in enumerate((t or "").split("\n")) if t is not None and len(ln) >= 20]
     lines.sort(key=lambda x: (x[0] is None, x[0] or 0, x[1]))
     root = list(range(len(lines)))
