@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from clusterloom.llm import decontaminate, line_dedup, ngram_join, packing, quality_model, quality_rules, token_counts, url_filters, warc
+from clusterloom.llm import decontaminate, line_dedup, ngram_join, packing, quality_model, quality_rules, token_counts, token_store, url_filters, warc
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op7_quality_model": quality_model.query,
         "op8_line_dedup": line_dedup.query,
         "op9_decontamination": decontaminate.query,
+        "op10_token_store": token_store.query,
     }
 
 
