@@ -47,14 +47,19 @@ def correlations(pairs: DataFrame, by: list[str], x: str = "x", y: str = "y") ->
     full = pairs.select(*by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).na.drop(subset=["x", "y"])
     ranked = full.withColumns({"rx": average_rank(by, "x"), "ry": average_rank(by, "y")})
     out = ranked.groupBy(*by).agg(
-        F.count("*").alias("n"), F.corr("x", "y").alias("pearson_r"), F.corr("rx", "ry").alias("spearman_r"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy")
-    ).where("n >= 3 and sx > 0 and sy > 0")
+        F.count("*").alias("n"), *[F.stddev_pop(c).alias(f"s_{c}") for c in ("x", "y", "rx", "ry")], F.covar_pop("x", "y").alias("c"), F.covar_pop("rx", "ry").alias("rc")
+    ).where("n >= 3 and s_x > 0 and s_y > 0")
+    # Not corr(), which fails on constant sides in ANSI mode before they can be left out.
+    out = out.withColumns({"pearson_r": F.col("c") / (F.col("s_x") * F.col("s_y")), "spearman_r": F.col("rc") / (F.col("s_rx") * F.col("s_ry"))})
     return out.select(*by, "n", "pearson_r", p_value(F.col("pearson_r"), F.col("n")).alias("pearson_p"), "spearman_r", p_value(F.col("spearman_r"), F.col("n")).alias("spearman_p"))
 
 
 def regression(pairs: DataFrame, by: list[str], x: str = "x", y: str = "y") -> DataFrame:
     """(by..., slope, intercept) of the least-squares line; null if x is constant."""
-    return pairs.groupBy(*by).agg(F.regr_slope(F.col(y), F.col(x)).alias("slope"), F.regr_intercept(F.col(y), F.col(x)).alias("intercept"))
+    full = pairs.select(*by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).na.drop(subset=["x", "y"])
+    sums = full.groupBy(*by).agg(F.covar_pop("x", "y").alias("c"), F.var_pop("x").alias("v"), F.avg("x").alias("mx"), F.avg("y").alias("my"))
+    slope = F.when(F.col("v") > 0, F.col("c") / F.col("v"))
+    return sums.select(*by, slope.alias("slope"), (F.col("my") - slope * F.col("mx")).alias("intercept"))
 
 
 def min_max(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:

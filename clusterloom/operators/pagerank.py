@@ -57,11 +57,11 @@ def _written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def by_dataframes(nodes: DataFrame, pairs: DataFrame, alpha: float = 0.85, tol: float | None = 1e-6, most: int = 1000, every: int = 5) -> DataFrame:
+def by_dataframes(nodes: DataFrame, pairs: DataFrame, alpha: float = 0.85, tol: float | None = 1e-6, most: int = 1000) -> DataFrame:
     """The same recurrence as joins and sums over all clusters at once, for clusters of any size.
 
-    Each step shuffles ranks by node; the mass of nodes without edges is summed by cluster. Ranks are stored every few
-    steps; clusters that have converged keep their ranks. Only the number of clusters still moving gets to the driver.
+    Each step shuffles ranks by node; the mass of nodes without edges is summed by cluster. Each step's ranks are
+    stored, since the next one reads them several times; clusters that have converged keep their ranks. Only the number of clusters still moving gets to the driver.
     """
     both = symmetric(pairs)
     out = both.groupBy("label", "src").agg(F.sum("weight").alias("out"))
@@ -70,7 +70,7 @@ def by_dataframes(nodes: DataFrame, pairs: DataFrame, alpha: float = 0.85, tol:
     bare = out.select("label", F.col("src").alias("doc_id"), F.lit(False).alias("lost"))
     ranks = nodes.join(sizes, "label").join(bare, ["label", "doc_id"], "left").select("label", "doc_id", "n", F.coalesce("lost", F.lit(True)).alias("lost"), (1 / F.col("n")).alias("x"), F.lit(False).alias("still"))
     ranks = _written(ranks)
-    for step in range(1, most + 1):
+    for _ in range(most):
         sent = moves.join(ranks.select("label", F.col("doc_id").alias("src"), "x"), ["label", "src"]).groupBy("label", F.col("dst").alias("doc_id")).agg(F.sum(F.col("share") * F.col("x")).alias("got"))
         lost = ranks.groupBy("label").agg(F.sum(F.when(F.col("lost"), F.col("x")).otherwise(0.0)).alias("mass"))
         new = alpha * F.coalesce("got", F.lit(0.0)) + (alpha * F.col("mass") + 1 - alpha) / F.col("n")
@@ -78,11 +78,9 @@ def by_dataframes(nodes: DataFrame, pairs: DataFrame, alpha: float = 0.85, tol:
         if tol is not None:
             done = moved.groupBy("label").agg((F.sum("change") < F.first("n") * tol).alias("done"))
             moved = moved.join(done, "label").withColumn("still", F.col("still") | F.col("done"))
-        ranks = moved.select("label", "doc_id", "n", "lost", "x", "still")
-        if step % every == 0 or step == most:
-            ranks = _written(ranks)
-            if tol is not None and ranks.where("not still").isEmpty():
-                break
+        ranks = _written(moved.select("label", "doc_id", "n", "lost", "x", "still"))
+        if tol is not None and ranks.where("not still").isEmpty():
+            break
     return ranks.select("label", "doc_id", F.col("x").alias("pagerank_score"))
 
 
