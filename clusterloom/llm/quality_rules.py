@@ -68,32 +68,13 @@ def _line_passes(line: Column, max_symbol_share: float, menu_words: int) -> Colu
     return punctuation & ~navigation & ~line.rlike(BOILERPLATE)
 
 
-def judge(
-    docs: DataFrame,
-    text: str = "text",
-    prefix: str = "_q_",
-    *,
-    max_loss: float = 0.5,
-    max_symbol_share: float = 0.3,
-    menu_words: int = 3,
-    min_words: int = 10,
-    max_repeat_percent: int = 20,
-) -> DataFrame:
-    """All of docs' columns and rows, plus the rules' findings under ``prefix``.
+#: What findings() gives.
+NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "clean", "n_lines", "n_bad_lines", "lost")
 
-    prefix + n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed, kept (boolean),
-    clean (the text without the lines that fail; blank lines stay), n_lines, n_bad_lines, lost (share of the
-    word characters on failing lines).
 
-    Null texts count as empty: no words, so base_failed and not kept. Empty and blank texts the same. Repeated
-    rows are judged alike, an empty table gives none, and columns whose names clash with the results can be
-    avoided by another prefix (a clash is an error, never silent).
-    """
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "clean", "n_lines", "n_bad_lines", "lost")
-    if clash := {prefix + n for n in names} & set(docs.columns):
-        raise ValueError(f"columns {sorted(clash)} exist; choose another prefix")
-    raw = F.coalesce(docs[f"`{text}`"], F.lit(""))
-    visible = F.char_length(_without(raw, SPACES)).cast("long")
+def findings(text: Column, max_loss: float = 0.5, max_symbol_share: float = 0.3, menu_words: int = 3, min_words: int = 10, max_repeat_percent: int = 20) -> Column:
+    """All that the rules find in a text, as one struct with the fields NAMES."""
+    raw = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(raw, "\n"), lambda x: F.length(_without(x, SPACES)) > 0)
 
     def of_words(w: Column) -> Column:
@@ -101,51 +82,57 @@ def judge(
 
     def of_lines(ls: Column) -> Column:
         good = F.filter(ls, lambda x: _line_passes(x, max_symbol_share, menu_words))
-        return F.struct(
-            F.size(ls).cast("long").alias("n_lines"),
-            (F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("n_dup_lines"),
-            good.alias("good"),
-        )
-
-    found = F.struct(
-        visible.alias("word_chars"),
+        return F.struct(F.size(ls).cast("long").alias("n_lines"), (F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("n_dup_lines"), F.size(good).cast("long").alias("n_good"), F.array_join(good, "\n").alias("clean"))
+
+    def verdict(f: Column) -> Column:
+        failed = (f["w"]["n_words"] < min_words) | (100 * f["w"]["n_repeat_words"] > max_repeat_percent * f["w"]["n_words"])
+        good_chars = F.char_length(_without(f["l"]["clean"], SPACES))
+        lost = F.when(f["word_chars"] > 0, 1 - good_chars / f["word_chars"]).otherwise(1.0)
+        found = {
+            "n_words": f["w"]["n_words"], "word_chars": f["word_chars"], "n_symbols": f["n_symbols"], "n_dup_lines": f["l"]["n_dup_lines"], "n_repeat_words": f["w"]["n_repeat_words"],
+            "base_failed": failed, "kept": ~failed & (lost <= max_loss), "clean": f["l"]["clean"], "n_lines": f["l"]["n_lines"], "n_bad_lines": f["l"]["n_lines"] - f["l"]["n_good"], "lost": lost,
+        }
+        return F.struct(*[found[n].alias(n) for n in NAMES])
+
+    first = F.struct(
+        F.char_length(_without(raw, SPACES)).cast("long").alias("word_chars"),
         (F.char_length(raw) - F.char_length(_without(raw, SYMBOLS))).cast("long").alias("n_symbols"),
         let(words_of(raw), of_words).alias("w"),
         let(lines, of_lines).alias("l"),
     )
+    return let(first, verdict)
+
+
+def judge(docs: DataFrame, text: str = "text", prefix: str = "_q_", **rules) -> DataFrame:
+    """All of docs' columns and rows, plus the rules' findings under ``prefix``.
+
+    prefix + n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed, kept (boolean),
+    clean (the text's lines that have a word and pass), n_lines, n_bad_lines, lost (share of the word characters on
+    failing lines). rules: see findings().
+
+    Null texts count as empty: no words, so base_failed and not kept. Empty and blank texts the same. Repeated
+    rows are judged alike, an empty table gives none, and columns whose names clash with the results can be
+    avoided by another prefix (a clash is an error, never silent).
+    """
+    if clash := {prefix + n for n in NAMES} & set(docs.columns):
+        raise ValueError(f"columns {sorted(clash)} exist; choose another prefix")
     at = prefix + "found"
-    good_chars = F.char_length(_without(F.array_join(F.col(f"{at}.l.good"), "\n"), SPACES))
-    out = docs.withColumn(at, found)
-    out = out.withColumns(
-        {
-            prefix + "n_words": F.col(f"{at}.w.n_words"),
-            prefix + "word_chars": F.col(f"{at}.word_chars"),
-            prefix + "n_symbols": F.col(f"{at}.n_symbols"),
-            prefix + "n_dup_lines": F.col(f"{at}.l.n_dup_lines"),
-            prefix + "n_repeat_words": F.col(f"{at}.w.n_repeat_words"),
-            prefix + "base_failed": (F.col(f"{at}.w.n_words") < min_words)
-            | (100 * F.col(f"{at}.w.n_repeat_words") > max_repeat_percent * F.col(f"{at}.w.n_words")),
-            prefix + "n_lines": F.col(f"{at}.l.n_lines"),
-            prefix + "n_bad_lines": F.col(f"{at}.l.n_lines") - F.size(F.col(f"{at}.l.good")),
-            prefix + "clean": F.array_join(F.col(f"{at}.l.good"), "\n"),
-            prefix + "lost": F.when(F.col(f"{at}.word_chars") > 0, 1 - good_chars / F.col(f"{at}.word_chars")).otherwise(1.0),
-        }
-    ).drop(at)
-    return out.withColumn(prefix + "kept", ~F.col(prefix + "base_failed") & (F.col(prefix + "lost") <= max_loss))
+    return docs.withColumn(at, findings(docs[f"`{text}`"], **rules)).withColumns({prefix + n: F.col(f"`{at}`.{n}") for n in NAMES}).drop(at)
 
 
 def clean(docs: DataFrame, text: str = "text", **rules) -> DataFrame:
-    """The documents that pass, with docs' own columns; texts without the lines that fail."""
-    prefix = "_q_"
-    while any(c.startswith(prefix) for c in docs.columns):
-        prefix = "_" + prefix
-    judged = judge(docs, text, prefix, **rules).where(F.col(prefix + "kept"))
-    return judged.select(
-        *[
-            (F.when(F.col(prefix + "n_bad_lines") == 0, docs[f"`{c}`"]).otherwise(F.col(prefix + "clean")).alias(c) if c == text else F.col(f"`{c}`"))
-            for c in docs.columns
-        ]
-    )
+    """The documents that pass, with docs' own columns; texts without the lines that fail.
+
+    Texts that lose no line stay as they are, blank lines included. One generator both judges and drops: a filter over
+    the findings would be pushed below them, and the rules would run twice.
+    """
+    at = "_q_found"
+    while at in docs.columns:
+        at = "_" + at
+    passed = F.explode(F.filter(F.array(findings(docs[f"`{text}`"], **rules)), lambda f: f["kept"]))
+    judged = docs.select("*", passed.alias(at))
+    new = F.when(F.col(f"`{at}`.n_bad_lines") == 0, F.col(f"`{text}`")).otherwise(F.col(f"`{at}`.clean"))
+    return judged.select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
