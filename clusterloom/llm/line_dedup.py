@@ -54,7 +54,7 @@ class Lines:
         self.starts, self.ends, self.of, self.number = starts[long], ends[long], self.of[long], self.number[long]
         up, down = _powers(len(chars) + 1)
         total = np.zeros(len(chars) + 1, dtype=np.uint64)
-        np.cumsum((mix(self.chars.astype(np.uint64) + U(1)) | U(1)) * up[: len(chars)], out=total[1:])
+        np.cumsum((self.chars.astype(np.uint64) * U(0x9FB21C651E98DF25) ^ U(0x5851F42D4C957F2D)) * up[: len(chars)], out=total[1:])
         self.keys = mix((total[self.ends] - total[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(np.uint64) * _PLACES[1])
 
     def grams(self) -> np.ndarray:
