@@ -80,8 +80,9 @@ def bucket_pairs(packed: DataFrame, pair_large: bool = False, most: int | None =
     """(a, b, kind): of packed rows, kind 0: a < b are ids that share a bucket of at most LARGE; kind 1: a is the part
     and b the low bits of the signature of a large bucket. A pair comes once from each part at most.
 
-    With pair_large, large buckets give pairs instead: each id with the next one, and with one that the signature
-    chooses; so their number grows with the bucket, not with its square. most: LARGE, unless given."""
+    With pair_large, large buckets give some pairs at once: each id with the next one, and with one that the signature
+    chooses; so their number grows with the bucket, not with its square. Kind 1 then is a row for each member: a names
+    the bucket, b is the id; callers compare what those pairs leave apart. most: LARGE, unless given."""
     most = LARGE if most is None else most
 
     def reduce(table: pa.Table) -> pa.Table:
@@ -111,16 +112,21 @@ def bucket_pairs(packed: DataFrame, pair_large: bool = False, most: int | None =
             if len(begin := at[size == n]):
                 i, j = np.triu_indices(n, 1)
                 pairs.append(np.unique(np.stack([own[begin[:, None] + i].ravel(), own[begin[:, None] + j].ravel()], axis=1).view([("a", np.int64), ("b", np.int64)])).view(np.int64).reshape(-1, 2))
+        named = [np.zeros((0, 2), np.int64)]
         for k in np.flatnonzero(size > most) if pair_large else ():
             ids = own[at[k] : at[k] + size[k]]
+            named.append(np.stack([np.full(len(ids), sig[at[k]] | U(part & 0xFFFF) << U(48)).view(np.int64), ids], axis=1))
             chosen = ids[int(sig[at[k]]) % len(ids)]
             pairs += [np.stack([ids[:-1], ids[1:]], axis=1), np.stack([np.minimum(ids, chosen), np.maximum(ids, chosen)], axis=1)[ids != chosen]]
         found = np.unique(np.concatenate(pairs).view([("a", np.int64), ("b", np.int64)])).view(np.int64).reshape(-1, 2)
-        large = sig[at[size > most]].astype(np.int64) if not pair_large else np.zeros(0, np.int64)
+        if not pair_large:
+            large = sig[at[size > most]].astype(np.int64)
+            named.append(np.stack([np.full(len(large), part, dtype=np.int64), large], axis=1))
+        large = np.concatenate(named)
         return pa.table(
             {
-                "a": np.concatenate([found[:, 0], np.full(len(large), part, dtype=np.int64)]),
-                "b": np.concatenate([found[:, 1], large]),
+                "a": np.concatenate([found[:, 0], large[:, 0]]),
+                "b": np.concatenate([found[:, 1], large[:, 1]]),
                 "kind": np.concatenate([np.zeros(len(found), np.int32), np.ones(len(large), np.int32)]),
             }
         )

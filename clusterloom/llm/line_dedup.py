@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clusterloom.llm.buckets import PACKED, Bloom, Packer, bucket_pairs
@@ -20,8 +20,11 @@ GRAM, SHORTEST = 8, 20
 #: Bands and their rows. At a similarity of 0.8, 999 of 1000 pairs share a band; at 0.75, 995. Lines of one language
 #: have similarities of some hundredths; four rows leave next to no such pair as a candidate.
 BANDS, ROWS = 14, 4
-#: Lines of a bucket whose pairs are all candidates; in larger ones, neighbours and one line that the band chooses.
+#: Lines of a bucket whose pairs are all candidates; in larger ones, neighbours and one line that the band chooses come
+#: first, then the members that are still in different components, block by block.
 PAIRED = 12
+#: Lines, and characters on average, of a block of a large bucket.
+BLOCK, BLOCK_CHARS = 512, 400_000
 _rng = np.random.Generator(np.random.PCG64(77))
 _A = (_rng.integers(1, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2)) + np.uint32(1)
 _X = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
@@ -104,6 +107,59 @@ def _fresh(keys: np.ndarray, seen: set) -> np.ndarray:
     return np.array(sorted(out), dtype=np.int64)
 
 
+def _across(rest: DataFrame, chars: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links between members of a bucket that are in different components. rest: bucket, key, comp.
+
+    Members of the component that the bucket's first member has are not compared with each other. All others are, with
+    every member and exactly; both sides have blocks, and a task holds one of each. Of the links of two blocks, those
+    that join components not yet joined by another one go out, so their number grows with the lines.
+    """
+    both = rest.join(rest.groupBy("bucket").agg(F.min_by("comp", "key").alias("main")), "bucket").join(chars, "key")
+    both = both.withColumn("left", F.col("comp") != F.col("main"))
+
+    def blocks(which: Column) -> Column:
+        return F.ceil(F.greatest(F.count(F.when(which, 1)) / BLOCK, F.sum(F.when(which, F.length("chars"))) / BLOCK_CHARS)).cast("int")
+
+    sizes = both.groupBy("bucket").agg(blocks(F.col("left")).alias("nx"), blocks(F.lit(True)).alias("ny")).where("nx > 0")
+    both = both.join(sizes, "bucket")
+    own = ["bucket", "key", "comp", "chars"]
+    left = both.where("left").select(*own, F.lit(True).alias("left"), F.pmod(F.xxhash64("key"), "nx").cast("int").alias("x"), F.explode(F.sequence(F.lit(0), F.col("ny") - 1)).alias("y"))
+    right = both.select(*own, F.lit(False).alias("left"), F.explode(F.sequence(F.lit(0), F.col("nx") - 1)).alias("x"), F.pmod(F.xxhash64("key"), "ny").cast("int").alias("y"))
+
+    def run(table: pa.Table) -> pa.Table:
+        keys, comps = table.column("key").to_pylist(), table.column("comp").to_pylist()
+        is_left = np.array(table.column("left").to_pylist())
+        mine, theirs = np.flatnonzero(is_left).tolist(), np.flatnonzero(~is_left)
+        a, b = [], []
+        if len(mine) and len(theirs):
+            names: dict[str, int] = {}
+            texts = table.column("chars").to_pylist()
+            sets = [np.array([names.setdefault(g, len(names)) for g in gram_set(t)]) for t in texts]
+            del texts
+            sizes = np.array([len(sets[i]) for i in theirs])
+            flat, begin = np.concatenate([sets[i] for i in theirs]), np.cumsum(sizes) - sizes
+            has, root = np.zeros(len(names), dtype=np.int32), {c: c for c in comps}
+
+            def find(c: int) -> int:
+                while root[c] != c:
+                    root[c] = c = root[root[c]]
+                return c
+
+            for k in mine:
+                has[sets[k]] = 1
+                common = np.add.reduceat(has[flat], begin)
+                has[sets[k]] = 0
+                for i in theirs[common >= similarity * (len(sets[k]) + sizes - common)].tolist():
+                    x, y = find(comps[k]), find(comps[i])
+                    if x != y:
+                        root[max(x, y)] = min(x, y)
+                        a.append(min(keys[k], keys[i]))
+                        b.append(max(keys[k], keys[i]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return left.unionByName(right).groupBy("bucket", "x", "y").applyInArrow(run, "a long, b long")
+
+
 def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, similarity: float = 0.75) -> DataFrame:
     """(doc_id, version, lines): for each document that loses lines, their numbers from 0, ascending.
 
@@ -145,7 +201,8 @@ def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "version", "line")
     firsts = stored(lines.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n")), "lines")
     parts = int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), firsts.count() * BANDS // 3_000_000))
-    pairs = stored(bucket_pairs(own.mapInArrow(sign, PACKED), pair_large=True, most=PAIRED).select("a", "b").distinct(), "pairs")
+    found = stored(bucket_pairs(own.mapInArrow(sign, PACKED), pair_large=True, most=PAIRED).distinct(), "pairs")
+    pairs = found.where("kind = 0").select("a", "b")
     bloom = Bloom.of(pairs.select(F.explode(F.array("a", "b")).alias("key")), "key")
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,6 +235,14 @@ def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     links = pairs.join(left, "a").join(right, "b").select("a", "b", "ca", "cb").mapInArrow(check, "a long, b long")
     # Stored, so that no task needs the workers of two steps at once.
     known = components(stored(links, "links"))
+    rest = found.where("kind = 1").select(F.col("a").alias("bucket"), F.col("b").alias("key"))
+    rest = rest.join(known.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", F.coalesce("component", "key").alias("comp"))
+    apart = rest.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("bucket")
+    rest = stored(rest.join(apart, "bucket"), "large")
+    if not rest.isEmpty():
+        more = stored(_across(rest, chars, similarity), "links")
+        if not more.isEmpty():
+            known = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     # The line that stays in each component; components of one key matter only if the line occurs again.
     grouped = firsts.join(known.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     kept = grouped.groupBy("component").agg(F.min("first").alias("stays"), F.sum("n").alias("m")).where("m > 1").select("component", "stays")

@@ -64,3 +64,19 @@ def test_repeated_rows_and_null_ids(spark):
     rows = [(1, line), (1, line), (None, line), (2, line + "\nother words of a line that stands alone")]
     got = sorted((str(r["doc_id"]), r["removed"]) for r in line_dedup.summary(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == [("1", []), ("1", []), ("2", [0]), ("None", [0])]
+
+
+def test_large_buckets_are_compared_whole(spark):
+    """Copies near to one line, but not to each other, are one component, however many share a bucket."""
+    rng = random.Random(9)
+    line = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=240))
+    rows = []
+    for d in range(150):
+        ln = line
+        for k in rng.sample(range(20, 220), 3) if d != 75 else ():
+            ln = ln[:k] + "#" + ln[k + 1 :]
+        rows.append((d, ln))
+    rows += [(1000 + d, "".join(rng.choices("abcdefghij ", k=120))) for d in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["removed"] for r in line_dedup.summary(df).collect() if r["removed"]}
+    assert got == brute(rows) and len(got) == 149
