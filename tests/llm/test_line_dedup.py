@@ -80,3 +80,18 @@ def test_large_buckets_are_compared_whole(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = {r["doc_id"]: r["removed"] for r in line_dedup.summary(df).collect() if r["removed"]}
     assert got == brute(rows) and len(got) == 149
+
+
+def test_small_edits_in_short_lines_link(spark):
+    """One edited character in a line of 50 characters, two distant ones in a line of 100."""
+    rng = random.Random(10)
+    rows, want = [], {}
+    for d in range(0, 60, 2):
+        ln = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=50 if d % 4 else 100))
+        new = ln
+        for k in (25,) if d % 4 else (30, 70):
+            new = new[:k] + "#" + new[k + 1 :]
+        rows += [(d, ln), (d + 1, new)]
+        want[d + 1] = [0]
+    got = line_dedup.summary(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["removed"] for r in got if r["removed"]} == want
