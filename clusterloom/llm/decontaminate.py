@@ -78,15 +78,47 @@ def edits_within(pattern: list, text: list, budget: int) -> tuple[int, int, int]
     return (cost[best], start[best], m + best - budget) if cost[best] <= budget else None
 
 
+def edits_of_windows(item: np.ndarray, starts: np.ndarray, size: int, text: np.ndarray, low: np.ndarray, high: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """edits_within() for many windows of an item at once: (edits, start, end) of each; edits above the budget mean none.
+
+    Window i has the ``size`` characters from starts[i] on, and its stretch lies in text[low[i] : high[i]]; start and
+    end count from low[i]. Of stretches with equally few edits, the one that ends first counts.
+    """
+    n = high - low
+    width = max(0, int(n.max()) - size + 2 * budget + 1)
+    if not width:
+        return np.full(len(starts), budget + 1), np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+    # Costs and starts in one number, so that the least cost comes with the least start; ahead of the cost of inserts.
+    unit = np.int64(1) << 32
+    far = (budget + 1) * unit
+    d = np.arange(width)
+    j = d - budget
+    cell = np.where((j >= 0) & (j <= n[:, None]), np.maximum(j, 0), far)
+    padded = np.concatenate([text, np.zeros(1, text.dtype)])
+    for i in range(1, size + 1):
+        j = i + d - budget
+        inside = (j >= 0) & (j <= n[:, None])
+        at = np.minimum(low[:, None] + np.maximum(j - 1, 0), len(text))
+        new = np.where(j > 0, cell + (padded[at] != item[starts + i - 1][:, None]) * unit, far)
+        new[:, :-1] = np.minimum(new[:, :-1], cell[:, 1:] + unit)
+        new = np.where(inside, new, far)
+        new = np.minimum.accumulate(new - d * unit, axis=1) + d * unit
+        cell = np.where(inside, np.minimum(new, far), far)
+    cost = cell // unit
+    best = cost.argmin(axis=1)
+    rows = np.arange(len(starts))
+    return cost[rows, best], cell[rows, best] % unit, size + best - budget
+
+
 @dataclass
 class Index:
-    """The windows of benchmark items and the places of their q-grams."""
+    """The windows of benchmark items and the places of the items' q-grams."""
 
     q: int
     window: int
     budget: int
     items: list = field(default_factory=list)  # (item id, characters)
-    starts: list = field(default_factory=list)  # windows' (item, start, length)
+    starts: list = field(default_factory=list)  # of each item, its windows' starts; all have the length of the first
 
     @classmethod
     def of(cls, rows: list[tuple], q: int, window: int, step: int, share: float) -> Index:
@@ -95,38 +127,32 @@ class Index:
             c, _ = normalised((text or "").encode())
             if len(c) < q * 2:
                 continue
-            k = len(out.items)
             out.items.append((item_id, c))
             last = max(0, len(c) - window)
-            for s in sorted({*range(0, last, step), last}):
-                out.starts.append((k, s, min(window, len(c))))
+            out.starts.append(np.array(sorted({*range(0, last, step), last}), dtype=np.int64))
         return out.ready()
 
     def ready(self) -> Index:
-        h, win, place = [], [], []
-        for w, (k, s, n) in enumerate(self.starts):
-            g = gram_hashes(self.items[k][1][s : s + n], self.q)
-            h.append(g)
-            win.append(np.full(len(g), w))
-            place.append(np.arange(len(g)))
-        self.hash = np.concatenate(h) if h else np.zeros(0, np.uint64)
+        grams = [gram_hashes(c, self.q) for _, c in self.items]
+        self.hash = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
         order = np.argsort(self.hash, kind="stable")
         self.hash = self.hash[order]
-        self.win = (np.concatenate(win) if win else np.zeros(0, np.int64))[order]
-        self.place = (np.concatenate(place) if place else np.zeros(0, np.int64))[order]
+        counts = [len(g) for g in grams]
+        self.item = np.repeat(np.arange(len(grams)), counts)[order]
+        self.place = (np.concatenate([np.arange(n) for n in counts]) if counts else np.zeros(0, np.int64))[order]
         self.table = np.zeros(1 << 22, dtype=bool)
         self.table[(self.hash >> U(42)).astype(np.int64)] = True
-        lengths = np.array([n for _, _, n in self.starts], dtype=np.int64)
-        budgets = np.minimum(self.budget, (lengths * self.budget) // self.window) if len(lengths) else lengths
+        self.sizes = np.minimum(self.window, np.array([len(c) for _, c in self.items], dtype=np.int64))
+        self.budgets = np.minimum(self.budget, (self.sizes * self.budget) // self.window)
         # The lemma: a region within the budget keeps this many of the window's q-grams.
-        self.budgets, self.least = budgets, np.maximum(1, lengths - self.q + 1 - budgets * self.q)
-        self.fewest = int(self.least.min()) if len(lengths) else 1
-        self.longest = int(lengths.max()) + self.budget if len(lengths) else 0
+        self.least = np.maximum(1, self.sizes - self.q + 1 - self.budgets * self.q)
+        self.fewest = int(self.least.min()) if len(self.sizes) else 1
+        self.longest = int(self.sizes.max()) + self.budget if len(self.sizes) else 0
         return self
 
     def search(self, text: bytes) -> dict[int, tuple[int, int, int, int]]:
         """item number -> (windows found, fewest edits, start, end) with places in the text."""
-        if not self.starts or len(text) < self.q:
+        if not self.items or len(text) < self.q:
             return {}
         c, places = normalised(text)
         g = gram_hashes(c, self.q)
@@ -153,44 +179,51 @@ class Index:
         right = np.searchsorted(self.hash, g[maybe], "right")
         n = right - left
         hit = np.repeat(left, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        at, win, place = np.repeat(maybe, n), self.win[hit], self.place[hit]
-        diagonal = at - place
+        at, item, place = np.repeat(maybe, n), self.item[hit], self.place[hit]
         # Overlapping bands, budget + 1 apart and twice as wide: every alignment lies in one of them whole.
         step = self.budget + 1
-        band = diagonal // step
-        w2, b2 = np.concatenate([win, win]), np.concatenate([band, band - 1])
+        band = (at - place) // step
+        k2, b2 = np.concatenate([item, item]), np.concatenate([band, band - 1])
         gram = np.concatenate([place, place])
-        order = np.lexsort((gram, b2, w2))
-        w2, b2, gram = w2[order], b2[order], gram[order]
-        fresh = np.concatenate([[True], (w2[1:] != w2[:-1]) | (b2[1:] != b2[:-1]) | (gram[1:] != gram[:-1])])
-        w2, b2 = w2[fresh], b2[fresh]  # a q-gram of the window counts once in a band
-        begin = np.flatnonzero(np.concatenate([[True], (w2[1:] != w2[:-1]) | (b2[1:] != b2[:-1])]))
-        count = np.diff(np.concatenate([begin, [len(w2)]]))
+        order = np.lexsort((gram, b2, k2))
+        k2, b2, gram = k2[order], b2[order], gram[order]
+        fresh = np.concatenate([[True], (k2[1:] != k2[:-1]) | (b2[1:] != b2[:-1]) | (gram[1:] != gram[:-1])])
+        k2, b2, gram = k2[fresh], b2[fresh], gram[fresh]  # a q-gram of the item counts once in a band
+        begin = np.flatnonzero(np.concatenate([[True], (k2[1:] != k2[:-1]) | (b2[1:] != b2[:-1])]))
+        end = np.concatenate([begin[1:], [len(k2)]])
+        enough = np.flatnonzero(end - begin >= self.least[k2[begin]])
         found: dict[int, tuple[int, int, int, int]] = {}
-        done: set[int] = set()
-        enough = begin[count >= self.least[w2[begin]]]
-        for w, b in zip(w2[enough].tolist(), b2[enough].tolist()):
-            k, s, size = self.starts[w]
-            if w in done:
-                continue
-            budget = int(self.budgets[w])
-            low = max(0, b * step - budget)
-            high = min(len(c), (b + 2) * step + size + budget)
-            got = edits_within(self.items[k][1][s : s + size].tolist(), c[low:high].tolist(), budget)
-            if got:
-                done.add(w)
-                e, x, y = got
-                x, y = int(places[low + x]), int(places[low + y - 1]) + 1
+        done: dict[int, np.ndarray] = {}
+        for x, y in zip(begin[enough].tolist(), end[enough].tolist()):
+            k, b, own = int(k2[x]), int(b2[x]), gram[x:y]
+            starts, size, budget = self.starts[k], int(self.sizes[k]), int(self.budgets[k])
+            left_out = done.setdefault(k, np.zeros(len(starts), dtype=bool))
+            kept = np.searchsorted(own, starts + size - self.q, "right") - np.searchsorted(own, starts)
+            todo = np.flatnonzero((kept >= self.least[k]) & ~left_out)
+            for part in np.split(todo, range(1024, len(todo), 1024)):
+                s = starts[part]
+                low = np.maximum(0, b * step + s - budget)
+                high = np.minimum(len(c), (b + 2) * step + s + size + budget)
+                if not len(s):
+                    continue
+                e, first, last = edits_of_windows(self.items[k][1], s, size, c, low, high, budget)
+                hits = np.flatnonzero(e <= budget)
+                if not len(hits):
+                    continue
+                left_out[part[hits]] = True
+                first, last = int(places[(low + first)[hits].min()]), int(places[(low + last)[hits].max() - 1]) + 1
+                new = (len(hits), int(e[hits].min()), first, last)
                 o = found.get(k)
-                found[k] = (1, e, x, y) if o is None else (o[0] + 1, min(o[1], e), min(o[2], x), max(o[3], y))
+                found[k] = new if o is None else (o[0] + new[0], min(o[1], new[1]), min(o[2], new[2]), max(o[3], new[3]))
         return found
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", *, q: int = 10, window: int = 80, step: int = 40, share: float = 0.075) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", *, q: int = 10, window: int = 80, step: int = 1, share: float = 0.075) -> DataFrame:
     """(doc_id, version, item_id, n_windows, edits, start, end): a row for each document and item with a passage in common.
 
     Texts are compared with A-Z in lower case and white space runs as one space. Items are cut into windows of
-    ``window`` characters every ``step`` (one, if shorter; items below 2 q characters are left out). A document is
+    ``window`` characters every ``step`` (one, if shorter; items below 2 q characters are left out): with a step of 1,
+    each stretch of that length is a window, wherever an excerpt starts. A document is
     contaminated if some stretch of it is within share * window edits of a window: by the q-gram lemma, such a stretch
     shares a certain number of q-grams with the window inside a band of diagonals; bands with as many are aligned.
     n_windows counts the windows found, edits is the least of them, start and end are the characters of the text from

@@ -81,3 +81,39 @@ def test_blocks_find_the_same(spark, monkeypatch):
     whole = sorted(map(tuple, dc.contaminated(df, bench).collect()))
     monkeypatch.setattr(dc, "BLOCK_BYTES", 500)
     assert sorted(map(tuple, dc.contaminated(df, bench).collect())) == whole and len(whole) == 24
+
+
+def test_windows_of_an_item_at_once():
+    rng, np = random.Random(6), dc.np
+    for _ in range(150):
+        item = np.array([ord(rng.choice("abc")) for _ in range(rng.randrange(6, 20))])
+        text = np.array([ord(rng.choice("abc")) for _ in range(rng.randrange(1, 40))])
+        size, k = rng.randrange(1, len(item) + 1), rng.randrange(0, 4)
+        starts = np.arange(len(item) - size + 1)
+        low = np.array([rng.randrange(0, len(text)) for _ in starts])
+        high = np.array([rng.randrange(x, len(text) + 1) for x in low])
+        e, x, y = dc.edits_of_windows(item, starts, size, text, low, high, k)
+        for i, s in enumerate(starts.tolist()):
+            part, stretch = item[s : s + size].tolist(), text[low[i] : high[i]].tolist()
+            got = dc.edits_within(part, stretch, k)
+            assert (e[i] if e[i] <= k else None) == (got[0] if got else None)
+            if got:
+                assert best_edits(part, stretch[x[i] : y[i]]) == e[i]
+
+
+def test_excerpts_between_grid_points(spark):
+    """Any stretch of 80 characters of an item is found, wherever it starts, also with edits, by brute force over all starts."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghijklm", k=rng.randrange(3, 9)))
+    c = plain(" ".join(word() for _ in range(45)))
+    fill = lambda: " ".join("".join(rng.choices("nopqrstuvw", k=5)) for _ in range(12))
+    docs = []
+    for d, s in enumerate(range(3, len(c) - 85, 9)):
+        t = c[s : s + 82 - 3 * (d % 4)]
+        for _ in range(d % 9):
+            k = rng.randrange(len(t))
+            t = t[:k] + "#" + t[k + 1 :]
+        docs.append((d, f"{fill()} {t} {fill()}"))
+    want = {d for d, t in docs if any(best_edits(c[s : s + 80], plain(t)) <= 6 for s in range(len(c) - 79))}
+    got = dc.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, c)], "item_id long, text string")).collect()
+    assert {r["doc_id"] for r in got} == want and 5 < len(want) < len(docs)
