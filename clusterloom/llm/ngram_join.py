@@ -8,8 +8,9 @@ the next one. Sets of up to SMALL features, for which parts would often be empty
 
 Signatures that very many sets have (a passage in thousands of documents) are not paired. A set that has fewer of them
 than T can do without: with each partner it shares another. Only the other sets, mostly members of large groups of
-near copies, are compared inside such buckets: first with one representative, then, where that leaves the bucket in
-several components, block by block on parity sketches. No link is lost on the way.
+near copies, are compared inside such buckets, block by block on parity sketches. No link is lost on the way. Where only
+components count (spanning), the buckets' members are first compared with one representative, and then only the members
+of different components: no component is lost, but links inside one are left out.
 """
 
 from __future__ import annotations
@@ -125,12 +126,13 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple]:
             yield ids, i, s
 
 
-def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, words: int = 5) -> tuple[DataFrame, DataFrame]:
+def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, words: int = 5, spanning: bool = False) -> tuple[DataFrame, DataFrame]:
     """(members, links): members (doc_id, n_shingles, class) has a row for each row of docs, links (a, b) the pairs of
     classes, a < b, with 100 * intersection >= 75 * union; members of a class have equal sets.
 
     Sets: distinct ``words``-word shingles of the whole text, A-Z in lower case; the whole sequence as one if there are
-    fewer words. Null and blank texts have an empty set, class null, and link with nothing. Repeated rows are members
+    fewer words. With spanning, links are only as many as the components need: of the pairs inside large buckets, those
+    of a representative and those between components. Null and blank texts have an empty set, class null, and link with nothing. Repeated rows are members
     of one class; null ids stay; other columns aren't read; an empty table gives no rows. Features are compared by
     64-bit hashes. The result is stored in the shared folder.
     """
@@ -171,6 +173,11 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, words:
     links = None
     if not large.isEmpty():
         rest = stored(_rest(own, large, parts, words), "large")
+        if not spanning:
+            # Each set is its own component, so _blocks compares all members of a bucket.
+            rest = rest.withColumn("comp", F.col("cls")).join(rest.groupBy("sig").agg(F.count("*").alias("m")), "sig")
+            more = _blocks(_needed(rest), classes)
+            return members, _verified(own, pairs.union(more).distinct(), classes, words)
         stars = rest.join(rest.groupBy("sig").agg(F.min("cls").alias("a")), "sig").where("a <> cls").select("a", F.col("cls").alias("b"))
         links = _verified(own, pairs.union(stars).distinct(), classes, words)
         # Where one representative did not join the whole bucket, compare members of different components.
@@ -178,11 +185,8 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, words:
         rest = rest.join(known.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
         apart = rest.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("m")).where("low <> high")
         rest = rest.join(apart.select("sig", "m"), "sig")
-        # A partner of another component shares T signatures of a tag or more, and none outside the buckets that are
-        # left: so each set can do without T - 1 of them, those of the largest buckets.
-        order = Window.partitionBy("cls", "tag").orderBy("m", "sig")
-        rest = rest.withColumns({"at": F.row_number().over(order), "h": F.count("*").over(Window.partitionBy("cls", "tag"))})
-        rest = stored(rest.where("at <= h - t + 1").select("sig", "cls", "comp"), "large")
+        # A partner of another component shares no signature outside the buckets that are left.
+        rest = _needed(rest)
         more = stored(_blocks(rest, classes), "pairs")
         if not more.isEmpty():
             links = stored(links.union(_verified(own, more.distinct(), classes, words)).distinct(), "links")
@@ -191,6 +195,14 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, words:
     return members, links
 
 
+def _needed(rest: DataFrame) -> DataFrame:
+    """Partners share T signatures of a tag or more among these: so each set can do without T - 1 of them, those of the
+    largest buckets. rest: sig, cls, comp, t, tag and the bucket's size m."""
+    order = Window.partitionBy("cls", "tag").orderBy("m", "sig")
+    rest = rest.withColumns({"at": F.row_number().over(order), "h": F.count("*").over(Window.partitionBy("cls", "tag"))})
+    return stored(rest.where("at <= h - t + 1").select("sig", "cls", "comp"), "large")
+
+
 def _rest(own: DataFrame, large: DataFrame, parts: int, words: int) -> DataFrame:
     """(sig, cls, t, tag): the large buckets' members that may share no smaller bucket with a partner. A Bloom filter
     names the large signatures; a false one can only add rows."""
@@ -319,7 +331,7 @@ def _blocks(rest: DataFrame, classes: DataFrame) -> DataFrame:
 
 def linked_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, words: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id): the smallest doc_id reachable by links, itself included."""
-    members, links = join(docs, doc_id, text, words=words)
+    members, links = join(docs, doc_id, text, words=words, spanning=True)
     known = components(links)
     own = members.join(known, members["class"] == known["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "class").alias("group"))
     least = own.where("n_shingles > 0").groupBy("group").agg(F.min("doc_id").alias("least"))

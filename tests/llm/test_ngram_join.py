@@ -115,3 +115,24 @@ def test_large_buckets_lose_no_link(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = sorted(map(tuple, ngram_join.linked_components(df).collect()))
     assert got == brute(rows)
+
+
+def test_large_buckets_give_every_link(spark, monkeypatch):
+    monkeypatch.setattr(buckets, "LARGE", 6)
+    rng = random.Random(12)
+    rows = corpus(rng, 120, hot=True)
+    big = [f"v{rng.randrange(300)}" for _ in range(120)]
+    for i in range(60):
+        w = list(big)
+        for _ in range(rng.randrange(1, 4)):
+            w[rng.randrange(len(w))] = f"x{i}"
+        rows.append((500 + i, " ".join(w)))
+    members, links = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    of = {r["doc_id"]: r["class"] for r in members.collect()}
+    sets = {}
+    for d, t in rows:
+        w = t.lower().split()
+        sets[of[d]] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    sets.pop(None, None)
+    want = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert {tuple(r) for r in links.collect()} == want and len(want) > 500
