@@ -21,7 +21,7 @@ def grid(length: Column) -> Column:
 
 
 def boundaries(histogram: list[tuple[int, int, int]], k: int) -> list[int]:
-    """Upper bounds of at most k buckets with the least padding; histogram: (grid length, rows, sum of lengths).
+    """Upper bounds of at most k buckets with the least padding; histogram: (largest length, rows, sum of lengths).
 
     Dynamic programming over the sorted lengths: least[j] is the least padding of the first j lengths in as many
     buckets as the round says. All lengths of a bucket are padded to its bound. Ties take the earlier split.
@@ -63,13 +63,14 @@ def pack(docs: DataFrame, length: Column, doc_id: str = "doc_id", *, buckets: in
     columns are not read.
     """
     own = docs.select(docs[f"`{doc_id}`"].alias("doc_id"), F.coalesce(length, F.lit(0)).cast("long").alias("length"))
-    sized = own.groupBy(grid(F.col("length")).alias("g")).agg(F.count("*").alias("n"), F.sum("length").alias("t"))
-    histogram = [(r["g"], r["n"], r["t"]) for r in sized.collect()]  # at most EXACT + STEPS * 52 rows
+    # The bound of a cell of the grid is its largest real length, so no bucket is padded beyond its longest document.
+    sized = own.groupBy(grid(F.col("length")).alias("g")).agg(F.max("length").alias("most"), F.count("*").alias("n"), F.sum("length").alias("t"))
+    histogram = [(r["most"], r["n"], r["t"]) for r in sized.collect()]  # at most EXACT + STEPS * 52 rows
     bounds = boundaries(histogram, buckets)
     of, sizes = F.lit(None).cast("long"), {}
     for low, high in reversed(list(zip([-1, *bounds], bounds))):
         of = F.when(F.col("length") <= high, F.lit(high).cast("long")).otherwise(of)
-        sizes[high] = sum(n for g, n, _ in histogram if low < g <= high)
+        sizes[high] = sum(n for most, n, _ in histogram if low < most <= high)
     runs = F.lit(1)
     for high, n in sizes.items():
         runs = F.when(F.col("bucket") == high, F.lit(max(1, -(-n // run)))).otherwise(runs)
