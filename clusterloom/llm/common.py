@@ -43,23 +43,19 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def with_checkpoints(spark: SparkSession) -> SparkSession:
-    """Sees to it that checkpoint() has a folder; never overrides the cluster's own."""
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or shared_dir(spark, "rdd"))
-    return spark
-
-
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """The rows written once to the shared folder and read back: cuts lineage, survives lost executors."""
     path = shared_dir(df.sparkSession, purpose)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_stored(spark: SparkSession, *paths: str) -> None:
-    """Deletes folders of stored rows through Hadoop, whatever the file system."""
-    for path in paths:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def drop_stored(*frames: DataFrame | None) -> None:
+    """Deletes the folders of stored() frames that nothing reads any more, through Hadoop, whatever the file system."""
+    for df in frames:
+        if df is not None:
+            context = df.sparkSession.sparkContext
+            at = context._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clusterloom.llm.buckets import PACKED, Bloom, Packer, bucket_pairs
+from clusterloom.llm.buckets_old import PACKED, Bloom, Packer, bucket_pairs
 from clusterloom.llm.common import pick, stored
 from clusterloom.llm.components import components
 from clusterloom.llm.hashing import _PLACES, _powers, mix, slices

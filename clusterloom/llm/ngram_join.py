@@ -1,16 +1,18 @@
 """N-gram Jaccard self-join by PartEnum signatures, with exact checks, and its connected components.
 
-Two sets of sizes s and t with a Jaccard similarity of 3/4 or more differ in (s + t) / 7 features at most. The feature
-domain (64-bit shingle hashes) is cut into n1 parts, more than that; so two such sets agree on whole parts, on T at
-least that are not empty in both. Each non-empty part of a set is a signature: its key, the number of the part and the
-sum of its features. Keys are size bands a third wide; a set signs under its own band and, for larger partners, under
-the next one. Sets of up to SMALL features, for which parts would often be empty, are signed by their subsets instead.
-
-Signatures that very many sets have (a passage in thousands of documents) are not paired. A set that has fewer of them
-than T can do without: with each partner it shares another. Only the other sets, mostly members of large groups of
-near copies, are compared inside such buckets, block by block on parity sketches. No link is lost on the way. Where only
-components count (spanning), the buckets' members are first compared with one representative, and then only the members
-of different components: no component is lost, but links inside one are left out.
+Two sets of sizes s and t with a Jaccard similarity of 3/4 or more differ in k = (s + t) / 7 features at most. The
+feature domain (64-bit shingle hashes) is cut into n1 first-level parts, more than k / 2, and each of those into SECOND
+second-level parts. In a first-level part at least, two such sets differ in one feature at most, so they agree on one of
+the subsets that leave out one of its second-level parts. Each subset is a signature: its key, its number and the sum of
+the set's features in it. With more parts than needed, T of the n1 agree so. Keys are size bands a third wide; a set signs
+under its own band and, for larger partners, under the next one. Sets of up to SMALL features are signed by their subsets.
+
+The join goes in two stages. First, the signatures of the first HEADS parts: each of their buckets pairs its members with
+one or two of them, and checked links give first components. These are nearly all. Then, all signatures: buckets of one
+component are done, small ones pair their members of different components, and large ones (a passage in thousands of
+documents) are named. A set with fewer than T named signatures can do without them: with each partner it shares another.
+The other sets are compared inside the large buckets, in blocks and exactly, across components. No component is lost;
+links inside one are left out, unless all links are asked for.
 """
 
 from __future__ import annotations
@@ -25,20 +27,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from clusterloom.llm.buckets import PACKED, Bloom, Packer, bucket_pairs, low_bits, part_of
-from clusterloom.llm.common import pick, stored
+from clusterloom.llm.buckets import BITS, LARGE, PACKED, Bloom, Packer, across, batches_of, cross_pairs, low_bits, part_of, parts_for, stars
+from clusterloom.llm.common import drop_stored, pick, stored
 from clusterloom.llm.components import components
 from clusterloom.llm.hashing import mix, shingle_sets
 
 U = np.uint64
 #: Sets of up to SMALL features are signed by subsets; those of SIGNED_TOO more, too, for partners among them.
 SMALL, SIGNED_TOO = 7, 2
-#: Parts of the domain for each feature that two sets may differ in. More parts: fewer features in each, larger T.
-SLACK = 1.35
-#: How often a set without a guaranteed shared part is signed anew, over other cuts of the domain.
-LEVELS = 6
-#: Documents in a block of a large bucket.
-BLOCK = 512
+#: Second-level parts of a first-level one, and first-level parts for each one needed. More: fewer features in each, larger T.
+SECOND, SLACK = 3, 1.15
+#: How often a set without a guaranteed shared signature is signed anew, over other cuts of the domain.
+LEVELS = 8
+#: First-level parts whose signatures, one each, make the first stage.
+HEADS = 8
 
 
 def bands(most: int = 1 << 40) -> list[int]:
@@ -53,48 +55,77 @@ BANDS = bands()
 
 
 def parts_of_band(j: int) -> int:
-    k = 2 * (BANDS[j + 1] - 1) // 7
-    return max(k + 1, int(np.ceil(SLACK * k)))
+    """First-level parts of the domain for a band whose pairs differ in k features at most: over k / 2, so in one part at least they differ in one feature at most."""
+    least = (2 * (BANDS[j + 1] - 1) // 7) // 2 + 1
+    return int(np.ceil(SLACK * least))
 
 
 def _level(s: np.ndarray, level: int) -> np.ndarray:
     return s if level == 0 else np.sort(mix(s ^ U(level * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)))
 
 
-def signed(s: np.ndarray) -> list[tuple[np.ndarray, int, int]]:
-    """(signatures, T, tag) of a sorted set, for each key and level, which the tag numbers: any set that links with it shares T of them or
-    more, under one of its keys, at the first level where either T is positive."""
-    n, out = len(s), []
-    if not n:
-        return out
-    if n <= SMALL + SIGNED_TOO:
-        e = mix(s + U(0x51ED270B))
-        sums = [e[list(c)].sum(dtype=np.uint64) for size in range(-(-3 * n // 4), min(n, SMALL) + 1) for c in combinations(range(n), size)]
-        out.append((mix(np.array(sums, dtype=np.uint64)), 1, 0))
-    if n <= SMALL:
-        return out
+def _subsets(v: np.ndarray, n1: int, tag: int, first: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(signatures, filled), both (parts, SECOND): of each first-level part (of the first ones only, if given) the subsets
+    of SECOND - 1 second-level parts, that is, the part without one of them; filled: whether v has features there."""
+    parts = n1 if first is None else min(n1, first)
+    if parts < n1:
+        v = v[: int(np.searchsorted(v, U((((parts << 32) // n1) + 1) << 32)))]
+    at = (((v >> U(32)) * U(n1 * SECOND)) >> U(32)).astype(np.int64)
+    v, at = v[at < parts * SECOND], at[at < parts * SECOND]
+    sums, sizes = np.zeros(parts * SECOND, dtype=np.uint64), np.zeros(parts * SECOND, dtype=np.int64)
+    if len(v):
+        begin = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        sums[at[begin]], sizes[at[begin]] = np.add.reduceat(mix(v + U(0x2545F491)), begin), np.diff(np.append(begin, len(v)))
+    sums, sizes = sums.reshape(parts, SECOND), sizes.reshape(parts, SECOND)
+    places = np.arange(parts * SECOND, dtype=np.uint64).reshape(parts, SECOND)
+    sums = sums.sum(axis=1, dtype=np.uint64, keepdims=True) - sums
+    return mix(sums + mix(places | U(tag << 32))), sizes.sum(axis=1, keepdims=True) > sizes
+
+
+def _small(s: np.ndarray) -> np.ndarray:
+    """The signatures of a small set: its subsets of three quarters or more."""
+    n, e = len(s), mix(s + U(0x51ED270B))
+    sums = [e[list(c)].sum(dtype=np.uint64) for size in range(-(-3 * n // 4), min(n, SMALL) + 1) for c in combinations(range(n), size)]
+    return mix(np.array(sums, dtype=np.uint64))
+
+
+def _keys(n: int) -> Iterator[tuple[int, int, int]]:
+    """(band, parts, the features in which a set of n and one of the band differ at most) of each key."""
     own = bisect_right(BANDS, n) - 1
     for j in (own, own + 1):
-        most, n1 = min(BANDS[j + 1] - 1, 4 * n // 3), parts_of_band(j)
-        if most < BANDS[j]:
-            continue
-        differ = (n + most) // 7
+        if (most := min(BANDS[j + 1] - 1, 4 * n // 3)) >= BANDS[j]:
+            yield j, parts_of_band(j), (n + most) // 7
+
+
+def signed(s: np.ndarray) -> list[tuple[np.ndarray, int, int]]:
+    """(signatures, T, tag) of a sorted set, for each key and level, which the tag numbers: any set that links with it
+    shares T of them or more, under one of its keys, at the first level where either T is positive."""
+    n, out = len(s), []
+    if 0 < n <= SMALL + SIGNED_TOO:
+        out.append((_small(s), 1, 0))
+    for j, n1, differ in _keys(n) if n > SMALL else ():
         for level in range(LEVELS):
-            v = _level(s, level)
-            at = ((v >> U(32)) * U(n1)) >> U(32)
-            begin = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-            key = U((j << 3 | level) << 32)
-            sig = mix(np.add.reduceat(mix(v + U(0x2545F491)), begin) + mix(at[begin] | key))
-            shared = n1 - differ - (n1 - len(begin))
-            if shared <= 0 and level == LEVELS - 1:  # a chance of one in many millions: parts that are empty in both
-                empty = np.setdiff1d(np.arange(n1, dtype=np.uint64), at[begin])
-                sig = np.concatenate([sig, mix(mix(empty | key))])
-            out.append((sig, shared, (j << 3 | level) + 1))
+            tag = j << 3 | level
+            sig, filled = _subsets(_level(s, level), n1, tag)
+            shared = n1 - differ // 2 - int((~filled).any(axis=1).sum())
+            # Subsets without features are signatures only where no level guarantees another one, a chance of one in many millions.
+            out.append((sig[filled] if shared > 0 or level < LEVELS - 1 else sig.ravel(), shared, tag + 1))
             if shared > 0:
                 break
     return out
 
 
+def heads(s: np.ndarray) -> np.ndarray:
+    """The signatures of the first stage: one of each of the first parts, or all of a small set."""
+    out = [np.zeros(0, np.uint64)]
+    if 0 < len(s) <= SMALL + SIGNED_TOO:
+        out.append(_small(s))
+    for j, n1, _ in _keys(len(s)) if len(s) > SMALL else ():
+        sig, filled = _subsets(s, n1, j << 3, HEADS)
+        out.append(sig[:, 0][filled[:, 0]])
+    return np.concatenate(out)
+
+
 def class_of(s: np.ndarray) -> int:
     """A set's identity: a 64-bit hash of all its features and its size, as a signed number."""
     return int(mix(mix(s ^ U(0xD6E8FEB86659FD93)).sum(keepdims=True, dtype=np.uint64) + U(len(s))).view(np.int64)[0])
@@ -118,12 +149,29 @@ def sketches_near(a: bytes, na: int, b: bytes, nb: int) -> bool:
     return 7 * int(np.bitwise_count(x ^ y).sum()) <= na + nb
 
 
-def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple]:
-    """(id scalar or None, set) of each row of (doc_id, text) batches."""
+def _classes(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(class, set) of the non-empty sets of (doc_id, text) batches, those that the task has met lately left out."""
+    seen: set[int] = set()
     for batch in batches:
-        ids = batch.column(0)
-        for i, s in shingle_sets(batch.column(1), n):
-            yield ids, i, s
+        for _, s in shingle_sets(batch.column(1), n):
+            if len(s) and (c := class_of(s)) not in seen:
+                if len(seen) > 1_000_000:
+                    seen.clear()
+                seen.add(c)
+                yield c, s
+
+
+def _packed(rows: Iterator[tuple[np.ndarray, int, int | None]], parts: int, most: int | None = None) -> Iterator[pa.RecordBatch]:
+    packer = Packer(parts, most)
+    for sigs, c, comp in rows:
+        if out := packer.add(sigs, c, comp):
+            yield out
+    if out := packer.flush():
+        yield out
+
+
+def _all(s: np.ndarray) -> np.ndarray:
+    return np.concatenate([x[0] for x in signed(s)])
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, words: int = 5, spanning: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -131,10 +179,10 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, words:
     classes, a < b, with 100 * intersection >= 75 * union; members of a class have equal sets.
 
     Sets: distinct ``words``-word shingles of the whole text, A-Z in lower case; the whole sequence as one if there are
-    fewer words. With spanning, links are only as many as the components need: of the pairs inside large buckets, those
-    of a representative and those between components. Null and blank texts have an empty set, class null, and link with nothing. Repeated rows are members
-    of one class; null ids stay; other columns aren't read; an empty table gives no rows. Features are compared by
-    64-bit hashes. The result is stored in the shared folder.
+    fewer words. With spanning, links are only as many as the components need. Null and blank texts have an empty set,
+    class null, and link with nothing. Texts of any length are read whole; a set and its signatures have to fit a worker.
+    Repeated rows are members of one class; null ids stay; other columns aren't read; an empty table gives no rows.
+    Features are compared by 64-bit hashes. Stages run, and store what they find in the shared folder, when this is called.
     """
     spark = docs.sparkSession
     own = pick(docs, doc_id=doc_id, text=text)
@@ -143,196 +191,164 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, words:
 
     def describe(batches):
         for batch in batches:
-            rows = [(len(s), class_of(s), sketch(s)) if len(s) else (0, None, None) for _, s in shingle_sets(batch.column(1), words)]
+            rows = [(len(s), class_of(s), sketch(s), heads(s).tobytes()) if len(s) else (0, None, None, None) for _, s in shingle_sets(batch.column(1), words)]
             if rows:
-                cols = [pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", "n", "cls", "sketch"])
+                cols = [pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", "n", "cls", "sketch", "heads"])
 
-    records = stored(own.mapInArrow(describe, f"doc_id {kind}, n long, cls long, sketch binary"), "sets")
+    records = stored(own.mapInArrow(describe, f"doc_id {kind}, n long, cls long, sketch binary, heads binary"), "sets")
     classes = records.where("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     members = records.select("doc_id", F.col("n").alias("n_shingles"), F.col("cls").alias("class"))
-    total = records.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    parts = int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 3_000_000))
+    if not spanning:
+        return members, _searched(own, classes, None, None, words, parts_for(spark, _signatures(records)))
 
-    def sign(batches):
-        packer, seen = Packer(parts), set()
-        for _, _, s in _sets(batches, words):
-            if not len(s) or (c := class_of(s)) in seen:
-                continue
-            if len(seen) > 1_000_000:
-                seen.clear()
-            seen.add(c)
-            if out := packer.add(np.concatenate([sig for sig, _, _ in signed(s)]), c):
-                yield out
-        if out := packer.flush():
-            yield out
+    def first_stage(batches):
+        rows = ((np.frombuffer(h, np.uint64), c, None) for batch in batches for c, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        yield from _packed(rows, parts)
+
+    parts = parts_for(spark, int(records.agg(F.coalesce(F.sum(F.length("heads")), F.lit(0)).alias("n")).first()["n"]) // 8)
+    first = records.where("n > 0").groupBy("cls").agg(F.first("heads").alias("heads")).mapInArrow(first_stage, PACKED)
+    near = _near_pairs(stars(first).select("a", "b").distinct(), classes)
+    sets, bloom = _sets_of(own, near, words)
+    links = _verified(near, sets)
+    drop_stored(near)
+    known = stored(components(links), "components")
+    more = _searched(own, classes, (sets, known), bloom, words, parts_for(spark, _signatures(records)))
+    out = stored(links.union(more).distinct(), "links")
+    drop_stored(links, more, sets, known)
+    return members, out
+
+
+def _signatures(records: DataFrame) -> int:
+    """About how many signatures all classes have: SECOND for 3.5 features, under two keys."""
+    return int(records.where("n > 0").groupBy("cls").agg(F.first("n").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]) * 13 // 10
 
-    found = stored(bucket_pairs(own.mapInArrow(sign, PACKED)), "pairs")
-    pairs = found.where("kind = 0").select("a", "b").distinct()
-    large = found.where("kind = 1")
-    links = None
-    if not large.isEmpty():
-        rest = stored(_rest(own, large, parts, words), "large")
-        if not spanning:
-            # Each set is its own component, so _blocks compares all members of a bucket.
-            rest = rest.withColumn("comp", F.col("cls")).join(rest.groupBy("sig").agg(F.count("*").alias("m")), "sig")
-            more = _blocks(_needed(rest), classes)
-            return members, _verified(own, pairs.union(more).distinct(), classes, words)
-        stars = rest.join(rest.groupBy("sig").agg(F.min("cls").alias("a")), "sig").where("a <> cls").select("a", F.col("cls").alias("b"))
-        links = _verified(own, pairs.union(stars).distinct(), classes, words)
-        # Where one representative did not join the whole bucket, compare members of different components.
-        known = components(links)
-        rest = rest.join(known.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
-        apart = rest.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("m")).where("low <> high")
-        rest = rest.join(apart.select("sig", "m"), "sig")
-        # A partner of another component shares no signature outside the buckets that are left.
-        rest = _needed(rest)
-        more = stored(_blocks(rest, classes), "pairs")
-        if not more.isEmpty():
-            links = stored(links.union(_verified(own, more.distinct(), classes, words)).distinct(), "links")
+
+def _searched(own: DataFrame, classes: DataFrame, before: tuple[DataFrame, DataFrame] | None, bloom: Bloom | None, words: int, parts: int) -> DataFrame:
+    """Links between classes of different components: sets and components (node, component) come from before, and the
+    Bloom filter names the classes that have a row in those sets. Without them each class is a component and all links are found."""
+    spanning = before is not None
+
+    def sign(batches):
+        rows = ((_all(s), c, None) for c, s in _classes(batches, words) if bloom is None or not bloom.has(np.array([c]))[0])
+        yield from _packed(rows, parts, LARGE)
+
+    def sign_known(batches):
+        rows = ((_all(np.frombuffer(s, np.uint64)), c, g) for batch in batches for c, s, g in zip(*(batch.column(k).to_pylist() for k in range(3))))
+        yield from _packed(rows, parts, LARGE)
+
+    packed = own.mapInArrow(sign, PACKED)
+    if before:
+        sets, known = before
+        named = sets.join(known.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "s", F.coalesce("component", "cls").alias("comp"))
+        packed = packed.unionByName(named.mapInArrow(sign_known, PACKED))
+    found = stored(cross_pairs(packed), "pairs")
+    near = _near_pairs(found.where("kind = 0").select("a", "b").distinct(), classes)
+    large = found.where("kind = 1").select("a", "b").distinct()
+    hot, wanted = Bloom.of(large.select(F.col("b").bitwiseXOR(F.shiftleft("b", 24)).alias("name")), "name"), Bloom.of(_ends(near), "cls")
+
+    def again(batches):
+        def rows():
+            for c, s in _classes(batches, words):
+                sigs, tags, needs = [], [], []
+                for sig, shared, tag in signed(s):
+                    name = low_bits(sig)
+                    of = sig[hot.has(name ^ name << U(24))]
+                    if len(of) >= max(1, shared):
+                        sigs.append(of)
+                        tags.append(np.full(len(of), tag))
+                        needs.append(np.full(len(of), max(1, shared)))
+                if sigs or wanted.has(np.array([c]))[0]:
+                    of = np.concatenate([*sigs, np.zeros(0, np.uint64)])
+                    yield c, s.tobytes(), part_of(of, parts).astype(np.int64), low_bits(of).astype(np.int64), np.concatenate([*tags, np.zeros(0)]).astype(np.int64), np.concatenate([*needs, np.zeros(0)]).astype(np.int64)
+
+        kinds = [pa.int64(), pa.binary(), *[pa.list_(pa.int64())] * 4]
+        yield from batches_of(rows(), kinds, ["cls", "s", "part", "low", "tag", "t"], lambda r: len(r[1]) // 8 + 4 * len(r[2]))
+
+    # One pass for the sets of pairs to check and for those of the large buckets, with the large signatures of each.
+    rows = own.mapInArrow(again, "cls long, s binary, part array<long>, low array<long>, tag array<long>, t array<long>")
+    rows = stored(rows.groupBy("cls").agg(*[F.first(c).alias(c) for c in ("s", "part", "low", "tag", "t")]), "sets")
+    links = _verified(near, rows.select("cls", "s"))
+    drop_stored(near)
+    rest = rows.select("cls", F.explode(F.arrays_zip("part", "low", "tag", "t")).alias("x")).select("cls", "x.*")
+    rest = rest.join(large.select(F.col("a").alias("part"), F.col("b").alias("low")), ["part", "low"])
+    if spanning:
+        joined = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links)).withColumnRenamed("node", "cls")
+        rest = rest.join(joined, "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
     else:
-        links = _verified(own, pairs, classes, words)
-    return members, links
+        rest = rest.withColumn("comp", F.col("cls"))
+    sizes = rest.groupBy("part", "low").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("m")).where("least <> most")
+    rest = _needed(rest.join(sizes.select("part", "low", "m"), ["part", "low"]))
+    sets = rows.select(F.col("cls").alias("id"), "s", (F.length("s") / 8).alias("size"))
+    more = across(rest, sets, lambda s: [np.frombuffer(x, np.uint64) for x in s], lambda common, both: 100 * common >= 75 * (both - common), spanning=spanning)
+    out = stored(links.union(more).distinct(), "links")
+    drop_stored(found, rows, links)
+    return out
 
 
 def _needed(rest: DataFrame) -> DataFrame:
-    """Partners share T signatures of a tag or more among these: so each set can do without T - 1 of them, those of the
-    largest buckets. rest: sig, cls, comp, t, tag and the bucket's size m."""
-    order = Window.partitionBy("cls", "tag").orderBy("m", "sig")
+    """(bucket, id, comp): partners share T signatures of a tag or more among these, so each set can do without T - 1 of
+    them, those of the largest buckets. rest: part, low, cls, comp, t, tag and the bucket's size m."""
+    bucket = F.col("low").bitwiseXOR(F.shiftleft("part", BITS))
+    order = Window.partitionBy("cls", "tag").orderBy("m", "bucket")
+    rest = rest.withColumn("bucket", bucket)
     rest = rest.withColumns({"at": F.row_number().over(order), "h": F.count("*").over(Window.partitionBy("cls", "tag"))})
-    return stored(rest.where("at <= h - t + 1").select("sig", "cls", "comp"), "large")
+    return stored(rest.where("at <= h - t + 1").select("bucket", F.col("cls").alias("id"), "comp"), "large")
 
 
-def _rest(own: DataFrame, large: DataFrame, parts: int, words: int) -> DataFrame:
-    """(sig, cls, t, tag): the large buckets' members that may share no smaller bucket with a partner. A Bloom filter
-    names the large signatures; a false one can only add rows."""
-    bloom = Bloom.of(large, "b")
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
 
-    def run(batches):
-        seen, rows = set(), []
-        for _, _, s in _sets(batches, words):
-            if not len(s) or (c := class_of(s)) in seen:
-                continue
-            if len(seen) > 1_000_000:
-                seen.clear()
-            seen.add(c)
-            for sig, shared, tag in signed(s):
-                hot = sig[bloom.has(low_bits(sig))]
-                if len(hot) >= max(1, shared):
-                    rows.append((hot, c, max(1, shared), tag))
-            if len(rows) > 2000:
-                yield _long(rows)
-                rows = []
-        if rows:
-            yield _long(rows)
-
-    def _long(rows):
-        n = [len(r[0]) for r in rows]
-        hot = np.concatenate([r[0] for r in rows])
-        own = [np.repeat(np.array([r[k] for r in rows], dtype=np.int64), n) for k in (1, 2, 3)]
-        cols = [hot.view(np.int64), *own, part_of(hot, parts).astype(np.int64), low_bits(hot).astype(np.int64)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["sig", "cls", "t", "tag", "a", "b"])
-
-    out = own.mapInArrow(run, "sig long, cls long, t long, tag long, a long, b long").dropDuplicates(["sig", "cls"])
-    return out.join(large.select("a", "b").distinct(), ["a", "b"], "left_semi").select("sig", "cls", "t", "tag")
-
-
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        a, b, na, nb, sa, sb = (batch.column(i).to_pylist() for i in range(6))
-        kept = [i for i in range(len(a)) if 4 * min(na[i], nb[i]) >= 3 * max(na[i], nb[i]) and sketches_near(sa[i], na[i], sb[i], nb[i])]
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int64())), batch.column(1).take(pa.array(kept, pa.int64()))], names=["a", "b"])
 
+def _near_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs whose sketches allow a link: none is lost."""
+
+    def near(batches):
+        for batch in batches:
+            a, b, na, nb, sa, sb = (batch.column(i).to_pylist() for i in range(6))
+            kept = [i for i in range(len(a)) if 4 * min(na[i], nb[i]) >= 3 * max(na[i], nb[i]) and sketches_near(sa[i], na[i], sb[i], nb[i])]
+            yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(kept, pa.int64())) for k in (0, 1)], names=["a", "b"])
 
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        kept = []
-        for i, (x, y) in enumerate(zip(a, b)):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = np.concatenate([x, y])
-            both.sort()
-            common = int((both[1:] == both[:-1]).sum())
-            if 100 * common >= 75 * (len(x) + len(y) - common):
-                kept.append(i)
-        yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(kept, pa.int64())) for i in (0, 1)], names=["a", "b"])
-
-
-def _verified(own: DataFrame, pairs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
-    """The pairs that link: first by sketches, which lose none, then exactly on the sets of the classes left."""
     left = classes.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     right = classes.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    near = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_near, "a long, b long")
-    near = stored(near, "pairs")
-    bloom = Bloom.of(near.select(F.explode(F.array("a", "b")).alias("cls")), "cls")
+    return stored(pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(near, "a long, b long"), "pairs")
+
+
+def _sets_of(own: DataFrame, pairs: DataFrame, words: int) -> tuple[DataFrame, Bloom]:
+    """(cls, s): the sets of all classes that pass a Bloom filter of the pairs' ends, and that filter."""
+    bloom = Bloom.of(_ends(pairs), "cls")
 
     def run(batches):
-        seen, rows, held = set(), [], 0
-        for _, _, s in _sets(batches, words):
-            if len(s) and (c := class_of(s)) not in seen and bloom.has(np.array([c]))[0]:
-                if len(seen) > 1_000_000:
-                    seen.clear()
-                seen.add(c)
-                rows.append((c, s.tobytes()))
-                held += len(s)
-            if held > 500_000:
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), (pa.int64(), pa.binary()))], names=["cls", "s"])
-                rows, held = [], 0
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), (pa.int64(), pa.binary()))], names=["cls", "s"])
-
-    needed = near.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    sets = own.mapInArrow(run, "cls long, s binary").join(needed, "cls", "left_semi").groupBy("cls").agg(F.first("s").alias("s"))
-    sets = stored(sets, "sets")
-    left, right = sets.select(F.col("cls").alias("a"), F.col("s").alias("sa")), sets.select(F.col("cls").alias("b"), F.col("s").alias("sb"))
-    return stored(near.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(_linked, "a long, b long"), "links")
+        rows = ((c, s.tobytes()) for c, s in _classes(batches, words) if bloom.has(np.array([c]))[0])
+        yield from batches_of(rows, [pa.int64(), pa.binary()], ["cls", "s"], lambda r: len(r[1]) // 8)
 
+    return stored(own.mapInArrow(run, "cls long, s binary").groupBy("cls").agg(F.first("s").alias("s")), "sets"), bloom
 
-def _blocks(rest: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs of members of a bucket, of different components, whose sketches allow a link. rest: sig, cls, comp.
 
-    Members of the component that the bucket's first member has are not compared with each other. All others are, with
-    every member: both sides have blocks of BLOCK, and a task holds one of each, however large the bucket is.
-    """
-    main = rest.groupBy("sig").agg(F.min_by("comp", "cls").alias("main"), F.count("*").alias("m"))
-    both = rest.join(main, "sig")
-    others = both.where("comp <> main").groupBy("sig").agg(F.count("*").alias("k"))
-    both = both.join(others, "sig").join(classes, "cls")
-    left_blocks, right_blocks = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("k", "m"))
-    shared = ["sig", "cls", "comp", "n", "sketch"]
-    left = both.where("comp <> main").select(*shared, F.lit(True).alias("left"), F.pmod(F.xxhash64("cls"), left_blocks).cast("int").alias("x"), F.explode(F.sequence(F.lit(0), right_blocks - 1)).alias("y"))
-    right = both.select(*shared, F.lit(False).alias("left"), F.explode(F.sequence(F.lit(0), left_blocks - 1)).alias("x"), F.pmod(F.xxhash64("cls"), right_blocks).cast("int").alias("y"))
-
-    def run(table: pa.Table) -> pa.Table:
-        cls, comp, size = (table.column(c).to_numpy() for c in ("cls", "comp", "n"))
-        raw = table.column("sketch").to_pylist()
-        least = min(len(r) for r in raw)
-        bits = np.zeros((len(raw), least), dtype=np.uint8)
-        for k, r in enumerate(raw):
-            v = np.frombuffer(r, np.uint8)
-            while len(v) > least:
-                v = v[: len(v) // 2] ^ v[len(v) // 2 :]
-            bits[k] = v
-        words = bits.view(np.uint64)
-        is_left = np.array(table.column("left").to_pylist())
-        mine, theirs = np.flatnonzero(is_left), np.flatnonzero(~is_left)
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for k in mine:
-            s, t = size[theirs], size[k]
-            maybe = theirs[(4 * np.minimum(s, t) >= 3 * np.maximum(s, t)) & (comp[theirs] != comp[k])]
-            differ = np.bitwise_count(words[maybe] ^ words[k]).sum(axis=1, dtype=np.int64)
-            hit = maybe[7 * differ <= size[maybe] + t]
-            a.append(np.minimum(cls[hit], cls[k]))
-            b.append(np.maximum(cls[hit], cls[k]))
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
-
-    return left.unionByName(right).groupBy("sig", "x", "y").applyInArrow(run, "a long, b long")
+def _verified(near: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs that link, by their sets."""
+
+    def linked(batches):
+        for batch in batches:
+            kept = []
+            for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = np.concatenate([x, y])
+                both.sort()
+                common = int((both[1:] == both[:-1]).sum())
+                if 100 * common >= 75 * (len(x) + len(y) - common):
+                    kept.append(i)
+            yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(kept, pa.int64())) for k in (0, 1)], names=["a", "b"])
+
+    left, right = sets.select(F.col("cls").alias("a"), F.col("s").alias("sa")), sets.select(F.col("cls").alias("b"), F.col("s").alias("sb"))
+    return stored(near.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(linked, "a long, b long"), "links")
 
 
 def linked_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, words: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id): the smallest doc_id reachable by links, itself included."""
     members, links = join(docs, doc_id, text, words=words, spanning=True)
     known = components(links)
+    drop_stored(links)
     own = members.join(known, members["class"] == known["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "class").alias("group"))
     least = own.where("n_shingles > 0").groupBy("group").agg(F.min("doc_id").alias("least"))
     # Documents without shingles look for no group: they are dealt evenly under groups that match nothing.
