@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words of letters, digits and underscores of any script.
-TOKEN = r"(?U)\b\w+\b"
+TOKEN = r"(?U)\w+"
 NO_LABEL = "[no label generated]"
 #: Seconds to wait when an error message names none.
 DEFAULT_WAIT = 60.0
@@ -43,13 +45,26 @@ def filled(template: str, k: Column, block: Column) -> Column:
     return F.replace(F.replace(F.lit(template), F.lit("{k}"), k.cast("string")), F.lit("{documents_block}"), block)
 
 
+#: A wait in a rate limit's message: minutes, which may be missing, and seconds.
+WAIT = r"again in (?:([0-9]+) ?m)? ?([0-9]+(?:\.[0-9]*)?) ?s"
+
+
 def wait_seconds(message: Column) -> Column:
-    """Seconds named in a rate limit's message: ``try again in 7.5s``, ``try again in 1m30s``; else a minute."""
-    short = F.regexp_extract(message, r"try again in (\d+(?:\.\d+)?)s", 1)
-    minutes, rest = (F.regexp_extract(message, r"try again in (\d+)m([\d.]+)s", g) for g in (1, 2))
-    return F.coalesce(
-        F.when(short != "", short.cast("double")), F.when(minutes != "", minutes.cast("double") * 60 + rest.cast("double")), F.lit(DEFAULT_WAIT)
-    )
+    """Seconds named in a rate limit's message, as ``again in 7.5s`` or ``again in 1m30s``; else a minute."""
+    minutes, seconds = (F.regexp_extract(message, WAIT, g) for g in (1, 2))
+    named = F.when(minutes != "", minutes).otherwise("0").cast("double") * 60 + F.when(seconds != "", seconds).otherwise("0").cast("double")
+    return F.when(seconds != "", named).otherwise(F.lit(DEFAULT_WAIT))
+
+
+def wait_of(message: str) -> float:
+    """wait_seconds() of one message, without Spark."""
+    found = re.search(WAIT, message)
+    return float(found[1] or 0) * 60 + float(found[2]) if found else DEFAULT_WAIT
+
+
+def shown(name: Column, names: dict[str, str]) -> Column:
+    """The name to display; a name that has no other is shown as it is."""
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[name], name) if names else name
 
 
 def cleaned_label(label: Column) -> Column:

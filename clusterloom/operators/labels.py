@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from typing import Protocol
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,7 +58,7 @@ def labelled(prompted: DataFrame, labeller: Labeller, retries: int = 5, sleep: C
                         answer = labeller(prompt)
                         break
                     except RateLimited as limit:
-                        (sleep or time.sleep)(seconds_to_wait(str(limit)))
+                        (sleep or time.sleep)(T.wait_of(str(limit)))
                     except Exception:  # any failure of an outside service is "no label"
                         break
                 out.append((answer or "").strip() or T.NO_LABEL)
@@ -64,13 +67,34 @@ def labelled(prompted: DataFrame, labeller: Labeller, retries: int = 5, sleep: C
     return prompted.select("label", "prompt").mapInArrow(run, f"label {kind}, generated string")
 
 
-def seconds_to_wait(message: str) -> float:
-    """wait_seconds() for one message."""
-    import re
-
-    if m := re.search(r"try again in (?:(\d+)m)?(\d+(?:\.\d+)?)s", message):
-        return 60.0 * int(m[1] or 0) + float(m[2])
-    return T.DEFAULT_WAIT
+@dataclass(frozen=True)
+class HttpLabeller:
+    """A labeller that asks a chat service: temperature 0, ``tokens`` tokens at most. The key is read from the named
+    variable on the worker, so it is in no plan. Too many requests (status 429) raise RateLimited."""
+
+    url: str
+    model: str
+    key_variable: str = ""
+    tokens: int = 30
+    timeout: float = 60.0
+
+    def __call__(self, prompt: str) -> str | None:
+        import json
+        import os
+        from urllib.error import HTTPError
+        from urllib.request import Request, urlopen
+
+        body = {"model": self.model, "temperature": 0, "max_tokens": self.tokens, "messages": [{"role": "user", "content": prompt}]}
+        headers = {"Content-Type": "application/json"}
+        if self.key_variable:
+            headers["Authorization"] = f"Bearer {os.environ[self.key_variable]}"
+        try:
+            with urlopen(Request(self.url, json.dumps(body).encode(), headers), timeout=self.timeout) as answer:
+                return json.load(answer)["choices"][0]["message"]["content"]
+        except HTTPError as e:
+            if e.code == 429:
+                raise RateLimited(e.read().decode("utf-8", "replace")) from e
+            raise
 
 
 def extractive(docs: DataFrame, label: str = "label", text: str = "text", terms: int = 3) -> DataFrame:
@@ -94,14 +118,32 @@ Embedder = Callable[[DataFrame, str], DataFrame]
 def hashed_embedder(buckets: int = 256) -> Embedder:
     """An offline embedder: adds (column) embedding, the unit vector of a text's hashed token counts."""
 
+    @F.pandas_udf("array<double>")
+    def counted(at: pd.Series) -> pd.Series:
+        return at.map(lambda x: np.bincount(x, minlength=buckets).astype(np.float64))
+
     def embed(df: DataFrame, column: str) -> DataFrame:
         at = F.transform(T.tokens(F.coalesce(F.col(column), F.lit(""))), lambda t: F.pmod(F.xxhash64(t), F.lit(buckets)).cast("int"))
-        ones = F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda i: F.size(F.filter(at, lambda x: x == i)).cast("double"))
-        return df.withColumn("embedding", normalized(ones))
+        return df.withColumn("embedding", counted(at)).withColumn("embedding", normalized(F.col("embedding")))
 
     return embed
 
 
+def model_embedder(load: Callable[[], Callable[[list[str]], np.ndarray]], batch: int = 256) -> Embedder:
+    """An embedder with a model of the user's: load() runs once in each Python worker and gives a function from texts to
+    a matrix of their vectors, which gets ``batch`` texts at a time. Null texts are empty; vectors are put to length one."""
+
+    @F.pandas_udf("array<double>")
+    def encoded(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encode = load()
+        for part in parts:
+            texts = ["" if t is None else t for t in part.tolist()]
+            rows = [row for i in range(0, len(texts), batch) for row in np.asarray(encode(texts[i : i + batch]), dtype=np.float64)]
+            yield pd.Series(rows, dtype=object)
+
+    return lambda df, column: df.withColumn("embedding", encoded(F.col(column))).withColumn("embedding", normalized(F.col("embedding")))
+
+
 def scores(named: DataFrame, embedder: Embedder | None = None, truth: str = "label", generated: str = "generated") -> DataFrame:
     """(label, sem_sim, tok_f1) of generated labels; sem_sim is the cosine of both labels' embeddings."""
     embed = embedder or hashed_embedder()

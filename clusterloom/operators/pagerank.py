@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clusterloom.operators.graph import symmetric, top
+from clusterloom.storage import drop_stored, stored
 
 #: Clusters of more nodes or edges than this don't go into one task.
 MAX_NODES, MAX_EDGES = 100_000, 5_000_000
@@ -45,31 +44,20 @@ def _grouped(nodes: DataFrame, pairs: DataFrame, alpha: float, tol: float | None
     return nodes.groupBy("label").cogroup(pairs.groupBy("label")).applyInArrow(run, schema)
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """Rows stored in the folder that all machines share, to cut lineage; checkpoint() where none is named."""
-    root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-            return df.checkpoint()
-        root = "file:///tmp/clusterloom-checkpoints"
-    path = f"{root.rstrip('/')}/ranks-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def by_dataframes(nodes: DataFrame, pairs: DataFrame, alpha: float = 0.85, tol: float | None = 1e-6, most: int = 1000) -> DataFrame:
     """The same recurrence as joins and sums over all clusters at once, for clusters of any size.
 
     Each step shuffles ranks by node; the mass of nodes without edges is summed by cluster. Each step's ranks are
-    stored, since the next one reads them several times; clusters that have converged keep their ranks. Only the number of clusters still moving gets to the driver.
+    stored, since the next one reads them several times, and dropped once the next step's are; clusters that have
+    converged keep their ranks. Only whether any cluster still moves gets to the driver.
     """
     both = symmetric(pairs)
     out = both.groupBy("label", "src").agg(F.sum("weight").alias("out"))
-    moves = _written(both.join(out, ["label", "src"]).select("label", "src", "dst", (F.col("weight") / F.col("out")).alias("share")))
+    moves = stored(both.join(out, ["label", "src"]).select("label", "src", "dst", (F.col("weight") / F.col("out")).alias("share")), "moves")
     sizes = nodes.groupBy("label").agg(F.count("*").alias("n"))
     bare = out.select("label", F.col("src").alias("doc_id"), F.lit(False).alias("lost"))
     ranks = nodes.join(sizes, "label").join(bare, ["label", "doc_id"], "left").select("label", "doc_id", "n", F.coalesce("lost", F.lit(True)).alias("lost"), (1 / F.col("n")).alias("x"), F.lit(False).alias("still"))
-    ranks = _written(ranks)
+    ranks = stored(ranks, "ranks")
     for _ in range(most):
         sent = moves.join(ranks.select("label", F.col("doc_id").alias("src"), "x"), ["label", "src"]).groupBy("label", F.col("dst").alias("doc_id")).agg(F.sum(F.col("share") * F.col("x")).alias("got"))
         lost = ranks.groupBy("label").agg(F.sum(F.when(F.col("lost"), F.col("x")).otherwise(0.0)).alias("mass"))
@@ -78,9 +66,11 @@ def by_dataframes(nodes: DataFrame, pairs: DataFrame, alpha: float = 0.85, tol:
         if tol is not None:
             done = moved.groupBy("label").agg((F.sum("change") < F.first("n") * tol).alias("done"))
             moved = moved.join(done, "label").withColumn("still", F.col("still") | F.col("done"))
-        ranks = _written(moved.select("label", "doc_id", "n", "lost", "x", "still"))
+        last, ranks = ranks, stored(moved.select("label", "doc_id", "n", "lost", "x", "still"), "ranks")
+        drop_stored(last)
         if tol is not None and ranks.where("not still").isEmpty():
             break
+    drop_stored(moves)
     return ranks.select("label", "doc_id", F.col("x").alias("pagerank_score"))
 
 
@@ -92,6 +82,7 @@ def pagerank(nodes: DataFrame, pairs: DataFrame, alpha: float = 0.85, tol: float
     in one; larger ones by joins.
     """
     nodes = nodes.select("label", "doc_id").where("label is not null and doc_id is not null")
+    pairs = stored(pairs, "pairs")  # read for the sizes and for the ranks; comparing vectors once is enough
     n = nodes.groupBy("label").agg(F.count("*").alias("n")).join(pairs.groupBy("label").agg(F.count("*").alias("e")), "label", "left")
     large = n.where((F.col("n") > MAX_NODES) | (F.col("e") > MAX_EDGES)).select("label")
     if large.isEmpty():

@@ -17,8 +17,10 @@ from clusterloom.operators.graph import top
 from clusterloom.operators.sampling import first_of_others, order_key, sample
 
 SMOOTH = 1e-5
-#: Query vectors that are broadcast at a time.
-QUERIES = 4096
+#: Query vectors that are broadcast at a time, and similarities that a task holds of them.
+QUERIES, HELD = 4096, 4_000_000
+#: For ranks: documents of a block, and similarities of a task's queries to their cluster.
+DOCS, UNIT = 32_768, 4_000_000
 
 
 def _named(vectors: DataFrame, label: str, doc_id: str, vector: str) -> DataFrame:
@@ -73,12 +75,16 @@ def _nearest(ids: np.ndarray, q: np.ndarray, k: int):
             own = batch.column(batch.schema.get_field_index("doc_id")).to_numpy()
             v = np.array(batch.column(batch.schema.get_field_index("embedding")).flatten(), dtype=np.float64).reshape(len(own), -1)
             labels = batch.column(batch.schema.get_field_index("label"))
-            sims = q @ v.T
-            sims[ids[:, None] == own[None, :]] = -2.0
-            # Ties at the k-th place are all kept; the last step picks by id.
-            kth = np.partition(np.round(sims, 10), max(0, len(own) - k), axis=1)[:, max(0, len(own) - k)]
-            r, c = np.nonzero((np.round(sims, 10) >= kth[:, None]) & (sims > -2))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[r]), labels.take(pa.array(c)), pa.array(own[c]), pa.array(sims[r, c])], names=["query_id", "label", "doc_id", "sim"])
+            step = max(1, HELD // len(own))
+            for at in range(0, len(ids), step):
+                names = ids[at : at + step]
+                sims = np.round(q[at : at + step] @ v.T, 10)
+                sims[names[:, None] == own[None, :]] = -2.0
+                # Ties at the k-th place are all kept; the last step picks by id.
+                last = max(0, len(own) - k)
+                kth = np.partition(sims, last, axis=1)[:, last]
+                r, c = np.nonzero((sims >= kth[:, None]) & (sims > -2))
+                yield pa.RecordBatch.from_arrays([pa.array(names[r]), labels.take(pa.array(c)), pa.array(own[c]), pa.array(sims[r, c])], names=["query_id", "label", "doc_id", "sim"])
 
     return run
 
@@ -120,23 +126,72 @@ def overlap(vectors: DataFrame, label: str = "label", doc_id: str = "doc_id", ve
 
 def nmrd(vectors: DataFrame, label: str = "label", doc_id: str = "doc_id", vector: str = "embedding", cap: int = 200, seed: int = 42) -> DataFrame:
     """Mean over sampled documents of the mean reciprocal rank of their cluster's other members among all documents,
-    divided by its best value. The document itself ranks last. Ranks are windows over a sample's similarities, so
-    they sort and spill; the samples are cap rows a cluster."""
+    divided by its best value. The document itself ranks last; ties go to the smaller id.
+
+    A member's rank is one more than the number of documents that beat it, which blocks of documents count apart. So no
+    query's similarities are rows, nor sorted as a whole: a task holds some queries of a cluster (UNIT similarities to its
+    members at most, one query at least), the cluster's members and one block of documents, and gives one list of counts a query.
+    """
     own = _named(vectors, label, doc_id, vector)
-    n = own.groupBy("label").agg(F.count("*").alias("m"))
-    queries = sample(own, "label", "doc_id", cap, seed).select(F.col("label").alias("q_label"), F.col("doc_id").alias("q_id"), F.col("embedding").alias("q"))
-    pairs = own.join(queries).select("q_label", "q_id", "label", "doc_id", F.when(F.col("q_id") == F.col("doc_id"), -2.0).otherwise(F.round(dot(F.col("q"), F.col("embedding")), 10)).alias("sim"))
-    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("q_id").orderBy(F.col("sim").desc(), "doc_id")))
-    mine = ranked.where("label = q_label and doc_id <> q_id").groupBy("q_label", "q_id").agg(F.avg(1 / F.col("rank")).alias("mrr"))
-    scored = mine.join(n, mine["q_label"] == n["label"]).groupBy("label").agg(F.avg(F.col("mrr") / ideal_reciprocal(F.col("m"))).alias("nmrd"))
-    return n.select("label").join(scored, "label", "left")
+    sizes = own.groupBy("label").agg(F.count("*").alias("m"))
+    blocks = max(1, -(-own.count() // DOCS))
+    units = sizes.select("label", "m", F.ceil(F.least(F.col("m"), F.lit(cap)) * F.col("m") / UNIT).cast("int").alias("units"))
+    asked = sample(own, "label", "doc_id", cap, seed).join(units, "label").withColumn("unit", F.pmod(F.xxhash64("doc_id"), F.col("units")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("units") - 1)).alias("unit")
+    block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
+    each = ["label", "unit", "doc_id", "embedding"]
+    members = own.join(units, "label").select("label", "doc_id", "embedding", every).select(*each, F.lit(False).alias("asks"))
+    left = asked.select(*each, F.lit(True).alias("asks")).unionByName(members).select("*", block)
+    # Every unit meets every block: a row for each unit goes to all tasks.
+    named = F.broadcast(units.select(F.col("label").alias("_label"), every))
+    right = own.select(F.col("doc_id").alias("other_id"), F.col("embedding").alias("other"), F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block")).join(named).withColumnsRenamed({"_label": "label"})
+    kinds = dict(own.dtypes)
+
+    def count(asked: pa.Table, docs: pa.Table) -> pa.Table:
+        kind = asked.schema.field("label").type
+        if not asked.num_rows or not docs.num_rows:
+            return pa.table({"label": pa.array([], kind), "doc_id": pa.array([], asked.schema.field("doc_id").type), "beaten": pa.array([], pa.list_(pa.int64()))})
+        asks = np.array(asked.column("asks").to_pylist())
+        ids, v = asked.column("doc_id").to_numpy(), _matrix(asked)
+        q, q_ids, of, of_ids = v[asks], ids[asks], v[~asks], ids[~asks]
+        order = np.argsort(of_ids, kind="stable")
+        of, of_ids, others, other_ids = of[order], of_ids[order], _matrix(docs, "other"), docs.column("other_id").to_numpy()
+        beaten = []
+        for x, own_id in zip(q, q_ids):
+            s, t = np.round(others @ x, 10), np.round(of @ x, 10)
+            s[other_ids == own_id] = -2.0
+            at = np.lexsort((other_ids, -s))
+            s, named = -s[at], other_ids[at]
+            low, high = np.searchsorted(s, -t), np.searchsorted(s, -t, "right")
+            for k in np.flatnonzero(high > low).tolist():  # equally near: the smaller ids beat it
+                low[k] += np.searchsorted(named[low[k] : high[k]], of_ids[k])
+            beaten.append(low[of_ids != own_id])
+        return pa.table({"label": pa.array([asked.column("label")[0].as_py()] * len(q), kind), "doc_id": pa.array(q_ids), "beaten": pa.array(beaten, pa.list_(pa.int64()))})
+
+    schema = f"label {kinds['label']}, doc_id {kinds['doc_id']}, beaten array<bigint>"
+    parts = left.groupBy("label", "unit", "block").cogroup(right.groupBy("label", "unit", "block")).applyInArrow(count, schema)
+
+    def rank(table: pa.Table) -> pa.Table:
+        counts = np.sum([np.array(x, dtype=np.int64) for x in table.column("beaten").to_pylist()], axis=0)
+        mean = float((1 / (counts + 1)).mean()) if len(counts) else None
+        return pa.table({"label": table.column("label").slice(0, 1), "mrr": pa.array([mean], pa.float64())})
+
+    mine = parts.groupBy("label", "doc_id").applyInArrow(rank, f"label {kinds['label']}, mrr double").join(sizes, "label")
+    scored = mine.where("mrr is not null").groupBy("label").agg(F.avg(F.col("mrr") / ideal_reciprocal(F.col("m"))).alias("nmrd"))
+    return sizes.select("label").join(scored, "label", "left")
+
+
+def _matrix(table: pa.Table, column: str = "embedding") -> np.ndarray:
+    return np.array(table.column(column).combine_chunks().flatten(), dtype=np.float64).reshape(table.num_rows, -1)
 
 
 def density(docs: DataFrame, label: str = "label", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Distinct (document, token) pairs over vocabulary times documents; null for clusters without any token."""
-    own = docs.where(F.col(label).isNotNull()).select(F.col(label).alias("label"), F.coalesce(F.array_distinct(T.tokens(F.col(text))), F.array().cast("array<string>")).alias("tokens"))
-    sizes = own.groupBy("label").agg(F.count("*").alias("n"), F.sum(F.size("tokens").cast("long")).alias("pairs"))
-    vocabulary = own.select("label", F.explode("tokens").alias("token")).groupBy("label", "token").count().groupBy("label").agg(F.count("*").alias("v"))
+    """Distinct (document, token) pairs over vocabulary times documents; null for clusters without any token. Texts are
+    cut into tokens once; a token's documents are counted where it is read before anything is shuffled."""
+    own = docs.where(F.col(label).isNotNull()).select(F.col(label).alias("label"), F.col(text).alias("text"))
+    used = own.select("label", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("token")).groupBy("label", "token").agg(F.count("*").alias("df"))
+    vocabulary = used.groupBy("label").agg(F.count("*").alias("v"), F.sum("df").alias("pairs"))
+    sizes = own.groupBy("label").agg(F.count("*").alias("n"))
     return sizes.join(vocabulary, "label", "left").select("label", (F.col("pairs") / (F.col("v") * F.col("n"))).alias("density"))
 
 

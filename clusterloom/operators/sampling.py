@@ -46,5 +46,16 @@ def stratified_split(df: DataFrame, label: str, doc_id: str, test_share: float =
     left = F.ceil(F.lit(test_share) * F.col("n")) - F.sum("quota").over(Window.partitionBy())
     order = F.row_number().over(Window.partitionBy().orderBy(F.col("rest").desc(), label))  # one row a cluster
     quotas = want.withColumns({"left": left, "at": order}).select(label, (F.col("quota") + (F.col("at") <= F.col("left")).cast("long")).alias("quota"))
-    at = F.row_number().over(Window.partitionBy(label).orderBy(order_key(seed, F.col(doc_id)), doc_id))
-    return known.withColumn("_at", at).join(quotas, label).withColumn("split", F.when(F.col("_at") <= F.col("quota"), "test").otherwise("dev")).drop("_at", "quota")
+    # Where each cluster's quota falls among 65,536 ranges of the order: whole ranges go to either side, and only the one
+    # that the quota cuts is sorted. So no task sorts a cluster.
+    key = order_key(seed, F.col(doc_id))
+    placed = known.withColumns({"_key": key, "_range": F.substring(key, 1, 4)})
+    upto = F.sum("c").over(Window.partitionBy(label).orderBy("_range"))
+    ranges = placed.groupBy(label, "_range").agg(F.count("*").alias("c")).withColumn("upto", upto).join(quotas, label)
+    cuts = ranges.where("quota > upto - c and quota <= upto").select(label, F.col("_range").alias("_cut"), (F.col("quota") - F.col("upto") + F.col("c")).alias("_left"))
+    both = placed.join(cuts, label, "left")
+    at = F.row_number().over(Window.partitionBy(label, "_range").orderBy("_key", doc_id))
+    inside = both.where(F.col("_range") == F.col("_cut")).withColumn("split", F.when(at <= F.col("_left"), "test").otherwise("dev"))
+    outside = both.where(F.col("_cut").isNull() | (F.col("_range") != F.col("_cut"))).withColumn("split", F.when(F.col("_range") < F.col("_cut"), "test").otherwise("dev"))
+    extra = ("_key", "_range", "_cut", "_left")
+    return outside.drop(*extra).unionByName(inside.drop(*extra))

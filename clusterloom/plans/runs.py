@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from clusterloom.functions.stats import correlations
 from clusterloom.operators import analysis, graph, labels, pagerank, sampling, subcluster
 from clusterloom.sources import readers, writers
+from clusterloom.storage import drop_stored, stored
 
 
 @dataclass(frozen=True)
@@ -64,8 +65,15 @@ def run(spark: SparkSession, cfg: Config, docs: DataFrame | None = None, vectors
     return named.withColumn("label", F.col("label").cast("string")).join(labels.scores(named, embedder), "label")
 
 
+def fields(cfg: Config) -> dict:
+    """A configuration under the names that records have."""
+    named = asdict(cfg)
+    return named | {"labeling_model": named.pop("labelling_model")}
+
+
 def sweep(spark: SparkSession, cfg: Config, docs: DataFrame, vectors: DataFrame, folder: str, grid: dict = FULL, labeller=None, embedder=None, seed: int = 42) -> dict:
-    """Scores every combination on the dev split, keeps each as it comes, and scores the best one on the test split.
+    """Scores every combination on the dev split, keeps each as it comes, scores the best one on the test split, and
+    writes the whole as results.json in the folder.
 
     Similarities are compared once, at the lowest threshold. Finished combinations are known by their parameters, so a
     grid may change between calls. The result: dev (a row for each run), best (its Config), test (rows of run()).
@@ -78,17 +86,22 @@ def sweep(spark: SparkSession, cfg: Config, docs: DataFrame, vectors: DataFrame,
     pairs = None
     for r in writers.missing_runs(todo, at, keys).orderBy("run").collect():  # a row for each combination
         if pairs is None:
-            pairs = graph.edges(on["dev"], min(grid["thresholds"])).persist()
+            pairs = stored(graph.edges(on["dev"], min(grid["thresholds"])), "pairs")
         one = replace(cfg, split="dev", similarity_threshold=r["threshold"], top_k=r["top_k"], pagerank_alpha=r["alpha"])
-        means = labels.mean_scores(run(spark, one, dev, on["dev"], labeller=labeller, embedder=embedder, pairs=pairs))
+        record = writers.run_record(run(spark, one, dev, on["dev"], labeller=labeller, embedder=embedder, pairs=pairs), fields(one))
         config = {"dataset": cfg.dataset, "threshold": r["threshold"], "top_k": r["top_k"], "alpha": r["alpha"]}
-        writers.append_run(means.select(*[F.lit(v).alias(k) for k, v in config.items()], "sem_sim", "tok_f1"), at)
+        mean = lambda m: F.col(f"metrics.{m}")[readers.MEAN]
+        means = (mean("semantic_similarity").alias("sem_sim"), mean("token_overlap_f1").alias("tok_f1"))
+        writers.append_run(record.select(*[F.lit(v).alias(k) for k, v in config.items()], *means, F.struct("config", "labels", "metrics").alias("record")), at)
     if pairs is not None:
-        pairs.unpersist()
+        drop_stored(pairs)
     done = spark.read.parquet(at).join(todo.select("run", *keys), keys)
-    best = analysis.best_runs(done, ["run"]).first()
+    best = analysis.best_runs(done.drop("record"), ["run"]).first()
     chosen = replace(cfg, split="test", similarity_threshold=best["threshold"], top_k=best["top_k"], pagerank_alpha=best["alpha"])
-    return {"dev": done, "best": chosen, "test": run(spark, chosen, test, on["test"], labeller=labeller, embedder=embedder)}
+    tested = stored(run(spark, chosen, test, on["test"], labeller=labeller, embedder=embedder), "test")
+    named = {"similarity_threshold": best["threshold"], "top_k": best["top_k"], "pagerank_alpha": best["alpha"]}
+    writers.write_results(done.select("run", "record"), named, writers.run_record(tested, fields(chosen)), f"{folder.rstrip('/')}/results.json")
+    return {"dev": done.drop("record"), "best": chosen, "test": tested}
 
 
 def full_sweep(spark: SparkSession, cfg: Config, corpora: dict[str, tuple[DataFrame, DataFrame]], folder: str, **how) -> dict[str, dict]:
@@ -114,6 +127,7 @@ def correlation_table(quality: DataFrame, scored: DataFrame) -> DataFrame:
     long = both.select("dataset", *METRICS, F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("x")) for m in MEASURES])).alias("m"))
     long = long.select("dataset", "m.measure", "m.x", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("y")) for m in METRICS])).alias("y"))
     table = correlations(long.select("dataset", "measure", "y.metric", "x", "y.y"), ["dataset", "measure", "metric"])
+    table = table.orderBy("dataset", "metric", "measure")  # as it is reported; a row for each dataset, measure and metric
     return table.select("dataset", "measure", "metric", "n", *[F.bround(c, 3 if c.endswith("_r") else 4).alias(c) for c in ("pearson_r", "pearson_p", "spearman_r", "spearman_p")])
 
 

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from clusterloom.functions.text import is_not_blank
+from clusterloom.storage import stored
 
+#: Fields of the records that runs are kept in: fixed values, so that such files can be read.
 _CONFIG = (
     "STRUCT<dataset: STRING, split: STRING, embedding_model: STRING, embedding_batch_size: INT, embedding_device: STRING, similarity_threshold: DOUBLE,"
     " chunk_size: INT, top_k: INT, pagerank_alpha: DOUBLE, labeling_model: STRING, max_doc_words: INT, cache_dir: STRING, use_cache: BOOLEAN, output_dir: STRING>"
@@ -27,19 +29,19 @@ NEWS_TOPICS = ("World", "Sports", "Business", "Sci/Tech")
 
 
 def numbered(df: DataFrame, *order: str) -> DataFrame:
-    """df with doc_id: ids follow the given order without one task sorting everything, by counts of its partitions."""
-    placed = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("row"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
-    n = max(1, df.sparkSession.sparkContext.defaultParallelism)
-    sorted_ = placed.repartitionByRange(n, *[f"_o{i}" for i in range(len(order))]).withColumn("_p", F.spark_partition_id()).persist() if order else None
-    if sorted_ is None:
-        return df.withColumn("doc_id", F.monotonically_increasing_id())
-    counts = {r["_p"]: r["count"] for r in sorted_.groupBy("_p").count().collect()}  # a row for each partition
-    before, total = {}, 0
-    for p in sorted(counts):
-        before[p], total = total, total + counts[p]
-    offset = F.create_map(*[x for p, b in before.items() for x in (F.lit(p), F.lit(b))])[F.col("_p")] if before else F.lit(0)
-    at = F.row_number().over(Window.partitionBy("_p").orderBy(*[f"_o{i}" for i in range(len(order))]))
-    return sorted_.withColumn("doc_id", (offset + at - 1).cast("long")).select("doc_id", "row.*")
+    """df with doc_id: ids follow the given order without one task sorting everything, by counts of its ranges.
+
+    Ranges are stored once, so that ids stay the same when a task runs again.
+    """
+    places = [f"_o{i}" for i in range(len(order))]
+    placed = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("row"), *[F.col(c).alias(p) for c, p in zip(order, places)])
+    # The driver samples the ranges' keys, so no long text is one.
+    keys = [F.substring(p, 1, 64) if dict(placed.dtypes)[p] == "string" else F.col(p) for p in places]
+    ranged = stored(placed.repartitionByRange(*keys).withColumn("_p", F.spark_partition_id()), "ranges")
+    counts = ranged.groupBy("_p").agg(F.count("*").alias("n"))  # a row for each range
+    before = counts.select("_p", (F.sum("n").over(Window.orderBy("_p")) - F.col("n")).alias("before"))
+    at = F.row_number().over(Window.partitionBy("_p").orderBy(*places))
+    return ranged.withColumn("at", at).join(F.broadcast(before), "_p").withColumn("doc_id", (F.col("before") + F.col("at") - 1).cast("long")).select("doc_id", "row.*")
 
 
 def read_csv(spark: SparkSession, path: str, null: str | None = "") -> DataFrame:
@@ -58,8 +60,44 @@ def read_parquet(spark: SparkSession, path: str, text: str = "text", label: str
     """(doc_id, text, label) of a table; names turns integer labels to words, unknown ones to null."""
     df = spark.read.parquet(path)
     named = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(i), F.lit(n))])[F.col(label).cast("int")] if names else F.col(label)
-    df = df.select((F.col(doc_id) if doc_id else F.monotonically_increasing_id()).alias("doc_id"), F.col(text).alias("text"), named.alias("label"))
-    return df.where(is_not_blank(F.col("text"))) if drop_blank else df
+    own = df.select(*([F.col(doc_id).alias("doc_id")] if doc_id else []), F.col(text).alias("text"), named.alias("label"))
+    own = own.where(is_not_blank(F.col("text"))) if drop_blank else own
+    return own if doc_id else numbered(own, "label", "text").select("doc_id", "text", "label")
+
+
+#: Lines of a post that quote another one, or introduce a quotation: fixed values, so that the same lines go.
+QUOTED = r"(writes in|writes:|wrote:|says:|said:|^In article|^Quoted from|^\||^>)"
+
+
+def without_headers(post: Column) -> Column:
+    """What follows the first blank line; nothing if there is none."""
+    at = F.locate("\n\n", post)
+    return F.when(at > 0, F.substring(post, at + 2, F.length(post))).otherwise("")
+
+
+def without_quotes(post: Column) -> Column:
+    return F.array_join(F.filter(F.split(post, "\n"), lambda x: ~x.rlike(QUOTED)), "\n")
+
+
+def without_footer(post: Column) -> Column:
+    """The post up to its last line that is blank or of hyphens only, if that isn't the first: a signature follows there."""
+    lines = F.split(F.regexp_replace(post, r"^\s+|\s+$", ""), "\n")
+    breaks = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(lines, i).rlike(r"^\s*-*\s*$"))
+    last = F.coalesce(F.array_max(breaks), F.lit(0))
+    return F.when(last > 0, F.array_join(F.slice(lines, 1, last), "\n")).otherwise(post)
+
+
+def read_posts(spark: SparkSession, path: str, subset: str = "all", strip: bool = True, names: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text, label) of a table of forum posts: text, label and, for subsets, subset (train or test). strip: without
+    headers, quotations and footers. Posts of which nothing is left go."""
+    if subset not in ("all", "train", "test"):
+        raise ValueError(f"subset is all, train or test, not {subset}")
+    df = spark.read.parquet(path)
+    df = df if subset == "all" else df.where(F.col("subset") == subset)
+    label = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(i), F.lit(n))])[F.col("label").cast("int")] if names else F.col("label")
+    text = without_footer(without_quotes(without_headers(F.col("text")))) if strip else F.col("text")
+    own = df.select(*(["doc_id"] if "doc_id" in df.columns else []), text.alias("text"), label.alias("label")).where(is_not_blank(F.col("text")))
+    return own if "doc_id" in own.columns else numbered(own, "label", "text").select("doc_id", "text", "label")
 
 
 Loader = Callable[[SparkSession, str], DataFrame]
@@ -67,7 +105,7 @@ Loader = Callable[[SparkSession, str], DataFrame]
 LOADERS: dict[str, Loader] = {
     "csv_articles": lambda s, p: numbered(read_csv(s, p), "label", "text").select("doc_id", "text", "label"),
     "text_tree": read_text_tree,
-    "forum_posts": lambda s, p: read_parquet(s, p, drop_blank=True),
+    "forum_posts": read_posts,
     "news_topics": lambda s, p: read_parquet(s, p, names=NEWS_TOPICS),
     "intents": lambda s, p: read_parquet(s, p, label="label_text"),
     "parquet": read_parquet,
@@ -114,21 +152,28 @@ def by_label(runs: DataFrame, *keys: str) -> DataFrame:
     return runs.select(*keys, "f1_by_label", F.explode("sem_by_label").alias("label", "sem_sim")).select(*keys, "label", "sem_sim", F.col("f1_by_label")[F.col("label")].alias("tok_f1"))
 
 
-def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """The record of a finished sweep: dev_sweep, best_config, best_dev_metrics, test_result."""
-    return spark.read.schema(RESULTS).json(path, multiLine=True)
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def read_results(spark: SparkSession, path: str) -> DataFrame | None:
+    """The record of a finished sweep: dev_sweep, best_config, best_dev_metrics, test_result; None if there is no such file."""
+    return spark.read.schema(RESULTS).json(path, multiLine=True) if _exists(spark, path) else None
 
 
-def read_test_scores(spark: SparkSession, path: str) -> DataFrame:
-    """(label, sem_sim, tok_f1) of the test result."""
-    r = read_results(spark, path).select(_scores("test_result.metrics.semantic_similarity").alias("sem_by_label"), _scores("test_result.metrics.token_overlap_f1").alias("f1_by_label"))
+def read_test_scores(spark: SparkSession, path: str) -> DataFrame | None:
+    """(label, sem_sim, tok_f1) of the test result; None if there is no such file."""
+    whole = read_results(spark, path)
+    if whole is None:
+        return None
+    r = whole.select(_scores("test_result.metrics.semantic_similarity").alias("sem_by_label"), _scores("test_result.metrics.token_overlap_f1").alias("f1_by_label"))
     return by_label(r)
 
 
 def read_quality(spark: SparkSession, path: str) -> DataFrame | None:
     """(cluster, five measures), lower-is-better divergence negated; None if there is no such file."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+    if not _exists(spark, path):
         return None
     whole = spark.read.text(path, wholetext=True).select(F.from_json("value", QUALITY).alias("m")).select(F.explode("m").alias("cluster", "q"))
     return whole.select("cluster", "q.*").withColumn("kl_divergence", -F.col("kl_divergence"))
