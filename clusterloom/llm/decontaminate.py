@@ -110,6 +110,38 @@ def edits_of_windows(item: np.ndarray, starts: np.ndarray, size: int, text: np.n
     return cost[rows, best], cell[rows, best] % unit, size + best - budget
 
 
+class Short:
+    """Items too short for windows: they are found where they stand verbatim as whole words."""
+
+    def __init__(self, items: list):
+        self.items, lengths = items, np.array([len(c) for _, c in items])
+        self.of = []  # (length, sorted hashes, item numbers)
+        for n in np.unique(lengths).tolist():
+            own = np.flatnonzero(lengths == n)
+            h = np.array([gram_hashes(items[k][1], n)[0] for k in own], dtype=np.uint64)
+            order = np.argsort(h, kind="stable")
+            self.of.append((n, h[order], own[order]))
+
+    def search(self, c: np.ndarray, places: np.ndarray) -> dict[int, tuple[int, int, int, int]]:
+        found: dict[int, tuple[int, int, int, int]] = {}
+        for n, hashes, own in self.of:
+            g = gram_hashes(c, n)
+            left, right = np.searchsorted(hashes, g), np.searchsorted(hashes, g, "right")
+            for at in np.flatnonzero(right > left).tolist():
+                if at and _joined(c[at - 1], c[at]) or at + n < len(c) and _joined(c[at + n - 1], c[at + n]):
+                    continue
+                for k in own[left[at] : right[at]].tolist():
+                    if (self.items[k][1] == c[at : at + n]).all():
+                        count, first = (found[k][0], found[k][2]) if k in found else (0, int(places[at]))
+                        found[k] = (count + 1, 0, first, int(places[at + n - 1]) + 1)
+        return found
+
+
+def _joined(a: int, b: int) -> bool:
+    """Whether no word ends between these characters."""
+    return chr(a).isalnum() and chr(b).isalnum()
+
+
 @dataclass
 class Index:
     """The windows of benchmark items and the places of the items' q-grams."""
@@ -121,16 +153,26 @@ class Index:
     starts: list = field(default_factory=list)  # of each item, its windows' starts; all have the length of the first
 
     @classmethod
-    def of(cls, rows: list[tuple], q: int, window: int, step: int, share: float) -> Index:
-        out = cls(q, window, int(window * share))
+    def of(cls, rows: list[tuple], q: int, window: int, step: int, share: float) -> list[Index | Short]:
+        """Indexes for all items that have a character: one for each length of q-gram that the lemma allows, and one for short items.
+
+        A region with e edits keeps size - q + 1 - e * q q-grams of a window; that is one at least if q is at most size /
+        (e + 1). So windows for which the given q is too long get a shorter one.
+        """
+        budget, short, out = int(window * share), [], {}
         for item_id, text in rows:
             c, _ = normalised((text or "").encode())
             if len(c) < q * 2:
+                if len(c):
+                    short.append((item_id, c))
                 continue
-            out.items.append((item_id, c))
+            size = min(window, len(c))
+            own = min(q, size // (min(budget, size * budget // window) + 1))
+            index = out.setdefault(own, cls(own, window, budget))
+            index.items.append((item_id, c))
             last = max(0, len(c) - window)
-            out.starts.append(np.array(sorted({*range(0, last, step), last}), dtype=np.int64))
-        return out.ready()
+            index.starts.append(np.array(sorted({*range(0, last, step), last}), dtype=np.int64))
+        return [x.ready() for x in out.values()] + ([Short(short)] if short else [])
 
     def ready(self) -> Index:
         grams = [gram_hashes(c, self.q) for _, c in self.items]
@@ -145,16 +187,13 @@ class Index:
         self.sizes = np.minimum(self.window, np.array([len(c) for _, c in self.items], dtype=np.int64))
         self.budgets = np.minimum(self.budget, (self.sizes * self.budget) // self.window)
         # The lemma: a region within the budget keeps this many of the window's q-grams.
-        self.least = np.maximum(1, self.sizes - self.q + 1 - self.budgets * self.q)
+        self.least = self.sizes - self.q + 1 - self.budgets * self.q
         self.fewest = int(self.least.min()) if len(self.sizes) else 1
         self.longest = int(self.sizes.max()) + self.budget if len(self.sizes) else 0
         return self
 
-    def search(self, text: bytes) -> dict[int, tuple[int, int, int, int]]:
-        """item number -> (windows found, fewest edits, start, end) with places in the text."""
-        if not self.items or len(text) < self.q:
-            return {}
-        c, places = normalised(text)
+    def search(self, c: np.ndarray, places: np.ndarray) -> dict[int, tuple[int, int, int, int]]:
+        """item number -> (windows found, fewest edits, start, end) with places in the text that c is normalised() from."""
         g = gram_hashes(c, self.q)
         if not len(g):
             return {}
@@ -222,14 +261,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     """(doc_id, version, item_id, n_windows, edits, start, end): a row for each document and item with a passage in common.
 
     Texts are compared with A-Z in lower case and white space runs as one space. Items are cut into windows of
-    ``window`` characters every ``step`` (one, if shorter; items below 2 q characters are left out): with a step of 1,
-    each stretch of that length is a window, wherever an excerpt starts. A document is
-    contaminated if some stretch of it is within share * window edits of a window: by the q-gram lemma, such a stretch
-    shares a certain number of q-grams with the window inside a band of diagonals; bands with as many are aligned.
+    ``window`` characters every ``step`` (one, if shorter): with a step of 1, each stretch of that length is a window,
+    wherever an excerpt starts. A document is contaminated if some stretch of it is within share * window edits of a
+    window (fewer in proportion, if the window is shorter): by the q-gram lemma, such a stretch shares a certain number of
+    q-grams with the window inside a band of diagonals; bands with as many are aligned. Where q-grams are too long for
+    the lemma, shorter ones are taken. Items below 2 q characters are found where they stand verbatim as whole words.
     n_windows counts the windows found, edits is the least of them, start and end are the characters of the text from
     the first stretch to the last. version tells rows with equal ids and other texts apart; repeated rows give
-    repeated results. Null texts have none; a null id stays; empty tables give no rows; other columns aren't read.
-    The benchmark's index is broadcast in blocks of BLOCK_BYTES of text; each block is a pass over docs.
+    repeated results. Texts of any length are searched whole; one text has to fit a worker. Null texts have none, and
+    null, empty or blank items are in no text; a null id stays; empty tables give no rows; other columns aren't read.
+    The benchmark's index is broadcast in blocks of BLOCK_BYTES of text; each block is a pass over docs. The benchmark
+    is read when this is called.
     """
     own = pick(docs, doc_id=doc_id, text=text)
     own = own.select("doc_id", own["text"].cast("binary").alias("text"), F.xxhash64("text").alias("version"))
@@ -249,14 +291,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
 def _searcher(rows, q, window, step, share, arrow_id):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index.of(rows, q, window, step, share)
+        indexes = Index.of(rows, q, window, step, share)
         for batch in batches:
             texts, out = batch.column(1), []
             for i in range(len(batch)):
                 t = texts[i].as_buffer()
-                if t is not None:
-                    for k, (n, e, x, y) in index.search(t.to_pybytes()).items():
-                        out.append((i, index.items[k][0], n, e, x, y))
+                if t is not None and indexes:
+                    c, places = normalised(t.to_pybytes())
+                    for index in indexes:
+                        out.extend((i, index.items[k][0], *hit) for k, hit in index.search(c, places).items())
             if out:
                 at, item, n, e, x, y = zip(*out)
                 rows_at = pa.array(at)

@@ -32,6 +32,40 @@ def plain(text):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in s)
 
 
+def as_words(item, text):
+    """Whether the item stands in the text verbatim, from a word's start to a word's end."""
+    joined = lambda a, b: a.isalnum() and b.isalnum()
+    return any(
+        text.startswith(item, at) and not (at and joined(text[at - 1], item[0])) and not (at + len(item) < len(text) and joined(item[-1], text[at + len(item)])) for at in range(len(text))
+    )
+
+
+def test_short_items_stand_verbatim(spark):
+    items = [(1, "a"), (2, "New York"), (3, "x y"), (4, " "), (5, "(b)"), (6, "new york")]
+    docs = [(1, "A new\nYORK minute"), (2, "anew york"), (3, "new yorker a"), (4, "(B)a"), (5, ""), (6, None), (7, "x  y new york new york"), (8, "ax ya")]
+    got = dc.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = {(d, i) for d, t in docs for i, it in items if t and plain(it) and as_words(plain(it), plain(t))}
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want and len(want) > 5
+    assert {(r["n_windows"], r["start"], r["end"]) for r in got if r["doc_id"] == 7 and r["item_id"] == 2} == {(2, 5, 22)}
+
+
+def test_no_region_within_the_budget_is_filtered_out():
+    """Items of 20 to 80 characters, with as many edits as the budget allows at the worst places."""
+    rng = random.Random(11)
+    for n in range(20, 81):
+        item = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+        budget = min(6, n * 6 // 80)
+        for _ in range(12):
+            t, places = list(item), sorted(rng.sample(range(n), budget))
+            if rng.random() < 0.5 and budget:
+                places = [min(n - 1, (k + 1) * n // (budget + 1)) for k in range(budget)]
+            for k in places:
+                t[k] = rng.choice(["#", "", t[k] + "#"])
+            text = "0123456789 " * 3 + "".join(t) + " 9876543210" * 3
+            c, at = dc.normalised(text.encode())
+            assert any(x.search(c, at) for x in dc.Index.of([(1, item)], 10, 80, 1, 0.075)), (n, places)
+
+
 def test_against_brute_force(spark):
     rng = random.Random(3)
     word = lambda: "".join(rng.choices("abcdefgéß", k=rng.randrange(2, 8)))
@@ -53,7 +87,11 @@ def test_against_brute_force(spark):
     for d, t in docs:
         for i, it in items:
             c = plain(it or "")
-            if len(c) < 16 or t is None:
+            if not c or t is None:
+                continue
+            if len(c) < 16:
+                if as_words(c, plain(t)):
+                    want.add((d, i))
                 continue
             last = max(0, len(c) - window)
             for s in {*range(0, last, step), last}:
