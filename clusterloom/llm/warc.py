@@ -18,8 +18,10 @@ MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1.1\r\n"
 DATE = "1970-01-01T00:00:00Z"  # pages carry no time; a fixed one keeps archives reproducible
 READ = 1 << 20
-#: Bytes of a decoded header at most; a candidate with a longer one is no record.
-MAX_HEADER = 1 << 16
+
+
+class Damaged(ValueError):
+    """Bytes of an archive that no record decodes from."""
 
 
 def with_revisits(pages: DataFrame, least: int = 100) -> DataFrame:
@@ -87,7 +89,12 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "u
 
 
 class Members:
-    """The gzip members of a file that start inside [start, end), decoded: (offset, bytes)."""
+    """The gzip members of a file that start inside [start, end), decoded: (offset, bytes).
+
+    Members follow each other without gaps. From the first one on, bytes that don't decode to a member are Damaged; so are
+    the first one behind the range and the start of the next, without which the next range could take a record for a false
+    start. So no damaged record is lost in silence.
+    """
 
     def __init__(self, f, size: int, start: int, end: int):
         self.f, self.size, self.start, self.end = f, size, start, end
@@ -148,16 +155,19 @@ class Members:
                 yield self.at, got[0]
                 self._skip(got[1])
                 aligned = True
+            elif aligned:
+                raise Damaged(f"no sound record starts at {self.at}")
             else:
                 self._skip(1)
-                aligned = False
+        if aligned and self.at < self.size and not ((got := self._decode()) and self._follows(got[1])):
+            raise Damaged(f"no sound record starts at {self.at}, or none behind that")
 
 
 def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers by lower-case name, block) of the records of a decoded member."""
     at = 0
     while data.startswith(b"WARC/1.", at):
-        stop = data.index(b"\r\n\r\n", at, at + MAX_HEADER)
+        stop = data.index(b"\r\n\r\n", at)
         heads = {}
         for line in data[at:stop].decode("utf-8", "replace").split("\r\n")[1:]:
             name, _, value = line.partition(":")
@@ -177,7 +187,7 @@ def read(manifest: DataFrame, *, split: int = 8 << 20, payloads: bool = False) -
 
     manifest: (path, size) of archives. Tasks take byte ranges of ``split`` bytes; a record belongs to the range where
     its member starts, wherever it ends. The payload of a response is hashed and held against its header (an error if
-    they differ); a revisit has length and digest of the full payload in its headers and no payload (null).
+    they differ); bytes that hold no sound record are an error, too. A revisit has length and digest of the full payload in its headers and no payload (null).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -49,3 +49,49 @@ def test_embedded_archives_are_not_records(spark, tmp_path):
                 with open(path, "rb") as f:
                     found += [at for at, _ in warc.Members(f, len(data), start, min(len(data), start + split))]
             assert len(found) == (2 if data is own else 3), split
+
+
+def test_damage_is_an_error(spark):
+    """A flipped byte in any record is found, whatever the range; so is a cut file."""
+    import pytest
+
+    page = lambda i: bytes(random.Random(i).choices(b"abc<> ", k=400))
+    whole = b"".join(warc.member(i, "http://a.b/", page(i), hashlib.sha256(page(i)).hexdigest(), None) for i in range(9))
+
+    class File:
+        def __init__(self, data):
+            self.data, self.at = data, 0
+
+        def seek(self, at):
+            self.at = at
+
+        def read(self, n):
+            self.at += n
+            return self.data[self.at - n : self.at]
+
+    def read(data, split):
+        return [at for s in range(0, len(data), split) for at, _ in warc.Members(File(data), len(data), s, min(len(data), s + split))]
+
+    for split in (70, 301, 1 << 20):
+        assert len(read(whole, split)) == 9
+        for at in range(0, len(whole), 61):
+            bad = bytearray(whole)
+            bad[at] ^= 0x5A
+            try:
+                found = read(bytes(bad), split)
+            except warc.Damaged:
+                continue
+            # Bytes of gzip headers that carry nothing (time, system) may change.
+            assert len(found) == 9, (split, at)
+        with pytest.raises(warc.Damaged):
+            read(whole[:-20], split)
+
+
+def test_long_urls_null_ids_and_repeated_pages(spark):
+    pages = [(1, "http://a.b/" + "é" * 12_000, "x" * 200), (1, "http://a.b/", "x" * 200), (2, None, "x" * 200), (None, "u", "x" * 200), (None, "u", None), (3, "http://c.d/" + "y" * 100_000, "z" * 100)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").selectExpr("*", "1 as payload", "2 as key", "3 as digest")
+    got = warc.read(warc.write(df, shared_dir(spark, "warc"))).collect()
+    assert sorted((str(r["page_id"]), r["payload_bytes"], r["record_type"], r["refers_to"]) for r in got) == sorted(
+        [("1", 200, "response", None), ("1", 200, "response", None), ("2", 200, "revisit", 1), ("None", 200, "revisit", 1), ("None", 0, "response", None), ("3", 100, "response", None)]
+    )
+    assert max(len(r["target_uri"] or "") for r in got) > 100_000
