@@ -48,32 +48,37 @@ def splice(text: str, left: list, right: list, low: int, high: int) -> tuple[int
     return min(found)[1:] if found else None
 
 
-def encode_huge(tokenizer, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> tuple[list[tuple[int, int, int]], int, int]:
-    """The spans of a whole text, the number of chunks, and how often an overlap had to be widened.
+def settled(tokenizer, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> Iterator[tuple[list[tuple[int, int, int]], int]]:
+    """The spans of a whole text, in parts that nothing can change any more, each with how often an overlap was widened
+    for it. Only the last chunk's spans are held.
 
     When two chunks share no proven boundary the next one starts earlier, by twice the overlap each time; once it
     would start where the one before did, the two are encoded as one.
     """
-    tokens, begin, end = spans(tokenizer, text[:chunk]), 0, min(chunk, len(text))
-    chunks, widened = 1, 0
-    last = 0  # start of the last chunk
+    tokens, last, end = spans(tokenizer, text[:chunk]), 0, min(chunk, len(text))  # last: start of the last chunk's own tokens
     while end < len(text):
-        back, to = overlap, min(len(text), end + chunk)
+        back, to, widened = overlap, min(len(text), end + chunk), 0
         while True:
             start = max(last, end - back)
             part = [(a + start, b + start, i) for a, b, i in spans(tokenizer, text[start:to])]
             if start == last:  # both in one; what lies before is settled
-                tokens = tokens[:begin] + [t for t in part]
+                tokens, done = part, []
                 break
             # Only tokens of the last chunk take part, so a splice never reaches behind the one before.
-            if cut := splice(text, tokens[begin:], part, start, end):
-                tokens[begin + cut[0] :] = part[cut[1] :]
-                begin += cut[0]
-                last = part[cut[1]][0]
+            if cut := splice(text, tokens, part, start, end):
+                done, tokens = tokens[: cut[0]], part[cut[1] :]
+                last = tokens[0][0]
                 break
             back, widened = 2 * back, widened + 1
-        chunks, end = chunks + 1, to
-    return tokens, chunks, widened
+        yield done, widened
+        end = to
+    yield tokens, 0
+
+
+def encode_huge(tokenizer, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> tuple[list[tuple[int, int, int]], int, int]:
+    """The spans of a whole text, the number of chunks, and how often an overlap had to be widened."""
+    parts = list(settled(tokenizer, text, chunk, overlap))
+    return [t for p, _ in parts for t in p], len(parts), sum(w for _, w in parts)
 
 
 def runs_apart(config: dict) -> bool:
@@ -96,10 +101,14 @@ def runs_apart(config: dict) -> bool:
 
 
 class Counter:
-    """Counts tokens as the library gives them. Texts up to ``huge`` characters are encoded whole; where runs_apart()
-    holds, a run that the worker has met before isn't encoded again."""
+    """Counts tokens as the library gives them. Where runs_apart() holds, boundaries can be proven: texts of more than
+    ``huge`` characters are encoded in chunks, and a run that the worker has met before isn't encoded again. Other
+    tokenizers encode every text whole."""
 
     def __init__(self, path: str, huge: int = HUGE, chunk: int = CHUNK, overlap: int = OVERLAP):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -130,9 +139,11 @@ class Counter:
         small: list[bytes] = []
         order: list[tuple[int, int] | None] = []
         for t in texts:
-            if len(t) > self.huge and len(s := t.decode()) > self.huge:
-                tokens, chunks, _ = encode_huge(self.tokenizer, s, self.chunk, self.overlap)
-                order.append((len(tokens), chunks))
+            if self.apart and len(t) > self.huge and len(s := t.decode()) > self.huge:
+                n = chunks = 0
+                for part, _ in settled(self.tokenizer, s, self.chunk, self.overlap):
+                    n, chunks = n + len(part), chunks + 1
+                order.append((n, chunks))
             else:
                 small.append(t)
                 order.append(None)
