@@ -1,9 +1,14 @@
-"""Quality classifier by co-training: a content view and a metadata view teach each other on unlabelled pages."""
+"""Quality classifier by co-training: a content view and a metadata view teach each other on unlabelled pages.
+
+The content view has the text's own features, the metadata view only the columns beside it (categories such as language
+and source, alone and in pairs). Each round scores every unlabelled row of the corpus with both views in one distributed
+pass, takes each view's surest rows of either class from all of them, and hands them to the other view.
+"""
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,10 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clusterloom.llm.common import drop_stored, stored
 from clusterloom.llm.hashing import slices, window_hashes, word_hashes
 
-#: Columns of the content view (hashed byte trigrams and four more) and of the metadata view.
-TRIGRAMS, CONTENT, META = 1024, 1024 + 4, 64 + 12
+#: Columns of the content view (hashed byte trigrams, four of words, twelve of characters and lines) and of the metadata view.
+TRIGRAMS, CONTENT, META = 1024, 1024 + 4 + 12, 128
 _CLASSES = np.zeros(256, dtype=np.int64)  # 0 other, 1 letters, 2 capitals, 3 digits, 4 white space, 5 symbols, 6 ends, 7 beyond ASCII
 _CLASSES[list(range(97, 123))] = 1
 _CLASSES[list(range(65, 91))] = 2
@@ -47,14 +53,20 @@ def features(texts: pa.Array, kinds: list[tuple[str | None, ...]]) -> Iterator[t
                 content[TRIGRAMS + 2] = 2 * (words[x + 1 : y] == words[x : y - 1]).mean() if w > 1 else 0
             if w > 5:
                 content[TRIGRAMS + 3] = 4 * (1 - len(np.unique(five[x : y - 4])) / (w - 4))
-            meta = np.zeros(META, dtype=np.float32)
             share = np.bincount(_CLASSES[data[a:b]], minlength=8) / max(1, n)
             lines = int((data[a:b] == 10).sum()) + 1
-            meta[:8] = share * 4
-            meta[8:12] = np.log1p(n) / 10, np.log1p(lines) / 5, np.log1p(n / lines) / 5, 1
-            for k, v in enumerate(kinds[first + i]):
-                meta[12 + zlib.crc32(f"{k}={v}".encode()) % 64] = 1
-            yield first + i, content, meta
+            content[TRIGRAMS + 4 : TRIGRAMS + 12] = share * 4
+            content[TRIGRAMS + 12 :] = np.log1p(n) / 10, np.log1p(lines) / 5, np.log1p(n / lines) / 5, 1
+            yield first + i, content, described(kinds[first + i])
+
+
+def described(kinds: tuple[str | None, ...]) -> np.ndarray:
+    """The metadata view of a row: its categories and their pairs, hashed."""
+    meta = np.zeros(META, dtype=np.float32)
+    named = [f"{k}={v}" for k, v in enumerate(kinds)]
+    for name in named + [f"{x}&{y}" for i, x in enumerate(named) for y in named[:i]]:
+        meta[zlib.crc32(name.encode()) % META] = 1
+    return meta
 
 
 def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, steps: int = 250) -> np.ndarray:
@@ -103,51 +115,55 @@ class Model:
     content: np.ndarray
     meta: np.ndarray
     scales: tuple[tuple[float, float], tuple[float, float]]
+    prior: float
 
     def score(self, content: np.ndarray, meta: np.ndarray) -> np.ndarray:
-        """(both views, content, metadata) probabilities of good quality; both: the mean of the calibrated logits."""
+        """(both views, content, metadata) probabilities of good quality. Both: the views' calibrated evidence, each beyond
+        the prior log-odds, adds up."""
         z = [a * logits(x, w) + b for x, w, (a, b) in zip((content, meta), (self.content, self.meta), self.scales)]
-        return np.stack([1 / (1 + np.exp(-np.clip(v, -30, 30))) for v in ((z[0] + z[1]) / 2, *z)], axis=1)
+        return np.stack([_sigmoid(v) for v in (z[0] + z[1] - self.prior, *z)], axis=1)
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def cotrain(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray], rounds: int = 4, confident: float = 0.9, each: int = 500) -> Model | None:
-    """Two regressions that hand each other their confident guesses on the pool; None without both classes.
+#: A row that a view is sure of: its key, the view (0 content, 1 metadata), the label, and both views' features.
+Guess = tuple[object, int, float, np.ndarray, np.ndarray]
+
+
+def cotrain(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, draw: Callable[[tuple[np.ndarray, np.ndarray]], list[Guess]], rounds: int = 3) -> Model | None:
+    """Two regressions that hand each other their confident guesses on unlabelled rows; None without both classes.
 
     Every third labelled row is kept out for the calibration. A round fits both views on the labelled rows and what the
-    other view has handed over so far (at half weight), then hands over each view's ``each`` surest guesses of either
-    class that are beyond ``confident``.
+    other view has handed over so far (at half weight); draw(weights of both views) then gives the surest guesses. A row
+    keeps the first label that it got.
     """
     if len(set(y.tolist())) < 2:
         return None
     held = np.arange(len(y)) % 3 == 2
     if len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
         held = np.zeros(len(y), dtype=bool)
-    given: list[dict[int, float]] = [{}, {}]  # for each view: what it got from the other
-    weights = [None, None]
+    given: tuple[dict, dict] = ({}, {})  # for each view: what it got from the other
+    weights: list[np.ndarray] = []
     for r in range(rounds + 1):
+        weights = []
         for v in (0, 1):
-            at = np.array(sorted(given[v]), dtype=np.int64)
-            x = np.vstack([views[v][~held], pool[v][at]]) if len(at) else views[v][~held]
-            t = np.concatenate([y[~held], [given[v][i] for i in at.tolist()]]).astype(np.float32)
-            w = np.concatenate([np.ones((~held).sum()), np.full(len(at), 0.5)])
+            more = list(given[v].values())
+            x = np.vstack([views[v][~held], *[g[None] for g, _ in more]])
+            t = np.concatenate([y[~held], [label for _, label in more]]).astype(np.float32)
+            w = np.concatenate([np.ones((~held).sum()), np.full(len(more), 0.5)])
             for c in (0, 1):  # classes weigh alike in sum, up to a factor
                 if (t == c).any():
                     w[t == c] *= (w.sum() / w[t == c].sum()) ** 0.5
-            weights[v] = fit(x, t, w)
-        if r == rounds or not len(pool[0]):
-            break
-        for v in (0, 1):
-            p = 1 / (1 + np.exp(-np.clip(logits(pool[v], weights[v]), -30, 30)))
-            order = np.argsort(p, kind="stable")
-            for i in order[:each]:
-                if p[i] <= 1 - confident:
-                    given[1 - v].setdefault(int(i), 0.0)
-            for i in order[::-1][:each]:
-                if p[i] >= confident:
-                    given[1 - v].setdefault(int(i), 1.0)
+            weights.append(fit(x, t, w))
+        if r < rounds:
+            for key, view, label, *features_ in draw((weights[0], weights[1])):
+                given[1 - view].setdefault(key, (features_[1 - view], label))
     on = held if held.any() else np.ones(len(y), dtype=bool)
     scales = tuple(calibrate(logits(views[v][on], weights[v]).astype(np.float64), y[on]) for v in (0, 1))
-    return Model(weights[0], weights[1], scales)
+    good = (float(y[on].sum()) + 1) / (int(on.sum()) + 2)
+    return Model(weights[0], weights[1], scales, float(np.log(good / (1 - good))))
 
 
 def _own(docs: DataFrame, doc_id: str, text: str, kinds: tuple[str, ...]) -> DataFrame:
@@ -155,57 +171,93 @@ def _own(docs: DataFrame, doc_id: str, text: str, kinds: tuple[str, ...]) -> Dat
     return own
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", kinds: tuple[str, ...] = ("lang", "source"), quality: str = "quality", *, labelled: int = 6000, unlabelled: int = 6000, **how) -> Model | None:
-    """A model from at most ``labelled`` labelled rows and ``unlabelled`` others, those with the smallest hashes of their
-    ids; None if the labels don't have both classes. Ids with several labels take their mean, from a half on good."""
+def _kinds_of(batch: pa.RecordBatch, first: int) -> list[tuple]:
+    """The categories of each row: the columns from ``first`` on."""
+    return list(zip(*(batch.column(i).to_pylist() for i in range(first, batch.num_columns)))) if batch.num_columns > first else [()] * len(batch)
+
+
+def _in_chunks(batch: pa.RecordBatch, kinds: list[tuple], size: int = 1000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, content, meta) of so many rows of a batch at a time; its column 1 is the text."""
+    rows, at = [], 0
+    for _, c, m in features(batch.column(1), kinds):
+        rows.append((c, m))
+        if len(rows) == size:
+            yield at, np.stack([c for c, _ in rows]), np.stack([m for _, m in rows])
+            at, rows = at + size, []
+    if rows:
+        yield at, np.stack([c for c, _ in rows]), np.stack([m for _, m in rows])
+
+
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", kinds: tuple[str, ...] = ("lang", "source"), quality: str = "quality", *, labelled: int = 6000, each: int = 500, confident: float = 0.9, rounds: int = 3) -> Model | None:
+    """A model from at most ``labelled`` labelled rows, those with the smallest hashes of their ids; None if the labels don't
+    have both classes. Ids with several labels take their mean, from a half on good.
+
+    In each of the ``rounds``, each view scores all rows of docs that have an id and no label, and hands over the ``each``
+    of either class that it is surest of, beyond ``confident``. A repeated id counts once. The passes run when this is called.
+    """
     marks = labels.select(labels[f"`{doc_id}`"].alias("doc_id"), labels[f"`{quality}`"].alias("q")).where("doc_id is not null and q is not null")
     marks = marks.groupBy("doc_id").agg((F.avg("q") >= 0.5).cast("float").alias("y"))
-    own = _own(docs, doc_id, text, kinds)
-    order = F.xxhash64("doc_id", F.lit("sample"))
-    ids = own.select("doc_id").where("doc_id is not null")
-    some = ids.join(marks, "doc_id").orderBy(order, "doc_id").limit(labelled)
-    others = ids.join(marks, "doc_id", "left_anti").select("doc_id", F.lit(-1.0).cast("float").alias("y")).orderBy(order, "doc_id").limit(unlabelled)
-    chosen = F.broadcast(some.union(others).dropDuplicates(["doc_id"]))  # labelled + unlabelled rows at most
+    own = _own(docs, doc_id, text, kinds).where("doc_id is not null")
+    kind = own.schema["doc_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [c.tobytes() + m.tobytes() for _, c, m in features(batch.column(1), list(zip(*(batch.column(i).to_pylist() for i in range(3, batch.num_columns))))if batch.num_columns > 3 else [()] * len(batch))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, pa.binary())], names=["doc_id", "y", "x"])
-
-    kind = own.schema["doc_id"].dataType.simpleString()
-    got = own.join(chosen, "doc_id").select("doc_id", "text", "y", *[f"kind{i}" for i in range(len(kinds))])
-    table = got.mapInArrow(run, f"doc_id {kind}, y float, x binary").limit(2 * (labelled + unlabelled)).toArrow()
-    if not table.num_rows:
+            rows = [c.tobytes() + m.tobytes() for _, c, m in features(batch.column(1), _kinds_of(batch, 2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["doc_id", "x"])
+
+    def described_rows(ids: DataFrame) -> dict:
+        """The features of ids, of which there are few."""
+        got = own.join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(describe, f"doc_id {kind}, x binary").groupBy("doc_id").agg(F.max("x").alias("x"))
+        rows = got.toArrow().to_pylist()
+        return {r["doc_id"]: np.frombuffer(r["x"], dtype=np.float32) for r in sorted(rows, key=lambda r: str(r["doc_id"]))}
+
+    some = own.select("doc_id").distinct().join(marks, "doc_id").orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id").limit(labelled)
+    target = {r["doc_id"]: r["y"] for r in some.collect()}  # ``labelled`` rows at most
+    if len(set(target.values())) < 2:
         return None
-    order_by = np.array(sorted(range(table.num_rows), key=lambda i: (zlib.crc32(str(table.column("doc_id")[i].as_py()).encode()), table.column("x")[i].as_py())))
-    x = np.frombuffer(b"".join(table.column("x").to_pylist()), dtype=np.float32).reshape(table.num_rows, CONTENT + META)[order_by]
-    y = table.column("y").to_numpy()[order_by]
-    del table
-    mark, pool = y >= 0, y < 0
-    return cotrain((x[mark, :CONTENT], x[mark, CONTENT:]), y[mark], (x[pool, :CONTENT], x[pool, CONTENT:]), **how)
+    spark = docs.sparkSession
+    x = described_rows(spark.createDataFrame([(d,) for d in target], f"doc_id {kind}"))
+    order = sorted(x, key=lambda d: (zlib.crc32(str(d).encode()), str(d)))
+    y = np.array([target[d] for d in order])
+    table = np.stack([x[d] for d in order])
+
+    def draw(weights: tuple[np.ndarray, np.ndarray]) -> list[Guess]:
+        def guess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at, *both in _in_chunks(batch, _kinds_of(batch, 2)):
+                    for view in (0, 1):
+                        p = _sigmoid(logits(both[view], weights[view]))
+                        sure = np.maximum(p, 1 - p)
+                        rows = np.flatnonzero(sure >= confident)
+                        yield pa.RecordBatch.from_arrays(
+                            [batch.column(0).take(pa.array(rows + at)), pa.array(np.full(len(rows), view, np.int32)), pa.array((p[rows] > 0.5).astype(np.float32)), pa.array(sure[rows].astype(np.float64))], names=["doc_id", "view", "y", "p"]
+                        )
+
+        sure = own.mapInArrow(guess, f"doc_id {kind}, view int, y float, p double").join(marks.select("doc_id"), "doc_id", "left_anti")
+        sure = stored(sure.groupBy("doc_id", "view").agg(F.max(F.struct("p", "y")).alias("s")).select("doc_id", "view", "s.y", "s.p"), "guesses")
+        best = [sure.where((F.col("view") == v) & (F.col("y") == c)).orderBy(F.desc("p"), F.xxhash64("doc_id"), "doc_id").limit(each) for v in (0, 1) for c in (0.0, 1.0)]
+        chosen = [(r["doc_id"], r["view"], r["y"]) for b in best for r in b.collect()]  # 4 * ``each`` rows at most
+        drop_stored(sure)
+        if not chosen:
+            return []
+        of = described_rows(spark.createDataFrame([(d,) for d in {d for d, _, _ in chosen}], f"doc_id {kind}"))
+        return [(d, view, label, of[d][:CONTENT], of[d][CONTENT:]) for d, view, label in chosen]
+
+    return cotrain((table[:, :CONTENT], table[:, CONTENT:]), y, draw, rounds)
 
 
 def score(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text: str = "text", kinds: tuple[str, ...] = ("lang", "source"), *, limit: float = 0.5) -> DataFrame:
     """(doc_id, score, content_score, meta_score, keep): every row of docs; keep: the score is ``limit`` or more.
 
-    Null texts count as empty and null categories are a category. Without a model (no labels, or of one class only) all
+    Null texts count as empty and null categories are a category; texts of any length are read whole. Without a model (no labels, or of one class only) all
     scores are 0.5. Repeated rows score alike, an empty table gives none, other columns aren't read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = len(batch)
-            out = np.full((n, 3), 0.5)
-            if model is not None and n:
-                names = list(zip(*(batch.column(i).to_pylist() for i in range(2, batch.num_columns)))) if batch.num_columns > 2 else [()] * n
-                rows, at = [], 0
-                for _, c, m in features(batch.column(1), names):
-                    rows.append((c, m))
-                    if len(rows) == 1000:
-                        out[at : at + 1000] = model.score(np.stack([c for c, _ in rows]), np.stack([m for _, m in rows]))
-                        at, rows = at + 1000, []
-                if rows:
-                    out[at:] = model.score(np.stack([c for c, _ in rows]), np.stack([m for _, m in rows]))
+            out = np.full((len(batch), 3), 0.5)
+            for at, content, meta in _in_chunks(batch, _kinds_of(batch, 2)) if model is not None else ():
+                out[at : at + len(content)] = model.score(content, meta)
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.round(out[:, k], 6)) for k in range(3)], pa.array(np.round(out[:, 0], 6) >= limit)], names=["doc_id", "score", "content_score", "meta_score", "keep"])
 
     own = _own(docs, doc_id, text, kinds)
