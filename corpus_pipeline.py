@@ -35,7 +35,7 @@ def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's length bucket and batch."""
+    """Every document's length in bytes, its bucket and its batch."""
     return packing.pack_texts(docs)
 
 
