@@ -50,11 +50,11 @@ class Writer:
         self.out.close()
 
 
-def write_files(df: DataFrame, folder: str, ending: str, put: Callable[[Writer, pa.RecordBatch, dict], None], finish: Callable[[Writer, dict], None] | None = None) -> DataFrame:
-    """One file for each task with rows; the stored manifest (part, path, size, n) names the files that count.
+def write_files(df: DataFrame, folder: str, ending: str, put: Callable[[Writer, pa.RecordBatch, dict], None], finish: Callable[[Writer, dict], None] | None = None, lists: tuple[str, ...] = ()) -> DataFrame:
+    """One file for each task with rows; the stored manifest (part, path, size, n, lists) names the files that count.
 
     put() writes a batch, with a dict of its own for the task; finish() writes what is left. Files of attempts that
-    failed are in no manifest. n is the state's "n" when the file is closed.
+    failed are in no manifest. n is the state's "n" when the file is closed; lists are lists of numbers that it holds.
     """
     from clusterloom.llm.common import stored
 
@@ -71,9 +71,9 @@ def write_files(df: DataFrame, folder: str, ending: str, put: Callable[[Writer,
                 finish(writer, state)
             writer.close()
             task = TaskContext.get()
-            yield pa.RecordBatch.from_pydict({"part": pa.array([task.partitionId()], pa.int64()), "path": [writer.uri], "size": pa.array([writer.size], pa.int64()), "n": pa.array([state["n"]], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"part": pa.array([task.partitionId()], pa.int64()), "path": [writer.uri], "size": pa.array([writer.size], pa.int64()), "n": pa.array([state["n"]], pa.int64())} | {k: pa.array([state.get(k, [])], pa.list_(pa.int64())) for k in lists})
 
-    return stored(df.mapInArrow(run, "part long, path string, size long, n long"), "manifest")
+    return stored(df.mapInArrow(run, "part long, path string, size long, n long" + "".join(f", {k} array<long>" for k in lists)), "manifest")
 
 
 def splits(manifest: DataFrame, split: int) -> DataFrame:
