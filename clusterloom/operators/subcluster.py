@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from clusterloom.functions.vectors import dot, sum_vectors
 from clusterloom.operators.graph import top
+from clusterloom.storage import stored
 
 #: Clusters of more documents go to Spark's own K-Means.
 MAX_DOCS = 200_000
@@ -61,8 +62,8 @@ def _lloyd(v: np.ndarray, k: int, seed: int, starts: int, most: int = 300) -> np
 def kmeans(vectors: DataFrame, c: int, seed: int = 42, starts: int = 10) -> DataFrame:
     """(label, doc_id, embedding, subcluster_id): parts of each cluster, as many as it has documents if fewer than c.
 
-    vectors: (label, doc_id, embedding). Clusters of up to MAX_DOCS documents are parted in one task (k-means++, best
-    of ``starts``); larger ones, one after the other, by Spark's distributed K-Means.
+    vectors: (label, doc_id, embedding). The best of ``starts`` runs counts, whatever a cluster's size: clusters of up to
+    MAX_DOCS documents are parted in one task, larger ones by Spark's distributed K-Means, which takes each in turn.
     """
     own = vectors.select("label", "doc_id", "embedding").where("label is not null and embedding is not null")
     kinds = dict(own.dtypes)
@@ -72,20 +73,25 @@ def kmeans(vectors: DataFrame, c: int, seed: int = 42, starts: int = 10) -> Data
         v = np.array(table.column("embedding").combine_chunks().flatten(), dtype=np.float64).reshape(table.num_rows, -1)
         return table.append_column("subcluster_id", pa.array(_lloyd(v, min(c, len(v)), seed, starts), pa.int32()))
 
-    sizes = own.groupBy("label").agg(F.count("*").alias("n"))
-    large = [r["label"] for r in sizes.where(F.col("n") > MAX_DOCS).select("label").toLocalIterator()]
+    large = own.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") > MAX_DOCS).select("label")
     schema = f"label {kinds['label']}, doc_id {kinds['doc_id']}, embedding {kinds['embedding']}, subcluster_id int"
-    out = (own.where(~F.col("label").isin(large)) if large else own).groupBy("label").applyInArrow(run, schema)
-    for label in large:
-        from pyspark.ml.clustering import KMeans
-        from pyspark.ml.functions import array_to_vector
-
-        part = own.where(F.col("label") == label).withColumn("features", array_to_vector(F.col("embedding").cast("array<double>")))
-        model = KMeans(k=c, seed=seed, featuresCol="features", predictionCol="subcluster_id").fit(part)
-        out = out.unionByName(model.transform(part).drop("features"))
+    out = own.join(large, "label", "left_anti").select("label", "doc_id", "embedding").groupBy("label").applyInArrow(run, schema)
+    for r in large.toLocalIterator():
+        out = out.unionByName(_distributed(own.where(F.col("label") == r["label"]), c, seed, starts))
     return out
 
 
+def _distributed(part: DataFrame, c: int, seed: int, starts: int) -> DataFrame:
+    """The best of several runs of Spark's K-Means on one cluster."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    rows = stored(part.withColumn("features", array_to_vector(F.col("embedding").cast("array<double>"))), "vectors")
+    models = [KMeans(k=c, seed=seed + i, featuresCol="features", predictionCol="subcluster_id").fit(rows) for i in range(starts)]
+    best = min(models, key=lambda m: m.summary.trainingCost)
+    return best.transform(rows).drop("features")
+
+
 def subcluster_medoids(vectors: DataFrame, docs: DataFrame | None = None, c: int = 4, seed: int = 42) -> DataFrame:
     """(label, subcluster_id, doc_id[, text]): the document nearest to each part's mean; c = 1 is the whole cluster."""
     if c == 1:

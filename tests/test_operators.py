@@ -148,7 +148,10 @@ def test_split_and_samples(spark):
     assert by == {"a": list(range(40, 52)), "b": list(range(12)), "c": list(range(12))}
 
 
-def test_subclusters(table):
+@pytest.mark.parametrize("most", [200_000, 40])
+def test_subclusters(table, monkeypatch, most):
+    """Clusters that fit a task, and one that is left to Spark's own K-Means."""
+    monkeypatch.setattr(subcluster, "MAX_DOCS", most)
     rows, v, df = table
     parts = subcluster.kmeans(df, 3).collect()
     for name, n in (("a", 3), ("c", 2), ("d", 1)):
