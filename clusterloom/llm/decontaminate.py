@@ -312,10 +312,13 @@ def _searcher(rows, q, window, step, share, arrow_id):
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The documents that share no passage with the benchmark, with docs' own columns."""
-    hits = contaminated(docs, benchmark, doc_id, text, **how).select(F.col("doc_id").alias("_hit_id"), F.col("version").alias("_hit_version")).distinct()
-    own = docs.alias("own")
-    return own.join(hits, docs[f"`{doc_id}`"].eqNullSafe(hits["_hit_id"]) & (F.xxhash64(docs[f"`{text}`"]) == hits["_hit_version"]), "left_anti")
+    """The documents that share no passage with the benchmark, with docs' own columns; all rows of an id and text stay or
+    go together."""
+    names = ["_hit_id", "_hit_version"]
+    while set(names) & set(docs.columns):
+        names = ["_" + n for n in names]
+    hits = contaminated(docs, benchmark, doc_id, text, **how).select("doc_id", "version").distinct().toDF(*names)
+    return docs.join(hits, docs[f"`{doc_id}`"].eqNullSafe(hits[names[0]]) & (F.xxhash64(docs[f"`{text}`"]) == hits[names[1]]), "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -64,18 +64,20 @@ def _level(s: np.ndarray, level: int) -> np.ndarray:
     return s if level == 0 else np.sort(mix(s ^ U(level * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)))
 
 
-def _subsets(v: np.ndarray, n1: int, tag: int, first: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+def _subsets(v: np.ndarray, mixed: np.ndarray, n1: int, tag: int, first: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(signatures, filled), both (parts, SECOND): of each first-level part (of the first ones only, if given) the subsets
-    of SECOND - 1 second-level parts, that is, the part without one of them; filled: whether v has features there."""
+    of SECOND - 1 second-level parts, that is, the part without one of them; filled: whether v has features there. mixed:
+    what the features of v add to a signature."""
     parts = n1 if first is None else min(n1, first)
     if parts < n1:
         v = v[: int(np.searchsorted(v, U((((parts << 32) // n1) + 1) << 32)))]
     at = (((v >> U(32)) * U(n1 * SECOND)) >> U(32)).astype(np.int64)
-    v, at = v[at < parts * SECOND], at[at < parts * SECOND]
+    if parts < n1:
+        v, at = v[at < parts * SECOND], at[at < parts * SECOND]
     sums, sizes = np.zeros(parts * SECOND, dtype=np.uint64), np.zeros(parts * SECOND, dtype=np.int64)
     if len(v):
         begin = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        sums[at[begin]], sizes[at[begin]] = np.add.reduceat(mix(v + U(0x2545F491)), begin), np.diff(np.append(begin, len(v)))
+        sums[at[begin]], sizes[at[begin]] = np.add.reduceat(mixed[: len(v)], begin), np.diff(np.append(begin, len(v)))
     sums, sizes = sums.reshape(parts, SECOND), sizes.reshape(parts, SECOND)
     places = np.arange(parts * SECOND, dtype=np.uint64).reshape(parts, SECOND)
     sums = sums.sum(axis=1, dtype=np.uint64, keepdims=True) - sums
@@ -103,10 +105,14 @@ def signed(s: np.ndarray) -> list[tuple[np.ndarray, int, int]]:
     n, out = len(s), []
     if 0 < n <= SMALL + SIGNED_TOO:
         out.append((_small(s), 1, 0))
+    cuts: list[tuple[np.ndarray, np.ndarray]] = []  # the features at each level, and what they add
     for j, n1, differ in _keys(n) if n > SMALL else ():
         for level in range(LEVELS):
+            if level == len(cuts):
+                v = _level(s, level)
+                cuts.append((v, mix(v + U(0x2545F491))))
             tag = j << 3 | level
-            sig, filled = _subsets(_level(s, level), n1, tag)
+            sig, filled = _subsets(*cuts[level], n1, tag)
             shared = n1 - differ // 2 - int((~filled).any(axis=1).sum())
             # Subsets without features are signatures only where no level guarantees another one, a chance of one in many millions.
             out.append((sig[filled] if shared > 0 or level < LEVELS - 1 else sig.ravel(), shared, tag + 1))
@@ -117,11 +123,11 @@ def signed(s: np.ndarray) -> list[tuple[np.ndarray, int, int]]:
 
 def heads(s: np.ndarray) -> np.ndarray:
     """The signatures of the first stage: one of each of the first parts, or all of a small set."""
-    out = [np.zeros(0, np.uint64)]
+    out, mixed = [np.zeros(0, np.uint64)], mix(s + U(0x2545F491))
     if 0 < len(s) <= SMALL + SIGNED_TOO:
         out.append(_small(s))
     for j, n1, _ in _keys(len(s)) if len(s) > SMALL else ():
-        sig, filled = _subsets(s, n1, j << 3, HEADS)
+        sig, filled = _subsets(s, mixed, n1, j << 3, HEADS)
         out.append(sig[:, 0][filled[:, 0]])
     return np.concatenate(out)
 
@@ -174,33 +180,48 @@ def _all(s: np.ndarray) -> np.ndarray:
     return np.concatenate([x[0] for x in signed(s)])
 
 
-def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, words: int = 5, spanning: bool = False) -> tuple[DataFrame, DataFrame]:
+def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, words: int = 5) -> tuple[DataFrame, DataFrame]:
     """(members, links): members (doc_id, n_shingles, class) has a row for each row of docs, links (a, b) the pairs of
     classes, a < b, with 100 * intersection >= 75 * union; members of a class have equal sets.
 
     Sets: distinct ``words``-word shingles of the whole text, A-Z in lower case; the whole sequence as one if there are
-    fewer words. With spanning, links are only as many as the components need. Null and blank texts have an empty set,
-    class null, and link with nothing. Texts of any length are read whole; a set and its signatures have to fit a worker.
-    Repeated rows are members of one class; null ids stay; other columns aren't read; an empty table gives no rows.
-    Features are compared by 64-bit hashes. Stages run, and store what they find in the shared folder, when this is called.
+    fewer words. Null and blank texts have an empty set, class null, and link with nothing. Texts of any length are read
+    whole; a set and its signatures have to fit a worker. Repeated rows are members of one class; null ids stay; other
+    columns aren't read; an empty table gives no rows. Features are compared by 64-bit hashes. Stages run, and store what
+    they find in the shared folder, when this is called.
     """
-    spark = docs.sparkSession
+    own, records, classes = _described(docs, doc_id, text, words)
+    links = _searched(own, classes, None, None, words, parts_for(docs.sparkSession, _signatures(records)))
+    return _members(records).drop("version"), links
+
+
+def _members(records: DataFrame) -> DataFrame:
+    return records.select("doc_id", "version", F.col("n").alias("n_shingles"), F.col("cls").alias("class"))
+
+
+def _described(docs: DataFrame, doc_id: str, text: str, words: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(own, records, classes): the rows (doc_id, text, version, a hash of the text); stored, for each the size of its set,
+    its class, sketch and first signatures; and for each class size and sketch."""
     own = pick(docs, doc_id=doc_id, text=text)
     kind = own.schema["doc_id"].dataType.simpleString()
-    own = own.select("doc_id", own["text"].cast("binary").alias("text"))
+    own = own.select("doc_id", own["text"].cast("binary").alias("text"), F.xxhash64("text").alias("version"))
 
     def describe(batches):
         for batch in batches:
             rows = [(len(s), class_of(s), sketch(s), heads(s).tobytes()) if len(s) else (0, None, None, None) for _, s in shingle_sets(batch.column(1), words)]
             if rows:
                 cols = [pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", "n", "cls", "sketch", "heads"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *cols], names=["doc_id", "version", "n", "cls", "sketch", "heads"])
 
-    records = stored(own.mapInArrow(describe, f"doc_id {kind}, n long, cls long, sketch binary, heads binary"), "sets")
+    records = stored(own.mapInArrow(describe, f"doc_id {kind}, version long, n long, cls long, sketch binary, heads binary"), "sets")
     classes = records.where("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    members = records.select("doc_id", F.col("n").alias("n_shingles"), F.col("cls").alias("class"))
-    if not spanning:
-        return members, _searched(own, classes, None, None, words, parts_for(spark, _signatures(records)))
+    return own, records, classes
+
+
+def _connected(docs: DataFrame, doc_id: str, text: str, words: int) -> tuple[DataFrame, DataFrame]:
+    """(members, components): members as join() gives them, and (node, component) of the classes that link."""
+    spark = docs.sparkSession
+    own, records, classes = _described(docs, doc_id, text, words)
 
     def first_stage(batches):
         rows = ((np.frombuffer(h, np.uint64), c, None) for batch in batches for c, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
@@ -214,9 +235,9 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, words:
     drop_stored(near)
     known = stored(components(links), "components")
     more = _searched(own, classes, (sets, known), bloom, words, parts_for(spark, _signatures(records)))
-    out = stored(links.union(more).distinct(), "links")
+    last = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     drop_stored(links, more, sets, known)
-    return members, out
+    return _members(records), last
 
 
 def _signatures(records: DataFrame) -> int:
@@ -273,8 +294,7 @@ def _searched(own: DataFrame, classes: DataFrame, before: tuple[DataFrame, DataF
     rest = rows.select("cls", F.explode(F.arrays_zip("part", "low", "tag", "t")).alias("x")).select("cls", "x.*")
     rest = rest.join(large.select(F.col("a").alias("part"), F.col("b").alias("low")), ["part", "low"])
     if spanning:
-        joined = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links)).withColumnRenamed("node", "cls")
-        rest = rest.join(joined, "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
+        rest = rest.join(known.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
     else:
         rest = rest.withColumn("comp", F.col("cls"))
     sizes = rest.groupBy("part", "low").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("m")).where("least <> most")
@@ -346,9 +366,7 @@ def _verified(near: DataFrame, sets: DataFrame) -> DataFrame:
 
 def linked_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, words: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id): the smallest doc_id reachable by links, itself included."""
-    members, links = join(docs, doc_id, text, words=words, spanning=True)
-    known = components(links)
-    drop_stored(links)
+    members, known = _connected(docs, doc_id, text, words)
     own = members.join(known, members["class"] == known["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "class").alias("group"))
     least = own.where("n_shingles > 0").groupBy("group").agg(F.min("doc_id").alias("least"))
     # Documents without shingles look for no group: they are dealt evenly under groups that match nothing.
@@ -361,8 +379,21 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def distinct(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, words: int = 5) -> DataFrame:
-    """docs with its own columns, one document of each component: the one with the smallest id. Repeated rows of an id
-    are one document; rows without an id stay if nothing with an id links with them."""
-    found = linked_components(docs, doc_id, text, words=words)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay_id")).distinct()
-    return docs.join(stay, docs[f"`{doc_id}`"].eqNullSafe(stay["_stay_id"]), "left_semi")
+    """docs with its own columns, one row of each component: that of the smallest id (null ids come last), of several texts
+    under that id the one of the smallest hash, and of rows that repeat both any one. Rows with an equal id and different
+    texts are documents of their own. Texts without words are near to nothing: all those rows stay."""
+    members, known = _connected(docs, doc_id, text, words)
+    own = members.join(known, members["class"] == known["node"], "left").withColumn("group", F.coalesce("component", "class"))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "version")
+    chosen = own.where("n_shingles > 0").groupBy("group", place.alias("place")).agg(F.count("*").alias("n"))
+    chosen = chosen.groupBy("group").agg(F.min(F.struct("place", "n")).alias("x"))
+    bare = own.where("n_shingles = 0").select("doc_id", "version").distinct().withColumn("n", F.lit(1).cast("long"))
+    names = ["_stay_id", "_stay_version", "_stay_n"]
+    while set(names) & set(docs.columns):
+        names = ["_" + n for n in names]
+    stay = stored(chosen.select("x.place.doc_id", "x.place.version", "x.n").unionByName(bare).toDF(*names), "stay")
+    both = docs.join(stay, docs[f"`{doc_id}`"].eqNullSafe(stay[names[0]]) & F.xxhash64(docs[f"`{text}`"]).eqNullSafe(stay[names[1]]))
+    if stay.where(F.col(names[2]) > 1).isEmpty():
+        return both.drop(*names)
+    once = both.where(F.col(names[2]) > 1).dropDuplicates(names[:2])
+    return both.where(F.col(names[2]) == 1).unionByName(once).drop(*names)

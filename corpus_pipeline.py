@@ -1,4 +1,12 @@
-"""A training-data pipeline over the table documents: rules, line and document deduplication, decontamination, packing."""
+"""A training-data pipeline over the table documents: rules, line and document deduplication, decontamination, packing.
+
+Each stage reads whole texts of any length. Null, empty and blank texts fail the rules of the first stage; where a later
+stage gets some, near-copy removal and decontamination leave them and line deduplication drops them, as no word is left.
+Null ids stay ids: such rows are judged like others and come last where an order decides. Rows with an equal id and text
+are copies, of which near-copy removal keeps one; rows with an equal id and different texts are documents of their own.
+Ties go to the smaller id, then the smaller line number or hash of the text. An empty table passes through as one. Columns
+of any other name, also those that the operators use inside, stay as they are up to the last stage, which gives its own.
+"""
 
 from __future__ import annotations
 

@@ -140,3 +140,16 @@ def test_large_buckets_give_every_link(spark, monkeypatch):
     sets.pop(None, None)
     want = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
     assert {tuple(r) for r in links.collect()} == want and len(want) > 500
+
+
+def test_distinct_rows(spark):
+    """One row of each component, whatever repeats: ids, rows, null ids, bare texts."""
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    near = a + " and more"
+    rows = [(1, a, "x"), (1, a, "y"), (1, b, "z"), (2, near, "x"), (None, a, "x"), (3, b, "x"), (4, None, "x"), (5, "", "x"), (5, "", "x"), (None, " ", "x"), (6, "lone words " * 3, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _stay_id string").repartition(3)
+    got = sorted(((str(r["doc_id"]), r["text"]) for r in ngram_join.distinct(df).collect()), key=str)
+    assert got == sorted([("1", a), ("1", b), ("4", None), ("5", ""), ("5", ""), ("None", " "), ("6", "lone words " * 3)], key=str)
+    assert ngram_join.distinct(df).columns == df.columns and ngram_join.distinct(df.limit(0)).count() == 0
+    same = spark.createDataFrame([(i, f"{a} {i}", "x") for i in range(5)] + [(i, f"{a} {i}", "x") for i in range(5)], "doc_id long, text string, k string")
+    assert [r["doc_id"] for r in ngram_join.distinct(same).collect()] == [0]
