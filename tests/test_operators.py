@@ -148,7 +148,7 @@ def test_split_and_samples(spark):
     assert by == {"a": list(range(40, 52)), "b": list(range(12)), "c": list(range(12))}
 
 
-@pytest.mark.parametrize("most", [200_000, 40])
+@pytest.mark.parametrize("most", [200_000, 20])
 def test_subclusters(table, monkeypatch, most):
     """Clusters that fit a task, and one that is left to Spark's own K-Means."""
     monkeypatch.setattr(subcluster, "MAX_DOCS", most)
