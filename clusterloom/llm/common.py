@@ -43,19 +43,38 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+#: Folders that stored() has made and that weren't dropped.
+_made: list[str] = []
+
+
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """The rows written once to the shared folder and read back: cuts lineage, survives lost executors."""
     path = shared_dir(df.sparkSession, purpose)
     df.write.parquet(path)
+    _made.append(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
 
 
+def _drop(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    if path in _made:
+        _made.remove(path)
+
+
 def drop_stored(*frames: DataFrame | None) -> None:
     """Deletes the folders of stored() frames that nothing reads any more, through Hadoop, whatever the file system."""
     for df in frames:
         if df is not None:
-            context = df.sparkSession.sparkContext
-            at = context._jvm.org.apache.hadoop.fs.Path(df.stored_at)
-            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+            _drop(df.sparkSession, df.stored_at)
+
+
+def settled(make: Callable[[], DataFrame], purpose: str) -> DataFrame:
+    """The rows of make(), stored; what make() itself has stored on the way goes."""
+    before = set(_made)
+    out = stored(make(), purpose)
+    for path in [p for p in _made if p not in before and p != out.stored_at]:
+        _drop(out.sparkSession, path)
+    return out

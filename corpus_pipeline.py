@@ -10,11 +10,13 @@ of any other name, also those that the operators use inside, stay as they are up
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clusterloom.llm import decontaminate, line_dedup, ngram_join, packing, quality_rules
-from clusterloom.llm.common import stored
+from clusterloom.llm.common import drop_stored, settled
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -59,8 +61,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; each other stage is written as Parquet in the shared folder and read back."""
+    """The last stage's rows; each other stage is written as Parquet in the shared folder and read back. What a stage needed
+    on its way goes once its rows are written, and those once the next stage's are."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        last, docs = docs, settled(partial(stage, spark, docs, sf_dir), name)
+        if isinstance(getattr(last, "stored_at", None), str):
+            drop_stored(last)
     return STAGES[-1][1](spark, docs, sf_dir)

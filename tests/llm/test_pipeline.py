@@ -1,3 +1,4 @@
+import os
 import random
 
 import corpus_pipeline
@@ -46,6 +47,11 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert sorted((r["doc_id"], r["length"]) for r in got) == sorted((d, len(t.encode())) for d, t in rows)
     assert 20 < len(rows) < 130
 
+    # Of all that was stored on the way, the rows that the last stage reads are left.
+    root = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(root))
+    corpus_pipeline.run(spark, str(tmp_path))
+    assert len(set(os.listdir(root)) - before) == 1
     stage = frame
     for name, f in corpus_pipeline.STAGES[:-1]:
         stage = f(spark, stage, str(tmp_path))
