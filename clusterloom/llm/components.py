@@ -32,39 +32,37 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(names[own]), pa.array(names[root[own]])], names=["u", "v"])
 
 
-#: Nodes with more than 1/HUB of all edges are hubs: there are 2 * HUB of them at most, so their rows are broadcast.
-HUB = 1000
-
-
-def _with_least(edges: DataFrame, total: int) -> DataFrame:
-    """edges (u, v) with m, the smallest v of each u. Only the few hubs' edges could fill a task; those need no shuffle."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("k"))
-    most = total // HUB + 50
-    hubs = F.broadcast(least.where(F.col("k") > most).select("u", F.col("m").alias("hub")))
-    both = edges.join(hubs, "u", "left")
-    return both.where("hub is null").select("u", "v").join(least.where(F.col("k") <= most).select("u", "m"), "u").unionByName(both.where("hub is not null").select("u", "v", F.col("hub").alias("m")))
-
-
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node reachable, for every node with an edge to another one.
 
-    Tasks first reduce their edges to forests; then large-star and small-star steps alternate until nothing changes
-    (a few rounds more than the logarithm of the longest path). Rounds are stored in the shared folder, so no lineage
-    grows and no lost executor breaks a later round; a round's folder goes when the next one stands. Only sums of a
-    round get to the driver.
+    Tasks first reduce their edges to forests. Then each round hangs a node's smaller neighbours on the smallest of
+    them, and each node on its neighbour's own smallest one, until nothing changes (a few rounds more than the logarithm
+    of the longest path). Edges are joined on their larger end, and on the smaller one only with nodes that have a
+    smaller neighbour, which a root, the centre of a large star, has not: so no task gets a star. Rounds are stored in
+    the shared folder, so no lineage grows and no lost executor breaks a later round; a round's folder goes when the next
+    one stands. Only a count of a round gets to the driver.
     """
     named = edges.select(F.col(f"`{a}`").cast("long").alias("u"), F.col(f"`{b}`").cast("long").alias("v")).where("u <> v")
     now = stored(named.mapInArrow(_forest, "u long, v long").distinct(), "edges")
-    before, total = None, now.count()
-    while total:
-        both = _with_least(now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v"))), 2 * total)
-        large = both.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
-        small = _with_least(large, 2 * total).select(F.when(F.col("v") != F.col("m"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v"))
-        last, now = now, stored(small.where("u <> v").distinct(), "edges")
-        sums = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    while True:
+        least = now.groupBy("u").agg(F.min("v").alias("m"))
+        hung = now.join(least, "u").select(F.when(F.col("v") != F.col("m"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v"), (F.col("v") != F.col("m")).alias("new"))
+        hung = hung.union(least.select("u", F.col("m").alias("v"), F.lit(False).alias("new")))
+        hung = hung.groupBy("u", "v").agg(F.max("new").alias("new"))
+        least = hung.groupBy("u").agg(F.min("v").alias("m"))
+        higher = hung.select("v").distinct().join(least.withColumnRenamed("u", "v"), "v")
+        jumped = hung.join(higher, "v", "left").select("u", F.coalesce("m", "v").alias("v"), (F.col("new") | F.col("m").isNotNull()).alias("new"))
+        last, now = now, stored(jumped.groupBy("u", "v").agg(F.max("new").alias("new")), "edges")
         drop_stored(last)
-        if sums == before:
+        if not now.where("new").limit(1).count():
             break
-        before, total = sums, sums[0]
+        now = _kept(now)
     roots = now.select(F.col("v").alias("node")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.select("node", F.col("node").alias("component")))
+
+
+def _kept(now: DataFrame) -> DataFrame:
+    """A round's edges without their marks."""
+    out = now.select("u", "v")
+    out.stored_at = now.stored_at
+    return out

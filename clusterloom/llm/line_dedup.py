@@ -1,4 +1,9 @@
-"""Fuzzy line deduplication: MinHash over character shingles, banding, exact checks, union-find over lines."""
+"""Fuzzy line deduplication: MinHash over character shingles, banding, exact checks, union-find over lines.
+
+Each band's bucket first pairs its lines with one or two of them; checked links give first components, which are nearly
+all. Then lines of different components that share a bucket are compared: pair by pair in small buckets, in blocks in
+large ones. So no bucket is cut short, and candidates grow with the lines.
+"""
 
 from __future__ import annotations
 
@@ -6,30 +11,62 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clusterloom.llm.buckets_old import PACKED, Bloom, Packer, bucket_pairs
-from clusterloom.llm.common import pick, stored
+from clusterloom.llm.buckets import LARGE, PACKED, Bloom, Packer, across, parts_for, stars
+from clusterloom.llm.common import drop_stored, let, pick, stored
 from clusterloom.llm.components import components
 from clusterloom.llm.hashing import _PLACES, _powers, mix, slices
 
 U = np.uint64
-#: Characters of a shingle, and of a line at least: shorter ones are never removed.
-GRAM, SHORTEST = 5, 20
-#: Bands and their rows. At a similarity of 0.8, 9996 of 10,000 pairs share a band; at 0.75, 9956. Lines of one language have
-#: similarities of some hundredths, up to 0.2; five rows leave few such pairs as candidates.
-BANDS, ROWS = 20, 5
-#: Lines of a bucket whose pairs are all candidates; in larger ones, neighbours and one line that the band chooses come
-#: first, then the members that are still in different components, block by block.
-PAIRED = 12
-#: Lines, and characters on average, of a block of a large bucket.
-BLOCK, BLOCK_CHARS = 512, 400_000
+#: Characters of a shingle. Shorter lines are duplicates only of equal ones.
+GRAM = 5
+#: Bands and their rows. At a similarity of 0.8, 9997 of 10,000 pairs share a band; at 0.75, 9923. Lines of one language have
+#: similarities of some hundredths, up to 0.2; with seven rows few such pairs are candidates, however many lines there are.
+BANDS, ROWS = 34, 7
+#: Characters that are checked at a time.
+CHECKED = 1_000_000
 _rng = np.random.Generator(np.random.PCG64(77))
 _A = (_rng.integers(1, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2)) + np.uint32(1)
 _X = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
 
 
+def gram_hashes(chars: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the GRAM characters from each place on."""
+    n = max(0, len(chars) - GRAM + 1)
+    c = chars.astype(np.uint64)
+    h = c[:n] * _PLACES[0]
+    for k in range(1, GRAM):
+        h += c[k : k + n] * _PLACES[k]
+    h ^= h >> U(29)
+    return h * U(0xBF58476D1CE4E5B9)
+
+
+def _row_grams(texts: list[str]) -> np.ndarray:
+    """Sorted distinct (row, shingle) of lines, as row << 44 and 44 bits of the shingle's hash."""
+    chars = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le"), dtype=np.uint32)
+    ends = np.flatnonzero(chars == 10)
+    row = np.repeat(np.arange(len(texts), dtype=np.uint64), np.diff(np.concatenate([[-1], ends])))
+    h = gram_hashes(chars)
+    inside = row[: len(h)] == row[len(chars) - len(h) :]
+    inside &= np.arange(len(h)) + GRAM - 1 < ends[row[: len(h)].astype(np.int64)]
+    keys = (row[: len(h)] << U(44) | h >> U(20))[inside]
+    keys.sort()
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+
+
+def similar(x: list[str], y: list[str], similarity: float) -> np.ndarray:
+    """Whether the lines of each row have shingles of that Jaccard similarity. Shingles of a row are compared by 44-bit hashes."""
+    a, b = _row_grams(x), _row_grams(y)
+    both = np.concatenate([a, b])
+    both.sort()
+    common = np.bincount((both[1:][both[1:] == both[:-1]] >> U(44)).astype(np.int64), minlength=len(x))
+    total = np.bincount((both >> U(44)).astype(np.int64), minlength=len(x))
+    return common >= similarity * (total - common)
+
+
 class Lines:
     """The lines of a run of texts: their keys (hashes of the whole line, A-Z in lower case), texts and numbers."""
 
@@ -50,11 +87,12 @@ class Lines:
         starts.sort()
         ends.sort()
         self.of = np.searchsorted(at[1:], starts, "right")
-        # An empty text's own line starts where the next text's does; it is too short to matter.
+        # An empty text's own line starts where the next text's does; blank lines don't matter.
         self.of = np.minimum(self.of, len(at) - 2)
         self.number = np.searchsorted(newline, starts) - np.searchsorted(newline, at[:-1])[self.of]
-        long = ends - starts >= SHORTEST
-        self.starts, self.ends, self.of, self.number = starts[long], ends[long], self.of[long], self.number[long]
+        ink = np.concatenate([[0], np.cumsum((chars != 32) & ((chars < 9) | (chars > 13)))])
+        shown = ink[ends] > ink[starts]
+        self.starts, self.ends, self.of, self.number = starts[shown], ends[shown], self.of[shown], self.number[shown]
         up, down = _powers(len(chars) + 1)
         total = np.zeros(len(chars) + 1, dtype=np.uint64)
         np.cumsum((self.chars.astype(np.uint64) * U(0x9FB21C651E98DF25) ^ U(0x5851F42D4C957F2D)) * up[: len(chars)], out=total[1:])
@@ -62,19 +100,10 @@ class Lines:
 
     def grams(self) -> np.ndarray:
         """32-bit hashes of the GRAM characters from each place on."""
-        n = len(self.chars) - GRAM + 1
-        if n <= 0:
-            return np.zeros(0, np.uint32)
-        c = self.chars.astype(np.uint64)
-        h = c[:n] * _PLACES[0]
-        for k in range(1, GRAM):
-            h += c[k : k + n] * _PLACES[k]
-        h ^= h >> U(29)
-        h *= U(0xBF58476D1CE4E5B9)
-        return (h >> U(32)).astype(np.uint32)
+        return (gram_hashes(self.chars) >> U(32)).astype(np.uint32)
 
     def signatures(self, chosen: np.ndarray) -> np.ndarray:
-        """(lines, BANDS) signatures of the chosen lines."""
+        """(lines, BANDS) signatures of the chosen lines, of GRAM characters or more."""
         g = np.append(self.grams(), np.uint32(0))
         bounds = np.stack([self.starts[chosen], self.ends[chosen] - GRAM + 1], axis=1).ravel()
         least = np.empty((BANDS * ROWS, len(chosen)), dtype=np.uint64)
@@ -97,6 +126,13 @@ def gram_set(text: str) -> set:
     return {text[i : i + GRAM] for i in range(len(text) - GRAM + 1)}
 
 
+def _hashed(texts: list[str]) -> list[np.ndarray]:
+    """The distinct shingles of each line, as 64-bit hashes."""
+    chars = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le"), dtype=np.uint32)
+    h, ends = gram_hashes(chars), np.flatnonzero(chars == 10).tolist()
+    return [np.unique(h[a + 1 : b - GRAM + 1]) for a, b in zip([-1, *ends], ends)]
+
+
 def _fresh(keys: np.ndarray, seen: set) -> np.ndarray:
     """Places of the keys that the task has not met lately, each once."""
     if len(seen) > 300_000:
@@ -107,68 +143,17 @@ def _fresh(keys: np.ndarray, seen: set) -> np.ndarray:
     return np.array(sorted(out), dtype=np.int64)
 
 
-def _across(rest: DataFrame, chars: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): links between members of a bucket that are in different components. rest: bucket, key, comp.
-
-    Members of the component that the bucket's first member has are not compared with each other. All others are, with
-    every member and exactly; both sides have blocks, and a task holds one of each. Of the links of two blocks, those
-    that join components not yet joined by another one go out, so their number grows with the lines.
-    """
-    both = rest.join(rest.groupBy("bucket").agg(F.min_by("comp", "key").alias("main")), "bucket").join(chars, "key")
-    both = both.withColumn("left", F.col("comp") != F.col("main"))
-
-    def blocks(which: Column) -> Column:
-        return F.ceil(F.greatest(F.count(F.when(which, 1)) / BLOCK, F.sum(F.when(which, F.length("chars"))) / BLOCK_CHARS)).cast("int")
-
-    sizes = both.groupBy("bucket").agg(blocks(F.col("left")).alias("nx"), blocks(F.lit(True)).alias("ny")).where("nx > 0")
-    both = both.join(sizes, "bucket")
-    own = ["bucket", "key", "comp", "chars"]
-    left = both.where("left").select(*own, F.lit(True).alias("left"), F.pmod(F.xxhash64("key"), "nx").cast("int").alias("x"), F.explode(F.sequence(F.lit(0), F.col("ny") - 1)).alias("y"))
-    right = both.select(*own, F.lit(False).alias("left"), F.explode(F.sequence(F.lit(0), F.col("nx") - 1)).alias("x"), F.pmod(F.xxhash64("key"), "ny").cast("int").alias("y"))
-
-    def run(table: pa.Table) -> pa.Table:
-        keys, comps = table.column("key").to_pylist(), table.column("comp").to_pylist()
-        is_left = np.array(table.column("left").to_pylist())
-        mine, theirs = np.flatnonzero(is_left).tolist(), np.flatnonzero(~is_left)
-        a, b = [], []
-        if len(mine) and len(theirs):
-            names: dict[str, int] = {}
-            texts = table.column("chars").to_pylist()
-            sets = [np.array([names.setdefault(g, len(names)) for g in gram_set(t)]) for t in texts]
-            del texts
-            sizes = np.array([len(sets[i]) for i in theirs])
-            flat, begin = np.concatenate([sets[i] for i in theirs]), np.cumsum(sizes) - sizes
-            has, root = np.zeros(len(names), dtype=np.int32), {c: c for c in comps}
-
-            def find(c: int) -> int:
-                while root[c] != c:
-                    root[c] = c = root[root[c]]
-                return c
-
-            for k in mine:
-                has[sets[k]] = 1
-                common = np.add.reduceat(has[flat], begin)
-                has[sets[k]] = 0
-                for i in theirs[common >= similarity * (len(sets[k]) + sizes - common)].tolist():
-                    x, y = find(comps[k]), find(comps[i])
-                    if x != y:
-                        root[max(x, y)] = min(x, y)
-                        a.append(min(keys[k], keys[i]))
-                        b.append(max(keys[k], keys[i]))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return left.unionByName(right).groupBy("bucket", "x", "y").applyInArrow(run, "a long, b long")
-
-
 def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, similarity: float = 0.75) -> DataFrame:
     """(doc_id, version, lines): for each document that loses lines, their numbers from 0, ascending.
 
-    Lines are what stands between newlines. Two lines link when they are equal, A-Z in lower case, or when the Jaccard
-    similarity of their sets of GRAM-character shingles is ``similarity`` or more (candidates by MinHash bands, each
-    checked exactly). Of each connected component the line of the smallest (doc_id, number) stays; null ids come
-    last. Lines of fewer than SHORTEST characters take no part. version is a hash of the text: rows with equal id
-    and text are one document, all of whose copies lose the same lines; rows with an equal id and other texts are
-    told apart by it. Null texts have no lines; other columns aren't read; an empty table gives no rows.
+    Lines are what stands between newlines; blank ones (ASCII white space only) take no part. Two lines link when they are
+    equal, A-Z in lower case, or when the Jaccard similarity of their sets of GRAM-character shingles is ``similarity`` or
+    more (candidates by MinHash bands, each checked exactly); lines of fewer characters link when they are equal. Of each
+    connected component the line of the smallest (doc_id, number) stays; null ids come last. version is a hash of the
+    text: rows with equal id and text are one document, all of whose copies lose the same lines; rows with an equal id and
+    other texts are told apart by it. Texts of any length are read whole; one text has to fit a worker. Null texts have no
+    lines; other columns aren't read; an empty table gives no rows. Stages run, and store what they find in the shared
+    folder, when this is called.
     """
     own = pick(docs, doc_id=doc_id, text=text)
     own = own.select("doc_id", own["text"].cast("binary").alias("text"), F.xxhash64("text").alias("version"))
@@ -185,11 +170,12 @@ def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 )
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, seen = Packer(parts, pair_large=True), set()
+        packer, seen = Packer(parts), set()
         for batch in batches:
             for _, data, offsets in slices(batch.column(1)):
                 x = Lines(data, offsets)
-                chosen = _fresh(x.keys, seen)
+                at = np.flatnonzero(x.ends - x.starts >= GRAM)
+                chosen = at[_fresh(x.keys[at], seen)] if len(at) else at
                 if len(chosen):
                     for i, sigs in zip(chosen.tolist(), x.signatures(chosen)):
                         if out := packer.add(sigs, int(x.keys[i : i + 1].view(np.int64)[0])):
@@ -197,12 +183,12 @@ def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         if out := packer.flush():
             yield out
 
-    lines = own.mapInArrow(occurrences, f"key long, doc_id {kind}, version long, line int")
+    lines = stored(own.mapInArrow(occurrences, f"key long, doc_id {kind}, version long, line int"), "occurrences")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "version", "line")
     firsts = stored(lines.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n")), "lines")
-    parts = int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), firsts.count() * BANDS // 3_000_000))
-    found = stored(bucket_pairs(own.mapInArrow(sign, PACKED), pair_large=True, most=PAIRED).distinct(), "pairs")
-    pairs = found.where("kind = 0").select("a", "b")
+    parts = parts_for(spark, firsts.count() * BANDS)
+    found = stored(stars(own.mapInArrow(sign, PACKED), members=True), "pairs")
+    pairs = stored(found.where("kind = 0").select("a", "b").distinct(), "pairs")
     bloom = Bloom.of(pairs.select(F.explode(F.array("a", "b")).alias("key")), "key")
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,38 +203,43 @@ def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept, sets = [], {}
-            for i, (a, b, x, y) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(4)))):
-                if (p := sets.get(a)) is None:
-                    p = sets[a] = gram_set(x)
-                if (q := sets.get(b)) is None:
-                    q = sets[b] = gram_set(y)
-                common = len(p & q)
-                if common >= similarity * (len(p) + len(q) - common):
-                    kept.append(i)
-                if len(sets) > 2000:
-                    sets.clear()
-            yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(kept, pa.int64())) for i in (0, 1)], names=["a", "b"])
+            size = np.cumsum(sum(pc.utf8_length(batch.column(k)).to_numpy().astype(np.int64) for k in (2, 3)))
+            at = 0
+            while at < len(batch):  # some rows at a time, by their characters
+                to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + CHECKED, "right")))
+                part = batch.slice(at, to - at)
+                yield part.select(["a", "b"]).filter(pa.array(similar(part.column(2).to_pylist(), part.column(3).to_pylist(), similarity)))
+                at = to
 
     chars = stored(own.mapInArrow(texts, "key long, chars string").groupBy("key").agg(F.first("chars").alias("chars")), "texts")
-    left, right = chars.select(F.col("key").alias("a"), F.col("chars").alias("ca")), chars.select(F.col("key").alias("b"), F.col("chars").alias("cb"))
-    links = pairs.join(left, "a").join(right, "b").select("a", "b", "ca", "cb").mapInArrow(check, "a long, b long")
-    # Stored, so that no task needs the workers of two steps at once.
-    known = components(stored(links, "links"))
-    rest = found.where("kind = 1").select(F.col("a").alias("bucket"), F.col("b").alias("key"))
-    rest = rest.join(known.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", F.coalesce("component", "key").alias("comp"))
-    apart = rest.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("bucket")
-    rest = stored(rest.join(apart, "bucket"), "large")
-    if not rest.isEmpty():
-        more = stored(_across(rest, chars, similarity), "links")
-        if not more.isEmpty():
-            known = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
-    # The line that stays in each component; components of one key matter only if the line occurs again.
-    grouped = firsts.join(known.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    kept = grouped.groupBy("component").agg(F.min("first").alias("stays"), F.sum("n").alias("m")).where("m > 1").select("component", "stays")
-    stays = grouped.join(kept, "component").select("key", "stays")
-    own_lines = own.mapInArrow(occurrences, f"key long, doc_id {kind}, version long, line int")
-    gone = own_lines.join(stays, "key").where(place != F.col("stays"))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        left, right = chars.select(F.col("key").alias("a"), F.col("chars").alias("ca")), chars.select(F.col("key").alias("b"), F.col("chars").alias("cb"))
+        # Stored, so that no task needs the workers of two steps at once.
+        return stored(pairs.join(left, "a").join(right, "b").select("a", "b", "ca", "cb").mapInArrow(check, "a long, b long"), "links")
+
+    links = linked(pairs)
+    known = components(links)
+    rest = found.where("kind = 1").select(F.col("a").alias("bucket"), F.col("b").alias("id"))
+    rest = rest.join(known.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("comp"))
+    mixed = rest.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("m")).where("low <> high").select("bucket", "m")
+    rest = stored(rest.join(mixed, "bucket"), "large")
+    small = rest.where(F.col("m") <= LARGE)
+    left, right = small.select("bucket", F.col("id").alias("a"), F.col("comp").alias("ga")), small.select("bucket", F.col("id").alias("b"), F.col("comp").alias("gb"))
+    more = left.join(right, "bucket").where("a < b and ga <> gb").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
+    more = linked(more)
+    sets = chars.select(F.col("key").alias("id"), F.col("chars").alias("s"), F.length("chars").alias("size"))
+    whole = stored(across(rest.where(F.col("m") > LARGE).select("bucket", "id", "comp"), sets, _hashed, lambda common, both: common >= similarity * (both - common)), "links")
+    before = known.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    known = stored(components(before.union(more).union(whole)), "components")
+    drop_stored(found, pairs, chars, links, rest, more, whole)
+    # The line that stays in each component; a line that is near no other one matters if it occurs again.
+    known = known.withColumnRenamed("node", "key")
+    near = firsts.join(known, "key")
+    kept = near.groupBy("component").agg(F.min("first").alias("stays"))
+    again = firsts.where("n > 1").join(known, "key", "left_anti")
+    stays = near.join(kept, "component").select("key", "stays").unionByName(again.select("key", F.col("first").alias("stays")))
+    gone = lines.join(stays, "key").where(place != F.col("stays"))
     return gone.groupBy("doc_id", "version").agg(F.sort_array(F.collect_set("line")).alias("lines"))
 
 
@@ -270,7 +261,7 @@ def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) ->
         names = ["_" + n for n in names]
     gone = gone.toDF(*names)
     both = docs.join(gone, docs[f"`{doc_id}`"].eqNullSafe(gone[names[0]]) & (F.xxhash64(docs[f"`{text}`"]) == gone[names[1]]), "left")
-    left = F.array_join(F.filter(F.split(docs[f"`{text}`"], "\n"), lambda x, i: ~F.array_contains(F.col(names[2]), i)), "\n")
+    left = let(F.split(docs[f"`{text}`"], "\n"), lambda own: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.col(names[2])), lambda i: F.get(own, i)), "\n"))
     new = F.when(F.col(names[2]).isNull(), docs[f"`{text}`"]).otherwise(left)
     out = both.select(*[new.alias(c) if c == text else docs[f"`{c}`"] for c in docs.columns])
     return out.where(F.col(f"`{text}`").rlike(r"[^\x20\x09-\x0D]"))
