@@ -238,8 +238,15 @@ def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     near = firsts.join(known, "key")
     kept = near.groupBy("component").agg(F.min("first").alias("stays"))
     again = firsts.where("n > 1").join(known, "key", "left_anti")
-    stays = near.join(kept, "component").select("key", "stays").unionByName(again.select("key", F.col("first").alias("stays")))
-    gone = lines.join(stays, "key").where(place != F.col("stays"))
+    stays = stored(near.join(kept, "component").select("key", "stays").unionByName(again.select("key", F.col("first").alias("stays"))), "stays")
+    concerned = Bloom.of(stays, "key")
+
+    def matter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(concerned.has(batch.column(0).to_numpy())))
+
+    # Most lines are near no other one: they stay where they are.
+    gone = lines.mapInArrow(matter, lines.schema).join(stays, "key").where(place != F.col("stays"))
     return gone.groupBy("doc_id", "version").agg(F.sort_array(F.collect_set("line")).alias("lines"))
 
 

@@ -2,8 +2,10 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from clusterloom.llm import buckets, hashing, ngram_join
+from clusterloom.llm import components as components_module
 from clusterloom.llm.components import components
 
 
@@ -90,7 +92,10 @@ def test_linked_sets_share_a_signature():
         assert ok
 
 
-def test_components(spark):
+@pytest.mark.parametrize("task", [1_000_000, 40])
+def test_components(spark, monkeypatch, task):
+    """In one task, and in rounds."""
+    monkeypatch.setattr(components_module, "TASK", task)
     rng = random.Random(8)
     edges = [(i, i + 1) for i in range(100, 300)] + [(rng.randrange(1000, 1400), rng.randrange(1000, 1400)) for _ in range(250)] + [(5, 5)]
     root = {}
@@ -102,6 +107,9 @@ def test_components(spark):
     got = components(spark.createDataFrame(edges, "a long, b long").repartition(7)).collect()
     assert sorted(map(tuple, got)) == sorted((x, find(x)) for x in root)
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    star = [(7, i) for i in range(100, 600)] + [(i, i + 1000) for i in range(100, 600, 7)] + [(3, 1100)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(star, "a long, b long").repartition(9)).collect()}
+    assert set(got.values()) == {3} and len(got) == 2 + 500 + 72
 
 
 def test_components_of_documents(spark, monkeypatch):
