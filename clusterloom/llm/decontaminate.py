@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clusterloom.llm.common import pick
-from clusterloom.llm.hashing import _powers, mix
+from clusterloom.llm.hashing import _powers
 
 U = np.uint64
 #: Bytes of benchmark text whose index is broadcast at a time; larger benchmarks go in as many blocks as it takes.
