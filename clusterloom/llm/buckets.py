@@ -95,26 +95,32 @@ def _unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     """(signature, id, component) of a part in order of signature, each id once a bucket and lone ones left out; then
     where buckets begin and their sizes."""
     width, sigs, ids, comps = BITS // 8, [], [], []
+    any_comps = any(table.column("comps").to_pylist())
     for s, i, g, c in zip(*(table.column(k).to_pylist() for k in ("sigs", "ids", "comps", "counts"))):
         low = np.zeros((len(s) // width, 8), dtype=np.uint8)
         low[:, :width] = np.frombuffer(s, dtype=np.uint8).reshape(-1, width)
         sigs.append(low.reshape(-1).view(np.uint64))
         counts = np.frombuffer(c, dtype="<u4")
         ids.append(np.repeat(np.frombuffer(i, dtype=np.int64), counts))
-        comps.append(np.repeat(np.frombuffer(g or i, dtype=np.int64), counts))
-    sig, own, comp = np.concatenate(sigs), np.concatenate(ids), np.concatenate(comps)
-    del sigs, ids, comps
+        if any_comps:
+            comps.append(np.repeat(np.frombuffer(g or i, dtype=np.int64), counts))
+    sig, own = np.concatenate(sigs), np.concatenate(ids)
+    del sigs, ids
+    comp = np.concatenate(comps) if any_comps else own
+    del comps
     order = np.argsort(sig)
     sig = sig[order]
     same = np.concatenate([[False], sig[1:] == sig[:-1]])
     shared = same | np.append(same[1:], False)
     order = order[shared]
-    sig, own, comp = sig[shared], own[order], comp[order]
+    sig, comp = sig[shared], comp[order] if any_comps else None
+    own = own[order]
     order = np.lexsort((own, sig))
-    sig, own, comp = sig[order], own[order], comp[order]
+    sig, own, comp = sig[order], own[order], comp[order] if any_comps else None
     if len(sig):
         fresh = np.concatenate([[True], (sig[1:] != sig[:-1]) | (own[1:] != own[:-1])])
-        sig, own, comp = sig[fresh], own[fresh], comp[fresh]
+        sig, own, comp = sig[fresh], own[fresh], comp[fresh] if any_comps else None
+    comp = comp if any_comps else own
     at = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
     return sig, own, comp, at, np.diff(np.append(at, len(sig)))
 

@@ -27,7 +27,7 @@ GRAM = 5
 #: similarities of some hundredths, up to 0.2; with seven rows few such pairs are candidates, however many lines there are.
 BANDS, ROWS = 34, 7
 #: Characters that are checked at a time.
-CHECKED = 1_000_000
+CHECKED = 300_000
 _rng = np.random.Generator(np.random.PCG64(77))
 _A = (_rng.integers(1, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2)) + np.uint32(1)
 _X = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
