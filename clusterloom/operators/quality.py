@@ -36,9 +36,11 @@ def mean_similarities(vectors: DataFrame) -> DataFrame:
     return both.select("label", "doc_id", "embedding", "n", F.when(F.col("n") > 1, mean).alias("mean_sim"))
 
 
-def medoids(vectors: DataFrame, label: str = "label", doc_id: str = "doc_id", vector: str = "embedding", cap: int = 2000, seed: int = 42) -> DataFrame:
-    """(label, doc_id, mean_sim, embedding): the most central document of each cluster; ties go to the smaller id."""
-    own = mean_similarities(sample(_named(vectors, label, doc_id, vector), "label", "doc_id", cap, seed))
+def medoids(vectors: DataFrame, label: str = "label", doc_id: str = "doc_id", vector: str = "embedding", cap: int | None = None, seed: int = 42) -> DataFrame:
+    """(label, doc_id, mean_sim, embedding): the most central document of each cluster; ties go to the smaller id. All
+    documents count, whatever a cluster's size; with a cap, those of a sample."""
+    own = _named(vectors, label, doc_id, vector)
+    own = mean_similarities(own if cap is None else sample(own, "label", "doc_id", cap, seed))
     return top(own.where("n > 1"), ["label"], [F.round("mean_sim", 10).desc(), F.col("doc_id")], 1).select("label", "doc_id", "mean_sim", "embedding")
 
 
@@ -88,8 +90,9 @@ def _nearest(ids: np.ndarray, q: np.ndarray, k: int):
     return run
 
 
-def voorhees(vectors: DataFrame, label: str = "label", doc_id: str = "doc_id", vector: str = "embedding", k: int = 10, cap: int = 2000, seed: int = 42) -> DataFrame:
-    """Share of the medoid's k nearest documents that are of its cluster; always divided by k."""
+def voorhees(vectors: DataFrame, label: str = "label", doc_id: str = "doc_id", vector: str = "embedding", k: int = 10, cap: int | None = 2000, seed: int = 42) -> DataFrame:
+    """Share of the medoid's k nearest documents that are of its cluster; always divided by k. With a cap, the medoid is
+    that of a sample."""
     own = _named(vectors, label, doc_id, vector)
     near = neighbours(medoids(own, cap=cap, seed=seed), own, k)
     share = near.groupBy(F.col("query_label").alias("label")).agg((F.sum((F.col("label") == F.col("query_label")).cast("long")) / k).alias("voorhees_nn"))
