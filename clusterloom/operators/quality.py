@@ -90,7 +90,7 @@ def _nearest(ids: np.ndarray, q: np.ndarray, k: int):
     return run
 
 
-def voorhees(vectors: DataFrame, label: str = "label", doc_id: str = "doc_id", vector: str = "embedding", k: int = 10, cap: int | None = 2000, seed: int = 42) -> DataFrame:
+def voorhees(vectors: DataFrame, label: str = "label", doc_id: str = "doc_id", vector: str = "embedding", k: int = 10, cap: int | None = None, seed: int = 42) -> DataFrame:
     """Share of the medoid's k nearest documents that are of its cluster; always divided by k. With a cap, the medoid is
     that of a sample."""
     own = _named(vectors, label, doc_id, vector)
@@ -239,7 +239,7 @@ def kl_divergence(docs: DataFrame, label: str = "label", doc_id: str = "doc_id",
     return chosen.groupBy("label").applyInArrow(run, f"label {kind}, kl_divergence double")
 
 
-def measures(docs: DataFrame, vectors: DataFrame, label: str = "label", doc_id: str = "doc_id", *, k: int = 10, medoid_sample: int = 2000, max_sample: int = 500, max_docs_kl: int = 200, max_pairs_kl: int = 500, max_sample_nmrd: int = 200, seed: int = 42) -> DataFrame:
+def measures(docs: DataFrame, vectors: DataFrame, label: str = "label", doc_id: str = "doc_id", *, k: int = 10, medoid_sample: int | None = None, max_sample: int = 500, max_docs_kl: int = 200, max_pairs_kl: int = 500, max_sample_nmrd: int = 200, seed: int = 42) -> DataFrame:
     """(cluster, voorhees_nn, overlap, kl_divergence, density, nmrd) of every cluster in either table."""
     parts = [
         voorhees(vectors, label, doc_id, k=k, cap=medoid_sample, seed=seed),

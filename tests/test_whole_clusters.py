@@ -31,3 +31,8 @@ def both(spark, d, name):
 def test_medoids_of_large_clusters(spark, large):
     got, want = both(spark, large, "medoids")
     assert got == want
+
+
+def test_voorhees_of_large_clusters(spark, large):
+    got, want = both(spark, large, "voorhees")
+    assert got == want
