@@ -11,9 +11,9 @@ from clusterloom.plans import catalogue
 
 @pytest.fixture(scope="module")
 def large(tmp_path_factory):
-    rng = np.random.default_rng(4)
+    rng = np.random.default_rng(9)
     label = np.repeat([0, 1, 2], [2600, 2300, 100])
-    v = rng.normal(0, 1, (len(label), 8)) + 0.7 * np.eye(8)[label]
+    v = rng.normal(0, 1, (len(label), 8)) + 0.5 * np.eye(8)[label]
     v /= np.linalg.norm(v, axis=1, keepdims=True)
     v[2590:2600] = v[:10]  # equal vectors: the smaller id counts
     path = tmp_path_factory.mktemp("large")
