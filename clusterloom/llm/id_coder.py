@@ -1,12 +1,11 @@
 """An adaptive context-mixing range coder for token ids, in blocks that are coded side by side.
 
-A frame's ids are numbered by falling frequency. An id's number is coded bit by bit: the position of its highest bit,
-then its next MANTISSA bits, then the rest. Each bit but those of the rest is predicted by order 0 (what the bits before
-it of the id are), order 1 (and the id before) and order 2 (and the two ids before); the three predictions are mixed in
-the logistic domain by weights that learn, and the mix drives a binary arithmetic coder. Every block starts from the same
-fresh state, which the frame's header holds (the ids' numbers and the first order-0 predictions), and ends in bytes of its
-own. All arithmetic is on whole numbers, so every machine decodes alike. One NumPy operation handles a step of all blocks
-of a frame.
+A frame's ids are the leaves of a Huffman tree of their counts, and an id is coded as its path from the root. Each bit of
+a path is predicted by order 0 (the node), order 1 (and the id before) and order 2 (and the two ids before); the three
+predictions are mixed in the logistic domain by weights that learn, and the mix drives a binary arithmetic coder: no bit
+goes without. Every block starts from the same fresh state, which the frame's header holds (the ids and their counts),
+and ends in bytes of its own. All arithmetic is on whole numbers, so every machine decodes alike. One NumPy operation
+handles a step, which is a bit of each block, of all blocks of a frame.
 """
 
 from __future__ import annotations
@@ -16,8 +15,9 @@ import zlib
 
 import numpy as np
 
-#: Bits after the highest one that are predicted, log2 of the slots of each context table of a block, nodes of order 0.
-MANTISSA, SLOTS, NODES = 2, 12, 32 + 32 * 4
+#: log2 of the slots of each context table of a block; what order 0 learns inside a block, corrections to the predictions of
+#: the frame's counts: a node beyond NODES shares its one with a more frequent node.
+SLOTS, NODES = 12, 1024
 #: The coder's interval has STATE bits; below NARROW it is cut at a boundary, so that bytes get certain. A bit takes PRECISION bits
 #: of it at most, so SPARE of NARROW's can be spent before bytes have to be put out.
 STATE, NARROW = 56, 1 << 38
@@ -50,6 +50,8 @@ def _tables() -> tuple[np.ndarray, ...]:
 
 _SQUASH, _LOGIT, _STRETCH, _CONFIDENCE, _NEXT = _tables()
 _SQUASH, _LOGIT, _STRETCH = (t.astype(np.int32) for t in (_SQUASH, _LOGIT, _STRETCH))
+#: Both of a state: its logit above two bits of confidence.
+_KNOWN = (_STRETCH << 2) | _CONFIDENCE.astype(np.int32)
 #: First weights of orders 0, 1 and 2, of 65,536, by the confidence of order 1 and of order 2; no weight gets beyond MOST_WEIGHT.
 _WEIGHTS = np.array([[65536 if a == b == 0 else 19660, 0 if a == 0 else 16384 + 5000 * a, 0 if b == 0 else 19660 + 6553 * b] for a in range(4) for b in range(4)], dtype=np.int32)
 MOST_WEIGHT = 1 << 18
@@ -108,16 +110,6 @@ class _Coder:
         self.most[where], self.least[where] = np.where(bits, middle, most), np.where(bits, least, middle + 1)
         return bits
 
-    def plain(self, where, bits: np.ndarray, values: np.ndarray | None) -> np.ndarray:
-        """Values of so many bits (16 at most), all alike likely."""
-        least = self.least[where]
-        step = self.most[where] - least >> bits
-        if self.decoding:
-            values = np.minimum((self.code[where] - least) // step, (np.int64(1) << bits) - 1)
-        least = least + step * values
-        self.least[where], self.most[where] = least, least + step - 1
-        return values
-
     def finish(self) -> list[bytes]:
         """Each lane's bytes; a decoder reads zeros behind them."""
         self.settle(len(self.least), SPARE + 1)
@@ -127,103 +119,137 @@ class _Coder:
         return [rows[i, : self.at[i] + 1].tobytes() for i in lanes.tolist()]
 
 
-def _bit_length(v: np.ndarray) -> np.ndarray:
-    return np.frexp(v.astype(np.float64))[1].astype(np.int64)
-
-
-def _first_predictions(numbers: np.ndarray, depth: int) -> np.ndarray:
-    """Order-0 predictions of every node, of 65,536, from the frame's own counts."""
-    counts = np.bincount(numbers)
-    v = np.flatnonzero(counts)
-    n, top = counts[v], _bit_length(v) - 1
-    ones, all_ = np.zeros(NODES), np.zeros(NODES)
-
-    def count(node, bit, of):
-        ones[:] += np.bincount(node[of], weights=(n * bit)[of], minlength=NODES)
-        all_[:] += np.bincount(node[of], weights=n[of], minlength=NODES)
+class _Tree:
+    """The Huffman tree of numbers 0, 1, ... with falling counts. Nodes are numbered by falling weight, the root is 0;
+    kids[2 * node + bit] is a node, or ~number; first is each node's prediction of a one, of 65,536, from the counts; words
+    and lengths are the numbers' paths, the first bit lowest."""
 
-    node, every = np.ones(len(v), np.int64), np.ones(len(v), bool)
-    for k in range(depth - 1, -1, -1):
-        bit = top >> k & 1
-        count(node, bit, every)
-        node = node * 2 + bit
-    node = np.ones(len(v), np.int64)
-    for j in range(MANTISSA):
-        bit = v >> np.maximum(top - 1 - j, 0) & 1
-        count(32 + top * 4 + node, bit, top > j)
-        node = node * 2 + bit
-    return np.clip((ones + 0.5) / (all_ + 1) * 65536, 64, 65472).astype(np.int64)
+    def __init__(self, counts: np.ndarray):
+        n = len(counts)
+        if n == 1:  # a path of no bit would leave nothing to step over
+            self.kids, self.first = np.array([-1, -1], np.int32), np.array([64], np.int32)
+            self.words, self.lengths = np.zeros(1, np.int64), np.ones(1, np.int64)
+            return
+        leaves, made, pairs = counts[::-1].tolist(), [], []
+        i = j = 0
+        for _ in range(n - 1):  # two queues in order of weight: leaves, and nodes as they are made
+            weight, pair = 0, []
+            for _ in (0, 1):
+                if j >= len(made) or i < n and leaves[i] <= made[j]:
+                    weight += leaves[i]
+                    pair.append(i - n)  # ~(n - 1 - i)
+                    i += 1
+                else:
+                    weight += made[j]
+                    pair.append(j)
+                    j += 1
+            made.append(weight)
+            pairs.append(pair)
+        # Nodes were made in order of weight: backwards, each comes before its kids.
+        kids = np.array(pairs[::-1], np.int64)
+        kids = np.where(kids >= 0, n - 2 - kids, kids)
+        weight = np.array(made[::-1], np.int64)
+        ones = np.where(kids[:, 1] >= 0, weight[np.maximum(kids[:, 1], 0)], counts[np.maximum(~kids[:, 1], 0)])
+        self.first = np.clip((2 * ones + 1 << 15) // (weight + 1), 64, 65472).astype(np.int32)
+        self.kids = kids.ravel().astype(np.int32)
+        self.words, self.lengths = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        now, depth = [(0, 0)], 0
+        while now:
+            after = []
+            for node, word in now:
+                for bit in (0, 1):
+                    kid, path = int(kids[node, bit]), word | bit << depth
+                    if kid >= 0:
+                        after.append((kid, path))
+                    else:
+                        self.words[~kid], self.lengths[~kid] = path, depth + 1
+            now, depth = after, depth + 1
+
+
+def _within(q: np.ndarray) -> np.ndarray:
+    """Predictions of 65,536, in place, neither sure to be one nor zero."""
+    np.minimum(q, 65472, out=q)
+    return np.maximum(q, 64, out=q)
 
 
 class _Model:
     """The predictions of all lanes."""
 
     def __init__(self, lanes: int, first: np.ndarray):
-        self.zero = np.tile(first.astype(np.int32), lanes)
+        self.first, self.learnt = first, np.zeros(lanes * NODES, np.int32)
         self.table = np.full(2 * lanes << SLOTS, 1 << 15, np.uint16)  # the lanes' slots of order 1, then those of order 2
-        self.weights = np.tile(_WEIGHTS.T, (1, lanes))
-        self.lane = np.arange(lanes, dtype=np.int64)
-        self.slots = np.stack([self.lane << SLOTS, self.lane + lanes << SLOTS])
-
-    def code(self, coder: _Coder, where, node: np.ndarray, hashes: np.ndarray, bits: np.ndarray | None) -> np.ndarray:
-        """Codes a bit of the lanes ``where``: node says which, hashes (2, lanes) what the contexts are."""
-        lane = self.lane[where]
-        at = (self.slots[:, where] if isinstance(where, slice) else self.slots.take(where, axis=1)) + ((hashes + node.astype(np.uint32) * np.uint32(0x27D4EB2F)) * np.uint32(0x165667B1) >> np.uint32(32 - SLOTS))
-        own = lane * NODES + node
-        q, states = self.zero.take(own), self.table.take(at)
-        stretched = np.empty((3, len(node)), np.int32)
-        stretched[0], stretched[1:] = _LOGIT.take(q >> 4), _STRETCH.take(states)
-        sure = _CONFIDENCE.take(states)
-        of = lane * 16 + sure[0] * 4 + sure[1]
-        weights = self.weights.take(of, axis=1)
-        total = (weights * stretched).sum(axis=0, dtype=np.int32) >> 16
-        p = _SQUASH.take(total + 2048, mode="clip")
-        one = coder.bit(where, p, bits).astype(np.int32)
-        weights += ((one << 12) - p) * stretched + 512 >> 10
-        weights = np.minimum(np.maximum(weights, -MOST_WEIGHT), MOST_WEIGHT)
-        for own_weights, new in zip(self.weights, weights):
-            own_weights[of] = new
+        self.weights = np.tile(_WEIGHTS.T, (1, lanes)).ravel()
+        lane = np.arange(lanes, dtype=np.int64)
+        self.nodes, self.sets = lane * NODES, lane * 16 + np.arange(3)[:, None] * 16 * lanes
+        self.slots = np.stack([lane << SLOTS, lane + lanes << SLOTS])
+
+    def code(self, coder: _Coder, m: int, node: np.ndarray, hashes: np.ndarray, bits: np.ndarray | None) -> np.ndarray:
+        """Codes a bit of the first m lanes: node says which, hashes (2, m) what the contexts are."""
+        at = self.slots[:, :m] + ((hashes + node.astype(np.uint32) * np.uint32(0x27D4EB2F)) * np.uint32(0x165667B1) >> np.uint32(32 - SLOTS))
+        own = self.nodes[:m] + (node & NODES - 1)
+        of_counts, states = self.first.take(node), self.table.take(at)
+        q = _within(of_counts + self.learnt.take(own))
+        known = _KNOWN.take(states)
+        stretched = np.empty((3, m), np.int32)
+        stretched[0] = _LOGIT.take(q >> 4)
+        np.right_shift(known, 2, out=stretched[1:])
+        known &= 3
+        of = self.sets[:, :m] + (known[0] * 4 + known[1])
+        weights = self.weights.take(of)
+        products = weights * stretched
+        total = products[0] + products[1]
+        total += products[2]
+        total >>= 16
+        total += 2048
+        p = _SQUASH.take(total, mode="clip")
+        one = coder.bit(slice(0, m), p, bits).astype(np.int32)
+        stretched *= (one << 12) - p
+        stretched += 512
+        stretched >>= 10
+        weights += stretched
+        np.minimum(weights, MOST_WEIGHT, out=weights)
+        np.maximum(weights, -MOST_WEIGHT, out=weights)
+        self.weights[of] = weights
         self.table[at] = _NEXT.take(states + (one << 16))
-        self.zero[own] = q + ((one << 16) - one - q >> 7)
+        self.learnt[own] = _within(q + (one * 65535 - q >> 7)) - of_counts
         return one
 
 
-def _run(numbers: np.ndarray | None, lengths: np.ndarray, coder: _Coder, first: np.ndarray, depth: int) -> np.ndarray:
-    """Codes (or decodes) all lanes; numbers: (steps, lanes), from 1. Lanes are in order of falling length."""
-    lanes, steps = len(lengths), int(lengths.max())
-    out = np.zeros((steps, lanes), np.uint32)
-    model = _Model(lanes, first)
-    before = np.zeros((2, lanes), np.uint32)
-    for t in range(steps):
-        m = lanes if lengths[-1] > t else int((lengths > t).sum())
-        x = numbers[t, :m].astype(np.int64) if numbers is not None else None
-        hashes = before[:, :m] * np.array([[0x9E3779B1], [0xC2B2AE3D]], np.uint32)
-        hashes[1] += before[0, :m] * np.uint32(0x85EBCA77) + np.uint32(0x1234567)
-        top = _bit_length(x) - 1 if x is not None else None
-        node, every = np.ones(m, np.int64), slice(0, m)
-        for k in range(depth - 1, -1, -1):
-            coder.settle(m, PRECISION)
-            node = node * 2 + model.code(coder, every, node, hashes, (top >> k & 1).astype(bool) if top is not None else None)
-        top = node - (1 << depth)
-        value = np.ones(m, np.int64)
-        # Bytes are settled at fixed steps, whatever other lanes have: a block decodes alike alone.
-        for j in range(MANTISSA):
-            coder.settle(m, PRECISION)
-            some = np.flatnonzero(top > j)
-            if len(some):
-                own = top[some]
-                bits = (x[some] >> (own - 1 - j) & 1).astype(bool) if x is not None else None
-                value[some] = value[some] * 2 + model.code(coder, some, 32 + own * 4 + value[some], hashes.take(some, axis=1), bits)
-        for done in range(MANTISSA, (1 << depth) - 1, 16):
-            coder.settle(m, 18)
-            some = np.flatnonzero(top > done)
-            if len(some):
-                now = np.minimum(top[some] - done, 16)
-                part = coder.plain(some, now, x[some] >> (top[some] - done - now) & (np.int64(1) << now) - 1 if x is not None else None)
-                value[some] = value[some] << now | part
-        out[t, :m] = value
-        before[1, :m] = before[0, :m]
-        before[0, :m] = value
+def _run(numbers: np.ndarray | None, bits: np.ndarray, coder: _Coder, tree: _Tree, block: int) -> np.ndarray:
+    """Codes (or decodes) all lanes; numbers: (lanes, block). bits: those of each lane, falling."""
+    lanes = len(bits)
+    out = np.zeros(lanes * block, np.int64)
+    model, lane = _Model(lanes, tree.first), np.arange(lanes, dtype=np.int64)
+    node, at = np.zeros(lanes, np.int64), lane * block
+    hashes, before = np.zeros((2, lanes), np.uint32), np.zeros(lanes, np.uint32)
+    hashes[1] = 0x1234567
+    if numbers is not None:
+        numbers = np.append(numbers.ravel(), 0)
+        word = tree.words[numbers[at]]
+    m, last = lanes, 0
+    for t in range(int(bits[0])):
+        if last <= t:  # lanes are in order of falling bits
+            m = int(np.searchsorted(-bits, -t, "left"))
+            last = int(bits[m - 1])
+        coder.settle(m, PRECISION)
+        one = model.code(coder, m, node[:m], hashes[:, :m], (word[:m] & 1).astype(bool) if numbers is not None else None)
+        kid = tree.kids.take(node[:m] * 2 + one)
+        if numbers is not None:
+            word[:m] >>= 1
+        ends = np.flatnonzero(kid < 0)
+        node[:m] = kid
+        if len(ends):
+            node[ends] = 0
+            number = ~kid[ends]
+            here = at[ends]
+            out[here] = number
+            at[ends] = here + 1
+            if numbers is not None:
+                word[ends] = tree.words[numbers[here + 1]]
+            name = number.astype(np.uint32) + np.uint32(1)
+            hashes[0, ends] = name * np.uint32(0x9E3779B1)
+            hashes[1, ends] = before[ends] * np.uint32(0xC2B2AE3D) + name * np.uint32(0x85EBCA77) + np.uint32(0x1234567)
+            before[ends] = name
     return out
 
 
@@ -241,26 +267,25 @@ def encode(ids: np.ndarray, block: int) -> tuple[bytes, list[bytes]]:
     if int(ids.max()) < DENSE:
         counts = np.bincount(ids)
         names = np.flatnonzero(counts)
-        order = names[np.argsort(-counts[names], kind="stable")]
-        number = np.zeros(len(counts), np.uint32)
-        number[order] = np.arange(1, len(order) + 1, dtype=np.uint32)
-        numbers = number[ids]
+        counts, at = counts[names], None
     else:
         names, at, counts = np.unique(ids, return_inverse=True, return_counts=True)
-        by_count = np.argsort(-counts, kind="stable")
-        order = names[by_count]
-        number = np.zeros(len(names), np.uint32)
-        number[by_count] = np.arange(1, len(names) + 1, dtype=np.uint32)
-        numbers = number[at]
-    depth = _depth(len(names))
-    first = _first_predictions(numbers, depth)
-    packed = zlib.compress(first.astype("<u2").tobytes() + order.astype("<u4").tobytes(), 6)
-    lengths = _lengths(n, block)
-    full = np.ones(len(lengths) * block, np.uint32)
+    by_count = np.argsort(-counts, kind="stable")
+    counts = counts[by_count]
+    number = np.zeros(len(names) if at is not None else int(names[-1]) + 1, np.int64)
+    number[by_count if at is not None else names[by_count]] = np.arange(len(names))
+    numbers = number[at if at is not None else ids]
+    tree = _Tree(counts)
+    begins = np.arange(0, n, block)
+    bits = np.add.reduceat(tree.lengths[numbers], begins)
+    packed = zlib.compress(names[by_count].astype("<u4").tobytes() + counts.astype("<u8").tobytes() + bits.astype("<u8").tobytes(), 6)
+    full = np.zeros(len(bits) * block, np.int64)
     full[:n] = numbers
-    coder = _Coder(len(lengths), None, 5 * block + 64)
-    _run(np.ascontiguousarray(full.reshape(len(lengths), block).T), lengths, coder, first, depth)
-    return HEAD.pack(len(names), n, block, len(packed)) + packed, coder.finish()
+    order = np.argsort(-bits, kind="stable")
+    coder = _Coder(len(bits), None, int(bits.max()) * (PRECISION + 1) // 8 + 64)
+    _run(full.reshape(len(bits), block)[order], bits[order], coder, tree, block)
+    coded = coder.finish()
+    return HEAD.pack(len(names), n, block, len(packed)) + packed, [coded[i] for i in np.argsort(order).tolist()]
 
 
 def block_of(header: bytes) -> int:
@@ -268,33 +293,23 @@ def block_of(header: bytes) -> int:
     return HEAD.unpack_from(header)[2]
 
 
-def _depth(names: int) -> int:
-    """Bits for the position of the highest bit of numbers up to names."""
-    return max(1, (names.bit_length() - 1).bit_length())
-
-
-def _lengths(n: int, block: int) -> np.ndarray:
-    lengths = np.full(-(-n // block), block, np.int64)
-    lengths[-1] = n - block * (len(lengths) - 1)
-    return lengths
-
-
 def decode(header: bytes, blocks: list[bytes], only: int | None = None) -> np.ndarray:
     """The ids of encode()'s blocks; of one block, if ``only`` names it: then blocks has that one alone."""
     names, n, block, size = HEAD.unpack_from(header)
     if not n:
         return np.zeros(0, np.uint32)
     raw = zlib.decompress(header[HEAD.size : HEAD.size + size])
-    first, order = np.frombuffer(raw, "<u2", NODES).astype(np.int64), np.frombuffer(raw, "<u4", names, 2 * NODES)
-    lengths = _lengths(n, block)
+    named, counts, bits = np.frombuffer(raw, "<u4", names), np.frombuffer(raw, "<u8", names, 4 * names).astype(np.int64), np.frombuffer(raw, "<u8", -1, 12 * names).astype(np.int64)
+    total = n
     if only is not None:
-        lengths = lengths[only : only + 1]
+        bits, total = bits[only : only + 1], min(block, n - only * block)
     width = max(map(len, blocks)) + 64
+    order = np.argsort(-bits, kind="stable")
     data = np.zeros((len(blocks), width), np.uint8)
-    for i, b in enumerate(blocks):
-        data[i, : len(b)] = np.frombuffer(b, np.uint8)
+    for i, k in enumerate(order.tolist()):
+        data[i, : len(blocks[k])] = np.frombuffer(blocks[k], np.uint8)
     try:
-        numbers = _run(None, lengths, _Coder(len(blocks), data, 0), first, _depth(names))
-        return order[numbers.T.reshape(-1)[: int(lengths.sum())] - 1]
+        numbers = _run(None, bits[order], _Coder(len(blocks), data, 0), _Tree(counts), block)
+        return named[numbers.reshape(len(blocks), block)[np.argsort(order)].ravel()[:total]]
     except IndexError as e:
         raise Damaged("a block does not decode") from e

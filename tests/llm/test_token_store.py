@@ -76,3 +76,24 @@ def test_files_round_trip(spark):
         start += len(ids)
     assert sorted(map(tuple, got), key=lambda r: r[1]) == want
     assert token_store.read(token_store.write(df.limit(0), shared_dir(spark, "ids"), PATH)).count() == 0
+
+
+def test_low_bits_are_predicted():
+    """Ids whose successor is certain cost little, also the rare ones: no bit of an id is coded as it is."""
+    ids = np.random.default_rng(5).permutation(4096)  # all equally frequent: 12 bits each without context
+    cycle = np.concatenate([ids[i * 64 : i * 64 + 64] for i in np.repeat(np.arange(64), 24)])
+    header, coded = id_coder.encode(cycle, 64 * 24)
+    assert (id_coder.decode(header, coded) == cycle).all()
+    assert sum(map(len, coded)) * 8 / len(cycle) < 3
+
+
+def test_long_and_single_paths():
+    fib = [1, 1]
+    while len(fib) < 24:
+        fib.append(fib[-1] + fib[-2])
+    deep = np.random.default_rng(6).permutation(np.repeat(np.arange(24) * 100_000_000, fib))
+    for ids, block in ((deep, 1000), (np.full(7, 9), 3), (np.array([5, 8]), 1)):
+        header, coded = id_coder.encode(ids, block)
+        assert (id_coder.decode(header, coded) == ids).all()
+        last = len(coded) - 1
+        assert (id_coder.decode(header, [coded[last]], only=last) == ids[last * block :]).all()
