@@ -26,8 +26,8 @@ GRAM = 5
 #: Bands and their rows. At a similarity of 0.8, 9997 of 10,000 pairs share a band; at 0.75, 9923. Lines of one language have
 #: similarities of some hundredths, up to 0.2; with seven rows few such pairs are candidates, however many lines there are.
 BANDS, ROWS = 34, 7
-#: Characters that are checked at a time.
-CHECKED = 300_000
+#: Characters that are checked at a time, and shingles that are hashed at a time.
+CHECKED, PIECE = 300_000, 1 << 16
 _rng = np.random.Generator(np.random.PCG64(77))
 _A = (_rng.integers(1, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2)) + np.uint32(1)
 _X = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
@@ -104,11 +104,23 @@ class Lines:
 
     def signatures(self, chosen: np.ndarray) -> np.ndarray:
         """(lines, BANDS) signatures of the chosen lines, of GRAM characters or more."""
-        g = np.append(self.grams(), np.uint32(0))
-        bounds = np.stack([self.starts[chosen], self.ends[chosen] - GRAM + 1], axis=1).ravel()
+        first = self.starts[chosen]
+        sizes = self.ends[chosen] - GRAM + 1 - first
+        ends = np.cumsum(sizes)
+        g, begins = self.grams(), ends - sizes
         least = np.empty((BANDS * ROWS, len(chosen)), dtype=np.uint64)
-        for k in range(BANDS * ROWS):
-            least[k] = np.minimum.reduceat((g ^ _X[k]) * _A[k], bounds)[::2]
+        held = np.empty(max(PIECE, int(sizes.max())), dtype=np.uint32)
+        a = 0
+        while a < len(chosen):  # whole lines, so many that a processor's cache holds their hashes
+            b = max(a + 1, int(np.searchsorted(ends, begins[a] + PIECE, "right")))
+            at = begins[a:b] - begins[a]
+            own = g[np.arange(ends[b - 1] - begins[a]) + np.repeat(first[a:b] - at, sizes[a:b])]
+            hashes = held[: len(own)]
+            for k in range(BANDS * ROWS):
+                np.bitwise_xor(own, _X[k], out=hashes)
+                np.multiply(hashes, _A[k], out=hashes)
+                least[k, a:b] = np.minimum.reduceat(hashes, at)
+            a = b
         out = np.empty((len(chosen), BANDS), dtype=np.uint64)
         for b in range(BANDS):
             h = np.full(len(chosen), b + 1, dtype=np.uint64)

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from clusterloom.llm import line_dedup
 
 
@@ -134,3 +136,19 @@ def test_recall_in_large_families(spark):
         near += 0.75 <= j <= 0.85
     out = line_dedup.summary(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).where("n_removed > 0").count()
     assert near > 900 and 0.9 * want <= out <= want * 1.1, (near, want, out)
+
+
+def test_signatures_by_pieces(monkeypatch):
+    """Lines longer and shorter than a piece, and lines left out, have the smallest hashes of their own shingles."""
+    rng = np.random.default_rng(8)
+    lines = ["".join(rng.choice(list("abcdé "), int(n))) + "x" * 5 for n in rng.integers(0, 300, 60)] + ["y" * 3]
+    data = "\n".join(lines).encode()
+    x = line_dedup.Lines(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    chosen = np.flatnonzero(x.ends - x.starts >= line_dedup.GRAM)[::3]
+    whole = x.signatures(chosen)
+    monkeypatch.setattr(line_dedup, "PIECE", 100)
+    assert (x.signatures(chosen) == whole).all()
+    for row, i in zip(whole, chosen.tolist()):
+        text = x.text(i).encode()
+        alone = line_dedup.Lines(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        assert (alone.signatures(np.array([0])) == row).all()
