@@ -1,11 +1,11 @@
 """An adaptive context-mixing range coder for token ids, in blocks that are coded side by side.
 
-A frame's ids are the leaves of a Huffman tree of their counts, and an id is coded as its path from the root. Each bit of
-a path is predicted by order 0 (the node), order 1 (and the id before) and order 2 (and the two ids before); the three
-predictions are mixed in the logistic domain by weights that learn, and the mix drives a binary arithmetic coder: no bit
-goes without. Every block starts from the same fresh state, which the frame's header holds (the ids and their counts),
-and ends in bytes of its own. All arithmetic is on whole numbers, so every machine decodes alike. One NumPy operation
-handles a step, which is a bit of each block, of all blocks of a frame.
+Each id is coded in one step (or two) from the mix of three predictions. Order 1, the id before, has the frame's counts of
+the pairs that occur LISTED times or more; the rest of its probability goes to order 0, the frame's counts of all ids, which
+a second step then codes. Order 2, the two ids before, is learnt inside a block: a slot holds what came last and how often it
+did, and its weight in the mix is learnt as well, by its share in the probability of what came. Every block starts from the same
+fresh state, which the frame's header holds (the ids, the pairs and their counts), and ends in bytes of its own. All
+arithmetic is on whole numbers, so every machine decodes alike. One NumPy operation handles a step of all blocks of a frame.
 """
 
 from __future__ import annotations
@@ -15,13 +15,15 @@ import zlib
 
 import numpy as np
 
-#: log2 of the slots of each context table of a block; what order 0 learns inside a block, corrections to the predictions of
-#: the frame's counts: a node beyond NODES shares its one with a more frequent node.
-SLOTS, NODES = 12, 1024
-#: The coder's interval has STATE bits; below NARROW it is cut at a boundary, so that bytes get certain. A bit takes PRECISION bits
-#: of it at most, so SPARE of NARROW's can be spent before bytes have to be put out.
-STATE, NARROW = 56, 1 << 38
-PRECISION, SPARE = 12, 36
+#: log2 of the slots of order 2 of a block; pairs of a frame that are listed occur so often.
+SLOTS, LISTED = 12, 3
+#: The coder's interval has STATE bits; below NARROW it is cut at a boundary, so that bytes get certain. Predictions have up to
+#: MOST_BITS bits, and weights WEIGHT more: both fit NARROW.
+STATE, NARROW, LEAST_BITS, MOST_BITS, WEIGHT = 56, 1 << 44, 16, 31, 12
+#: A slot's count is up to CERTAIN; weights of 65,536 by that count at first, and the largest one.
+CERTAIN = 7
+_WEIGHTS = np.array([0, 14000, 24000, 32000, 38000, 42000, 46000, 50000], dtype=np.int32)
+MOST_WEIGHT = 64000
 _LOW = (1 << (STATE - 8)) - 1
 
 
@@ -29,40 +31,12 @@ class Damaged(ValueError):
     """Bytes that don't decode to what was coded."""
 
 
-def _tables() -> tuple[np.ndarray, ...]:
-    """squash: logit * 256 + 2048 -> probability of 4096; stretch: the logit of a 16-bit state (12 bits of probability, 4
-    of count); confidence: 0 to 3 by the state's count; next: a state's successor by the bit, at state + (bit << 16). All
-    are rounded once, here, from exact arithmetic, so they are the same everywhere."""
-    from decimal import Decimal, getcontext
-
-    getcontext().prec = 30
-    base = Decimal(1) / 256
-    squash = np.array([int(Decimal(4096) / (1 + (-(Decimal(i) - 2048) * base).exp()) + Decimal("0.5")) for i in range(4096)], dtype=np.int64)
-    squash = np.clip(squash, 1, 4095)
-    logit = np.clip(np.searchsorted(squash, np.arange(4096)).astype(np.int64) - 2048, -2047, 2047)
-    state = np.arange(1 << 16, dtype=np.int64)
-    p, n = state >> 4, state & 15
-    confidence = np.select([n == 0, n < 3, n < 8], [0, 1, 2], 3).astype(np.int64)
-    rate = np.maximum((5 << 16) // (5 * n + 8), (1 << 16) // 24)
-    after = [np.clip(p + (((bit << 12) - p) * rate >> 16), 1, 4095) << 4 | np.minimum(n + 1, 15) for bit in (0, 1)]
-    return squash, logit, np.where(n > 0, logit[p], 0), confidence, np.concatenate(after).astype(np.uint16)
-
-
-_SQUASH, _LOGIT, _STRETCH, _CONFIDENCE, _NEXT = _tables()
-_SQUASH, _LOGIT, _STRETCH = (t.astype(np.int32) for t in (_SQUASH, _LOGIT, _STRETCH))
-#: Both of a state: its logit above two bits of confidence.
-_KNOWN = (_STRETCH << 2) | _CONFIDENCE.astype(np.int32)
-#: First weights of orders 0, 1 and 2, of 65,536, by the confidence of order 1 and of order 2; no weight gets beyond MOST_WEIGHT.
-_WEIGHTS = np.array([[65536 if a == b == 0 else 19660, 0 if a == 0 else 16384 + 5000 * a, 0 if b == 0 else 19660 + 6553 * b] for a in range(4) for b in range(4)], dtype=np.int32)
-MOST_WEIGHT = 1 << 18
-
-
 class _Coder:
-    """Arithmetic coders of many blocks, one in each lane. data: None to encode, else the lanes' bytes, padded."""
+    """Range coders of many blocks, one in each lane. data: None to encode, else the lanes' bytes, padded."""
 
     def __init__(self, lanes: int, data: np.ndarray | None, most: int):
         self.least, self.most = np.zeros(lanes, np.int64), np.full(lanes, (1 << STATE) - 1)
-        self.at, self.decoding, self.spent = np.zeros(lanes, np.int64), data is not None, 0
+        self.at, self.decoding = np.zeros(lanes, np.int64), data is not None
         if self.decoding:
             self.width, self.flat = data.shape[1], data.ravel()
             self.code = np.zeros(lanes, np.int64)
@@ -72,198 +46,185 @@ class _Coder:
         else:
             self.width, self.flat = most, np.zeros(lanes * most, np.uint8)
 
-    def settle(self, lanes: int, bits: int) -> None:
-        """Puts out (or takes in) the bytes that are certain in the first lanes, unless so many bits can be spent without."""
-        if self.spent + bits <= SPARE:
-            self.spent += bits
-            return
-        self.spent = bits
-        least, most = self.least[:lanes], self.most[:lanes]
+    def settle(self, where: slice | np.ndarray) -> None:
+        """Puts out (or takes in) the bytes that are certain in these lanes."""
+        least, most = self.least[where], self.most[where]
         go = np.flatnonzero(((least ^ most) <= _LOW) | (most - least < NARROW))
+        if not isinstance(where, slice):
+            go = where[go]
         while len(go):
             low, high = self.least[go], self.most[go]
-            narrow = np.flatnonzero(((low ^ high) > _LOW) & (high - low < NARROW))
+            apart = (low ^ high) > _LOW
+            narrow = np.flatnonzero(apart & (high - low < NARROW))
             if len(narrow):  # keep the larger side of the boundary inside
                 x, y = low[narrow], high[narrow]
                 edge = x | (NARROW - 1)
                 left = edge - x >= y - edge
                 low[narrow], high[narrow] = np.where(left, x, edge + 1), np.where(left, np.minimum(edge, y), y)
                 self.least[go], self.most[go] = low, high
-            same = (low ^ high) <= _LOW
-            go, low, high = go[same], low[same], high[same]
-            at = go * self.width + self.at[go]
+                apart = (low ^ high) > _LOW
+            if apart.any():
+                same = ~apart
+                go, low, high = go[same], low[same], high[same]
+            at = self.at[go]
             if self.decoding:
-                self.code[go] = (self.code[go] & _LOW) << 8 | self.flat[at]
+                self.code[go] = (self.code[go] & _LOW) << 8 | self.flat[go * self.width + at]
             else:
-                self.flat[at] = high >> (STATE - 8)
-            self.at[go] += 1
+                self.flat[go * self.width + at] = high >> (STATE - 8)
+            self.at[go] = at + 1
             low, high = (low & _LOW) << 8, (high & _LOW) << 8 | 255
             self.least[go], self.most[go] = low, high
             go = go[((low ^ high) <= _LOW) | (high - low < NARROW)]
 
-    def bit(self, where, p: np.ndarray, bits: np.ndarray | None) -> np.ndarray:
-        """p: the probability of a one, of 4096."""
-        least, most = self.least[where], self.most[where]
-        middle = least + (most - least >> 12) * p
-        if self.decoding:
-            bits = self.code[where] <= middle
-        self.most[where], self.least[where] = np.where(bits, middle, most), np.where(bits, least, middle + 1)
-        return bits
+    def sought(self, where: slice | np.ndarray, bits: int) -> np.ndarray:
+        """Where in a total of 2^bits the code lies."""
+        least = self.least[where]
+        return np.minimum((self.code[where] - least) // (self.most[where] - least >> bits), (1 << bits) - 1)
+
+    def span(self, where: slice | np.ndarray, begin: np.ndarray, size: np.ndarray, bits: int) -> None:
+        """Goes on with that part of a total of 2^bits."""
+        least = self.least[where]
+        unit = self.most[where] - least >> bits
+        least = least + unit * begin
+        self.least[where], self.most[where] = least, least + unit * size - 1
 
     def finish(self) -> list[bytes]:
         """Each lane's bytes; a decoder reads zeros behind them."""
-        self.settle(len(self.least), SPARE + 1)
+        self.settle(slice(0, len(self.least)))
         lanes = np.arange(len(self.least))
         self.flat[lanes * self.width + self.at] = (self.least >> (STATE - 8)) + 1
         rows = self.flat.reshape(len(lanes), self.width)
         return [rows[i, : self.at[i] + 1].tobytes() for i in lanes.tolist()]
 
 
-class _Tree:
-    """The Huffman tree of numbers 0, 1, ... with falling counts. Nodes are numbered by falling weight, the root is 0;
-    kids[2 * node + bit] is a node, or ~number; first is each node's prediction of a one, of 65,536, from the counts; words
-    and lengths are the numbers' paths, the first bit lowest."""
+def _scaled(counts: np.ndarray, begins: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(where they begin, sizes) of the counts of each group, of a total of 2^bits or just below; no size is 0."""
+    lengths = np.diff(np.append(begins, len(counts)))
+    of = np.repeat(np.arange(len(begins)), lengths)
+    ends = np.cumsum(counts)
+    total = np.add.reduceat(counts, begins)
+    before = ends - counts - (ends[begins] - counts[begins])[of]
+    room, place = ((1 << bits) - lengths)[of], np.arange(len(counts)) - begins[of]
+    # Shares in 2^31 parts first: products stay within 63 bits.
+    start = (_share(before, total[of]) * room >> 31) + place
+    end = (_share(before + counts, total[of]) * room >> 31) + place + 1
+    return start, end - start
+
 
-    def __init__(self, counts: np.ndarray):
+def _share(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    return (part << 31) // whole
+
+
+class _Frame:
+    """The predictions of a frame's header: numbers 0, 1, ... with falling counts, and the listed pairs in order. Entries are
+    the listed successors of each number and behind them its rest, which stands for all other ones: symbol -1."""
+
+    def __init__(self, counts: np.ndarray, pairs: np.ndarray, times: np.ndarray):
         n = len(counts)
-        if n == 1:  # a path of no bit would leave nothing to step over
-            self.kids, self.first = np.array([-1, -1], np.int32), np.array([64], np.int32)
-            self.words, self.lengths = np.zeros(1, np.int64), np.ones(1, np.int64)
-            return
-        leaves, made, pairs = counts[::-1].tolist(), [], []
-        i = j = 0
-        for _ in range(n - 1):  # two queues in order of weight: leaves, and nodes as they are made
-            weight, pair = 0, []
-            for _ in (0, 1):
-                if j >= len(made) or i < n and leaves[i] <= made[j]:
-                    weight += leaves[i]
-                    pair.append(i - n)  # ~(n - 1 - i)
-                    i += 1
-                else:
-                    weight += made[j]
-                    pair.append(j)
-                    j += 1
-            made.append(weight)
-            pairs.append(pair)
-        # Nodes were made in order of weight: backwards, each comes before its kids.
-        kids = np.array(pairs[::-1], np.int64)
-        kids = np.where(kids >= 0, n - 2 - kids, kids)
-        weight = np.array(made[::-1], np.int64)
-        ones = np.where(kids[:, 1] >= 0, weight[np.maximum(kids[:, 1], 0)], counts[np.maximum(~kids[:, 1], 0)])
-        self.first = np.clip((2 * ones + 1 << 15) // (weight + 1), 64, 65472).astype(np.int32)
-        self.kids = kids.ravel().astype(np.int32)
-        self.words, self.lengths = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        now, depth = [(0, 0)], 0
-        while now:
-            after = []
-            for node, word in now:
-                for bit in (0, 1):
-                    kid, path = int(kids[node, bit]), word | bit << depth
-                    if kid >= 0:
-                        after.append((kid, path))
-                    else:
-                        self.words[~kid], self.lengths[~kid] = path, depth + 1
-            now, depth = after, depth + 1
-
-
-def _within(q: np.ndarray) -> np.ndarray:
-    """Predictions of 65,536, in place, neither sure to be one nor zero."""
-    np.minimum(q, 65472, out=q)
-    return np.maximum(q, 64, out=q)
-
-
-class _Model:
-    """The predictions of all lanes."""
-
-    def __init__(self, lanes: int, first: np.ndarray):
-        self.first, self.learnt = first, np.zeros(lanes * NODES, np.int32)
-        self.table = np.full(2 * lanes << SLOTS, 1 << 15, np.uint16)  # the lanes' slots of order 1, then those of order 2
-        self.weights = np.tile(_WEIGHTS.T, (1, lanes)).ravel()
-        lane = np.arange(lanes, dtype=np.int64)
-        self.nodes, self.sets = lane * NODES, lane * 16 + np.arange(3)[:, None] * 16 * lanes
-        self.slots = np.stack([lane << SLOTS, lane + lanes << SLOTS])
-
-    def code(self, coder: _Coder, m: int, node: np.ndarray, hashes: np.ndarray, bits: np.ndarray | None) -> np.ndarray:
-        """Codes a bit of the first m lanes: node says which, hashes (2, m) what the contexts are."""
-        at = self.slots[:, :m] + ((hashes + node.astype(np.uint32) * np.uint32(0x27D4EB2F)) * np.uint32(0x165667B1) >> np.uint32(32 - SLOTS))
-        own = self.nodes[:m] + (node & NODES - 1)
-        of_counts, states = self.first.take(node), self.table.take(at)
-        q = _within(of_counts + self.learnt.take(own))
-        known = _KNOWN.take(states)
-        stretched = np.empty((3, m), np.int32)
-        stretched[0] = _LOGIT.take(q >> 4)
-        np.right_shift(known, 2, out=stretched[1:])
-        known &= 3
-        of = self.sets[:, :m] + (known[0] * 4 + known[1])
-        weights = self.weights.take(of)
-        products = weights * stretched
-        total = products[0] + products[1]
-        total += products[2]
-        total >>= 16
-        total += 2048
-        p = _SQUASH.take(total, mode="clip")
-        one = coder.bit(slice(0, m), p, bits).astype(np.int32)
-        stretched *= (one << 12) - p
-        stretched += 512
-        stretched >>= 10
-        weights += stretched
-        np.minimum(weights, MOST_WEIGHT, out=weights)
-        np.maximum(weights, -MOST_WEIGHT, out=weights)
-        self.weights[of] = weights
-        self.table[at] = _NEXT.take(states + (one << 16))
-        self.learnt[own] = _within(q + (one * 65535 - q >> 7)) - of_counts
-        return one
-
-
-def _run(numbers: np.ndarray | None, bits: np.ndarray, coder: _Coder, tree: _Tree, block: int) -> np.ndarray:
-    """Codes (or decodes) all lanes; numbers: (lanes, block). bits: those of each lane, falling."""
-    lanes = len(bits)
-    out = np.zeros(lanes * block, np.int64)
-    model, lane = _Model(lanes, tree.first), np.arange(lanes, dtype=np.int64)
-    node, at = np.zeros(lanes, np.int64), lane * block
-    hashes, before = np.zeros((2, lanes), np.uint32), np.zeros(lanes, np.uint32)
-    hashes[1] = 0x1234567
-    if numbers is not None:
-        numbers = np.append(numbers.ravel(), 0)
-        word = tree.words[numbers[at]]
-    m, last = lanes, 0
-    for t in range(int(bits[0])):
-        if last <= t:  # lanes are in order of falling bits
-            m = int(np.searchsorted(-bits, -t, "left"))
-            last = int(bits[m - 1])
-        coder.settle(m, PRECISION)
-        one = model.code(coder, m, node[:m], hashes[:, :m], (word[:m] & 1).astype(bool) if numbers is not None else None)
-        kid = tree.kids.take(node[:m] * 2 + one)
-        if numbers is not None:
-            word[:m] >>= 1
-        ends = np.flatnonzero(kid < 0)
-        node[:m] = kid
-        if len(ends):
-            node[ends] = 0
-            number = ~kid[ends]
-            here = at[ends]
-            out[here] = number
-            at[ends] = here + 1
+        self.bits = max(LEAST_BITS, n.bit_length() + 2)
+        if self.bits > MOST_BITS:
+            raise ValueError("too many distinct ids in a frame")
+        self.first, self.sizes = _scaled(counts, np.zeros(1, np.int64), self.bits)
+        before = pairs // n
+        rest = np.maximum(1, counts - np.bincount(before, times, n).astype(np.int64))
+        # A number's rest comes behind its pairs.
+        ends = np.searchsorted(before, np.arange(n), "right")
+        place = np.arange(len(pairs)) + before
+        self.rests = ends + np.arange(n)
+        self.symbol, self.owner, weight = np.full(n + len(pairs), -1, np.int64), np.zeros(n + len(pairs), np.int64), np.zeros(n + len(pairs), np.int64)
+        self.symbol[place], self.owner[place], weight[place] = pairs % n, before, times
+        self.owner[self.rests], weight[self.rests] = np.arange(n), rest
+        self.start, self.size = _scaled(weight, np.concatenate([[0], self.rests[:-1] + 1]), self.bits)
+        self.places = self.owner << self.bits | self.start
+        self.pairs, self.place = pairs, place
+
+    def entries(self, keys: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """The entry of each pair (a key) of a number before and its successor."""
+        if not len(self.pairs):
+            return self.rests[before]
+        at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == keys, self.place[at], self.rests[before])
+
+
+def _run(numbers: np.ndarray | None, entries: np.ndarray | None, n: int, block: int, lanes: int, coder: _Coder, frame: _Frame) -> np.ndarray:
+    """Codes (or decodes) the n numbers of all lanes, step by step: (block, lanes), the last lane may be shorter."""
+    steps, bits = min(n, block), frame.bits
+    out = np.zeros((steps, lanes), np.int64)
+    lane = np.arange(lanes, dtype=np.int64)
+    table = np.zeros(lanes << SLOTS, np.int32 if len(frame.symbol) < 1 << 28 else np.int64)
+    weights = np.tile(_WEIGHTS, lanes)
+    slots, sets, before, hashes = lane << SLOTS, lane * (CERTAIN + 1), np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+    full, last = 1 << WEIGHT, n - (lanes - 1) * block
+    for t in range(steps):
+        m = lanes if t < last else lanes - 1
+        own, now = slice(0, m), before[:m]
+        coder.settle(own)
+        at = slots[:m] + hashes[:m]
+        held = table.take(at).astype(np.int64)
+        guess = held >> 3
+        sure = (held & 7) * (frame.owner.take(guess) == now)
+        of = sets[:m] + sure
+        learnt = weights.take(of)
+        weight = (learnt >> 16 - WEIGHT).astype(np.int64)
+        others, extra, size = full - weight, weight << bits, frame.size.take(guess)
+        if entries is not None:
+            e = entries[t, :m]
+        else:
+            v = coder.sought(own, bits + WEIGHT)
+            low = others * frame.start.take(guess)
+            high = low + others * size + extra
+            e = guess.copy()
+            miss = np.flatnonzero((v < low) | (v >= high) | (sure == 0))
+            v = v[miss]
+            v -= extra[miss] * (v >= high[miss])
+            e[miss] = np.searchsorted(frame.places, (now[miss] << bits) + v // others[miss], "right") - 1
+        hit = e == guess
+        hit &= sure > 0
+        begin, width = others * frame.start.take(e), others * frame.size.take(e)
+        begin += extra * (guess < e)
+        width += extra * hit
+        coder.span(own, begin, width, bits + WEIGHT)
+        share = (extra << 16) // (extra + others * size)
+        weights[of] = np.minimum(learnt + ((share * hit - learnt) >> 5), MOST_WEIGHT)
+        keep = hit | (sure > 2)
+        count = np.where(hit, np.minimum(sure + 1, CERTAIN), np.where(keep, sure >> 1, 1))
+        table[at] = np.where(keep, guess, e) << 3 | count
+        x = frame.symbol.take(e)
+        rest = np.flatnonzero(x < 0)
+        if len(rest):
+            coder.settle(rest)
             if numbers is not None:
-                word[ends] = tree.words[numbers[here + 1]]
-            name = number.astype(np.uint32) + np.uint32(1)
-            hashes[0, ends] = name * np.uint32(0x9E3779B1)
-            hashes[1, ends] = before[ends] * np.uint32(0xC2B2AE3D) + name * np.uint32(0x85EBCA77) + np.uint32(0x1234567)
-            before[ends] = name
+                y = numbers[t, rest]
+            else:
+                y = np.searchsorted(frame.first, coder.sought(rest, bits), "right") - 1
+            coder.span(rest, frame.first[y], frame.sizes[y], bits)
+            x[rest] = y
+        out[t, :m] = x
+        hashes[:m] = ((now * 0x9E3779B1 + x * 0x85EBCA77 & 0xFFFFFFFF) * 0x2C1B3C6D & 0xFFFFFFFF) >> 32 - SLOTS
+        before[:m] = x
     return out
 
 
 #: Ids below this are counted in a table, others by sorting.
 DENSE = 1 << 22
-#: Distinct ids, ids, ids of a block, bytes of the packed model.
-HEAD = struct.Struct("<IQII")
+#: Distinct ids, listed pairs, ids, ids of a block, bytes of the packed model.
+HEAD = struct.Struct("<IIQII")
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Unsigned 64-bit numbers, byte by byte of all: they pack better."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unplaned(raw: bytes, n: int, at: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, at).reshape(8, n).T).view("<u8").ravel().astype(np.int64)
 
 
 def encode(ids: np.ndarray, block: int) -> tuple[bytes, list[bytes]]:
     """(header, the bytes of each block of ``block`` ids); the last block may be shorter. Ids are unsigned 32-bit numbers."""
     n = len(ids)
     if not n:
-        return HEAD.pack(0, 0, block, 0), []
+        return HEAD.pack(0, 0, 0, block, 0), []
     if int(ids.max()) < DENSE:
         counts = np.bincount(ids)
         names = np.flatnonzero(counts)
@@ -275,41 +236,51 @@ def encode(ids: np.ndarray, block: int) -> tuple[bytes, list[bytes]]:
     number = np.zeros(len(names) if at is not None else int(names[-1]) + 1, np.int64)
     number[by_count if at is not None else names[by_count]] = np.arange(len(names))
     numbers = number[at if at is not None else ids]
-    tree = _Tree(counts)
-    begins = np.arange(0, n, block)
-    bits = np.add.reduceat(tree.lengths[numbers], begins)
-    packed = zlib.compress(names[by_count].astype("<u4").tobytes() + counts.astype("<u8").tobytes() + bits.astype("<u8").tobytes(), 6)
-    full = np.zeros(len(bits) * block, np.int64)
-    full[:n] = numbers
-    order = np.argsort(-bits, kind="stable")
-    coder = _Coder(len(bits), None, int(bits.max()) * (PRECISION + 1) // 8 + 64)
-    _run(full.reshape(len(bits), block)[order], bits[order], coder, tree, block)
-    coded = coder.finish()
-    return HEAD.pack(len(names), n, block, len(packed)) + packed, [coded[i] for i in np.argsort(order).tolist()]
+    before = np.concatenate([[0], numbers[:-1]])
+    before[::block] = 0
+    keys = before * len(names) + numbers
+    ordered = np.sort(keys)
+    begins = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    times = np.diff(np.append(begins, n))
+    pairs, times = ordered[begins[times >= LISTED]], times[times >= LISTED]
+    del ordered, begins
+    frame = _Frame(counts, pairs, times)
+    entries = frame.entries(keys, before)
+    del keys, before
+    lanes = -(-n // block)
+    steps = min(n, block)
+
+    def side_by_side(values: np.ndarray) -> np.ndarray:
+        return np.ascontiguousarray(np.append(values, np.zeros(lanes * steps - n, values.dtype)).reshape(lanes, steps).T)
+
+    gaps = np.diff(pairs, prepend=0)
+    packed = zlib.compress(names[by_count].astype("<u4").tobytes() + _planes(counts) + _planes(gaps) + _planes(times), 6)
+    cost = (2 * frame.bits + WEIGHT + 8) // 8 + 1
+    coder = _Coder(lanes, None, steps * cost + 64)
+    _run(side_by_side(numbers), side_by_side(entries), n, block, lanes, coder, frame)
+    return HEAD.pack(len(names), len(pairs), n, block, len(packed)) + packed, coder.finish()
 
 
 def block_of(header: bytes) -> int:
     """Ids of a block."""
-    return HEAD.unpack_from(header)[2]
+    return HEAD.unpack_from(header)[3]
 
 
 def decode(header: bytes, blocks: list[bytes], only: int | None = None) -> np.ndarray:
     """The ids of encode()'s blocks; of one block, if ``only`` names it: then blocks has that one alone."""
-    names, n, block, size = HEAD.unpack_from(header)
+    names, listed, n, block, size = HEAD.unpack_from(header)
     if not n:
         return np.zeros(0, np.uint32)
     raw = zlib.decompress(header[HEAD.size : HEAD.size + size])
-    named, counts, bits = np.frombuffer(raw, "<u4", names), np.frombuffer(raw, "<u8", names, 4 * names).astype(np.int64), np.frombuffer(raw, "<u8", -1, 12 * names).astype(np.int64)
-    total = n
-    if only is not None:
-        bits, total = bits[only : only + 1], min(block, n - only * block)
+    named, counts = np.frombuffer(raw, "<u4", names), _unplaned(raw, names, 4 * names)
+    pairs, times = np.cumsum(_unplaned(raw, listed, 12 * names)), _unplaned(raw, listed, 12 * names + 8 * listed)
+    total = n if only is None else min(block, n - only * block)
     width = max(map(len, blocks)) + 64
-    order = np.argsort(-bits, kind="stable")
     data = np.zeros((len(blocks), width), np.uint8)
-    for i, k in enumerate(order.tolist()):
-        data[i, : len(blocks[k])] = np.frombuffer(blocks[k], np.uint8)
+    for i, b in enumerate(blocks):
+        data[i, : len(b)] = np.frombuffer(b, np.uint8)
     try:
-        numbers = _run(None, bits[order], _Coder(len(blocks), data, 0), _Tree(counts), block)
-        return named[numbers.reshape(len(blocks), block)[np.argsort(order)].ravel()[:total]]
+        numbers = _run(None, None, total, block, len(blocks), _Coder(len(blocks), data, 0), _Frame(counts, pairs, times))
+        return named[numbers.T.ravel()[:total]]
     except IndexError as e:
         raise Damaged("a block does not decode") from e

@@ -18,7 +18,7 @@ from clusterloom.llm import id_coder
 from clusterloom.llm.common import pick, shared_dir
 from clusterloom.llm.files import opened, write_files
 
-MAGIC = b"CLI3"
+MAGIC = b"CLI4"
 #: magic, documents, bytes of the document table, of the coder's header and of the block table, bytes of all blocks, crc32 of all that.
 HEAD = struct.Struct("<4sIIIIQI")
 #: Ids of a block and, about, of a frame, whose blocks are coded side by side; pieces a worker remembers.

@@ -97,3 +97,17 @@ def test_long_and_single_paths():
         assert (id_coder.decode(header, coded) == ids).all()
         last = len(coded) - 1
         assert (id_coder.decode(header, [coded[last]], only=last) == ids[last * block :]).all()
+
+
+def test_pairs_of_the_frame_are_known_in_few_steps(monkeypatch):
+    """Blocks too short to learn from know the frame's pairs; an id takes two steps at most, however rare it is."""
+    rng = np.random.default_rng(8)
+    after, ids = rng.integers(0, 2000, (2000, 2)), [0]
+    for side in rng.integers(0, 2, 40_000).tolist():
+        ids.append(int(after[ids[-1], side]))
+    steps, settle = [], id_coder._Coder.settle
+    monkeypatch.setattr(id_coder._Coder, "settle", lambda self, *how: steps.append(1) or settle(self, *how))
+    header, coded = id_coder.encode(np.array(ids), 200)
+    assert len(steps) <= 2 * 200 + 1
+    assert (id_coder.decode(header, coded) == ids).all()
+    assert sum(map(len, coded)) * 8 / len(ids) < 2.5  # 11 bits each without their pairs, 1 at best
