@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -41,6 +42,8 @@ SECOND, SLACK = 3, 1.15
 LEVELS = 8
 #: First-level parts whose signatures, one each, make the first stage.
 HEADS = 8
+#: Up to so many first-level parts, a worker remembers what does not depend on the set.
+FEW_PARTS = 4096
 
 
 def bands(most: int = 1 << 40) -> list[int]:
@@ -64,6 +67,12 @@ def _level(s: np.ndarray, level: int) -> np.ndarray:
     return s if level == 0 else np.sort(mix(s ^ U(level * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)))
 
 
+@lru_cache(maxsize=512)
+def _numbered(parts: int, tag: int) -> np.ndarray:
+    """What the number of each subset adds to its signature, (parts, SECOND): the same for all sets of a band."""
+    return mix(np.arange(parts * SECOND, dtype=np.uint64).reshape(parts, SECOND) | U(tag << 32))
+
+
 def _subsets(v: np.ndarray, mixed: np.ndarray, n1: int, tag: int, first: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(signatures, filled), both (parts, SECOND): of each first-level part (of the first ones only, if given) the subsets
     of SECOND - 1 second-level parts, that is, the part without one of them; filled: whether v has features there. mixed:
@@ -79,9 +88,8 @@ def _subsets(v: np.ndarray, mixed: np.ndarray, n1: int, tag: int, first: int | N
         begin = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         sums[at[begin]], sizes[at[begin]] = np.add.reduceat(mixed[: len(v)], begin), np.diff(np.append(begin, len(v)))
     sums, sizes = sums.reshape(parts, SECOND), sizes.reshape(parts, SECOND)
-    places = np.arange(parts * SECOND, dtype=np.uint64).reshape(parts, SECOND)
     sums = sums.sum(axis=1, dtype=np.uint64, keepdims=True) - sums
-    return mix(sums + mix(places | U(tag << 32))), sizes.sum(axis=1, keepdims=True) > sizes
+    return mix(sums + (_numbered if parts <= FEW_PARTS else _numbered.__wrapped__)(parts, tag)), sizes.sum(axis=1, keepdims=True) > sizes
 
 
 def _small(s: np.ndarray) -> np.ndarray:

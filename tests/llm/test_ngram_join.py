@@ -161,3 +161,16 @@ def test_distinct_rows(spark):
     assert ngram_join.distinct(df).columns == df.columns and ngram_join.distinct(df.limit(0)).count() == 0
     same = spark.createDataFrame([(i, f"{a} {i}", "x") for i in range(5)] + [(i, f"{a} {i}", "x") for i in range(5)], "doc_id long, text string, k string")
     assert [r["doc_id"] for r in ngram_join.distinct(same).collect()] == [0]
+
+
+def test_signing_does_no_work_twice(monkeypatch):
+    """Numbers of subsets are mixed for the first set of a band only: for a later one its features and its signatures are."""
+    rng, mixed, mix = np.random.default_rng(14), [], ngram_join.mix
+    first, second = (np.unique(rng.integers(0, 1 << 63, 600, dtype=np.uint64) * np.uint64(2)) for _ in range(2))
+    ngram_join.signed(first)
+    monkeypatch.setattr(ngram_join, "mix", lambda x: mixed.append(x.size) or mix(x))
+    signed = ngram_join.signed(second)
+    parts = sum(n1 * ngram_join.SECOND for _, n1, _ in ngram_join._keys(len(second)))
+    assert len(signed) == 2 and sum(mixed) <= len(second) + parts
+    for values in ([], [5], [7, 7], [9, 1, 9, 3, 1]):
+        assert (hashing.sorted_set(np.array(values, np.uint64)) == np.unique(np.array(values, np.uint64))).all()
