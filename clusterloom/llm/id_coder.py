@@ -25,6 +25,8 @@ CERTAIN = 7
 _WEIGHTS = np.array([0, 14000, 24000, 32000, 38000, 42000, 46000, 50000], dtype=np.int32)
 MOST_WEIGHT = 64000
 _LOW = (1 << (STATE - 8)) - 1
+#: Decoders look numbers up in a table where order 0 has up to 2^TABLE places.
+TABLE = 22
 
 
 class Damaged(ValueError):
@@ -136,14 +138,39 @@ class _Frame:
         self.owner[self.rests], weight[self.rests] = np.arange(n), rest
         self.start, self.size = _scaled(weight, np.concatenate([[0], self.rests[:-1] + 1]), self.bits)
         self.places = self.owner << self.bits | self.start
-        self.pairs, self.place = pairs, place
-
-    def entries(self, keys: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """The entry of each pair (a key) of a number before and its successor."""
-        if not len(self.pairs):
-            return self.rests[before]
-        at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
-        return np.where(self.pairs[at] == keys, self.place[at], self.rests[before])
+        self.place = place
+
+    def index(self) -> None:
+        """Tables for decoding: the number that each place of order 0 has, and for each number four or more equal parts of its total
+        an entry, with the last entry that begins no later than each part."""
+        self.numbers = None
+        if self.bits <= TABLE:
+            self.numbers = np.repeat(np.arange(len(self.first), dtype=np.int32), self.sizes)
+            self.numbers = np.append(self.numbers, np.full((1 << self.bits) - len(self.numbers), len(self.first) - 1, np.int32))
+        own = np.diff(self.rests, prepend=-1)
+        self.shift = np.maximum(0, self.bits - 2 - np.frexp(own)[1])
+        parts = 1 << self.bits - self.shift
+        self.base = np.cumsum(parts) - parts
+        self.parts = np.zeros(int(parts.sum()) + 1, np.int64)
+        shift = self.shift[self.owner]
+        # Entries are in order: of those in one place the last one counts.
+        self.parts[self.base[self.owner] + (self.start + (1 << shift) - 1 >> shift)] = np.arange(len(self.owner))
+        np.maximum.accumulate(self.parts, out=self.parts)
+        self.ends = np.append(self.places[1:], np.int64(1) << 62)
+
+    def entry_at(self, now: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """The entry of each number that holds that place of its total."""
+        e = self.parts.take(self.base.take(now) + (v >> self.shift.take(now)))
+        v = (now << self.bits) + v
+        e += self.ends.take(e) <= v
+        more = np.flatnonzero(self.ends.take(e) <= v)
+        if len(more):
+            e[more] = np.searchsorted(self.places, v[more], "right") - 1
+        return e
+
+    def number_at(self, v: np.ndarray) -> np.ndarray:
+        """The number that holds that place of order 0."""
+        return np.searchsorted(self.first, v, "right") - 1 if self.numbers is None else self.numbers.take(v)
 
 
 def _run(numbers: np.ndarray | None, entries: np.ndarray | None, n: int, block: int, lanes: int, coder: _Coder, frame: _Frame) -> np.ndarray:
@@ -177,7 +204,7 @@ def _run(numbers: np.ndarray | None, entries: np.ndarray | None, n: int, block:
             miss = np.flatnonzero((v < low) | (v >= high) | (sure == 0))
             v = v[miss]
             v -= extra[miss] * (v >= high[miss])
-            e[miss] = np.searchsorted(frame.places, (now[miss] << bits) + v // others[miss], "right") - 1
+            e[miss] = frame.entry_at(now[miss], v // others[miss])
         hit = e == guess
         hit &= sure > 0
         begin, width = others * frame.start.take(e), others * frame.size.take(e)
@@ -196,7 +223,7 @@ def _run(numbers: np.ndarray | None, entries: np.ndarray | None, n: int, block:
             if numbers is not None:
                 y = numbers[t, rest]
             else:
-                y = np.searchsorted(frame.first, coder.sought(rest, bits), "right") - 1
+                y = frame.number_at(coder.sought(rest, bits))
             coder.span(rest, frame.first[y], frame.sizes[y], bits)
             x[rest] = y
         out[t, :m] = x
@@ -239,14 +266,28 @@ def encode(ids: np.ndarray, block: int) -> tuple[bytes, list[bytes]]:
     before = np.concatenate([[0], numbers[:-1]])
     before[::block] = 0
     keys = before * len(names) + numbers
-    ordered = np.sort(keys)
+    # Pairs are sorted with their places where both fit a number, so that each place gets its entry without a search.
+    bits = n.bit_length()
+    if (len(names) ** 2).bit_length() + bits < 64:
+        keys = keys << bits | np.arange(n)
+        keys.sort()
+        order, ordered = keys & (1 << bits) - 1, keys >> bits
+    else:
+        order = np.argsort(keys, kind="stable")
+        ordered = keys[order]
+    del keys, before
     begins = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    times = np.diff(np.append(begins, n))
-    pairs, times = ordered[begins[times >= LISTED]], times[times >= LISTED]
+    times, each = np.diff(np.append(begins, n)), ordered[begins]
     del ordered, begins
-    frame = _Frame(counts, pairs, times)
-    entries = frame.entries(keys, before)
-    del keys, before
+    listed = np.flatnonzero(times >= LISTED)
+    pairs = each[listed]
+    frame = _Frame(counts, pairs, times[listed])
+    at_each = frame.rests[each // len(names)]
+    at_each[listed] = frame.place
+    entries = np.empty(n, np.int64)
+    entries[order] = np.repeat(at_each, times)
+    times = times[listed]
+    del order, each, at_each
     lanes = -(-n // block)
     steps = min(n, block)
 
@@ -280,7 +321,9 @@ def decode(header: bytes, blocks: list[bytes], only: int | None = None) -> np.nd
     for i, b in enumerate(blocks):
         data[i, : len(b)] = np.frombuffer(b, np.uint8)
     try:
-        numbers = _run(None, None, total, block, len(blocks), _Coder(len(blocks), data, 0), _Frame(counts, pairs, times))
+        frame = _Frame(counts, pairs, times)
+        frame.index()
+        numbers = _run(None, None, total, block, len(blocks), _Coder(len(blocks), data, 0), frame)
         return named[numbers.T.ravel()[:total]]
     except IndexError as e:
         raise Damaged("a block does not decode") from e

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -18,11 +20,24 @@ from clusterloom.llm import id_coder
 from clusterloom.llm.common import pick, shared_dir
 from clusterloom.llm.files import opened, write_files
 
+#: A word of letters, which are such in every version of Unicode, and marks, without the apostrophe: patterns part both.
+MARKED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=?@\[-`{-~]*)")
 MAGIC = b"CLI4"
 #: magic, documents, bytes of the document table, of the coder's header and of the block table, bytes of all blocks, crc32 of all that.
 HEAD = struct.Struct("<4sIIIIQI")
 #: Ids of a block and, about, of a frame, whose blocks are coded side by side; pieces a worker remembers.
-BLOCK, FRAME, MEMO = 1536, 3_000_000, 200_000
+BLOCK, FRAME, MEMO = 1536, 3_000_000, 700_000
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter by which byte-level models name each byte; a line break stays, it parts lines."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden) if b != 10}
+
+
+BYTES = _byte_letters()
+SPACE = BYTES[32]
 
 
 class Encoder:
@@ -33,9 +48,7 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        import json
         import os
-        import re
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
@@ -52,25 +65,66 @@ class Encoder:
         self.special = re.compile("|".join(re.escape(t["content"]) for t in config.get("added_tokens", [])) or r"(?!)")
         line = self.tokenizer.encode("a\nb", add_special_tokens=False).ids
         self.line = line[1] if len(line) == 3 else -1
+        self.line_bytes = np.array([self.line & 0xFFFFFFFF], dtype="<u4").tobytes()
         self.apart = self.apart and self.line >= 0
+        self.words = self._word_model(config, Tokenizer) if self.apart else None
         self.first: dict[str, bytes | None] = {}
         self.later: dict[str, bytes | None] = {}
 
+    def _word_model(self, config: dict, tokenizer):
+        """The model alone, for lines that are words of letters with a space before: a pattern would keep each whole, and only
+        their first tokens begin with the space. None if the model is no plain BPE."""
+        model = config["model"]
+        if model.get("type") != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback")):
+            return None
+        lean = tokenizer.from_str(json.dumps(config | {"pre_tokenizer": {"type": "CharDelimiterSplit", "delimiter": "\n"}, "added_tokens": [], "truncation": None, "padding": None}))
+        vocab = lean.get_vocab()
+        self.begins = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.begins[[i for token, i in vocab.items() if token.startswith(SPACE)]] = True
+        return lean if SPACE in vocab else None
+
+    def _learn_words(self, memo: dict, words: list[str]) -> None:
+        """The pieces that are letters only and have a space before."""
+        for i in range(0, len(words), 4096):
+            part = words[i : i + 4096]
+            text = "\n".join(SPACE + p for p in "\n".join(part).encode().decode("latin-1").translate(BYTES).split("\n"))
+            ids = np.array(self.words.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+            data, cuts = ids.tobytes(), (np.flatnonzero(self.begins[ids]) * 4).tolist()
+            if len(cuts) != len(part):
+                raise ValueError("a word has not one token that begins with its space")
+            memo.update((p, data[a:b]) for p, a, b in zip(part, cuts, [*cuts[1:], len(data)]))
+
     def _learn(self, memo: dict, pieces: set[str], prefix: str) -> None:
         """Encodes the pieces not met before, many in one text of lines: a line break between two characters that are no
-        white space is a token of its own. Pieces with white space at an end or a line break inside go one by one."""
-        new = [p for p in pieces if p not in memo]
+        white space is a token of its own. Words and the marks behind them are encoded apart. Pieces with white space at an end
+        or a line break inside go one by one."""
+        new = pieces - memo.keys()
         if len(memo) + len(new) > MEMO:
             memo.clear()
-            new = list(pieces)
-        good, alone = [], []
+            new = pieces
+        good, alone, words, marked, lines = [], [], [], [], []
         for p in new:
-            if not p or p[0].isspace() or p[-1].isspace():
+            if prefix and self.words and (m := MARKED.fullmatch(p)) and not self.special.search(p):
+                if m[2]:
+                    marked.append((p, *m.groups()))
+                else:
+                    words.append(p)
+            elif prefix and p[:1] == "\n":
+                lines.append(p)
+            elif not p or p[0].isspace() or p[-1].isspace():
                 memo[p] = None  # the text has white space that pieces can't show
             elif "\n" in p or "\r" in p or self.special.search(p):
                 alone.append(p)
             else:
                 good.append(p)
+        if lines or marked:
+            self._learn(self.first, {p[1:] for p in lines} | {mark for _, _, mark in marked}, "")
+        if words or marked:
+            self._learn_words(memo, list({w for _, w, _ in marked if w not in memo}.union(words)))
+        memo.update((p, memo[w] + self.first[mark]) for p, w, mark in marked)
+        for p in lines:
+            rest = self.first[p[1:]] if len(p) > 1 else b""
+            memo[p] = None if rest is None else self.line_bytes + rest
         for p, e in zip(alone, self.tokenizer.encode_batch_fast([prefix + p for p in alone], add_special_tokens=False)):
             memo[p] = np.array(e.ids, dtype="<u4").tobytes()
         for i in range(0, len(good), 4096):
@@ -90,12 +144,18 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.apart:
             return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        split = [t.split(" ") for t in texts]
-        self._learn(self.first, {s[0] for s in split}, "")
+        # A line break begins a piece. Behind a character that is no white space one or two are a token each, unless a
+        # space, a special string or nothing follows two: those texts go to the library whole.
+        split = []
+        for t in texts:
+            p = t.replace("\n", " \n")
+            whole = "\n \n" in p and ("\n \n " in p or p.endswith("\n \n") or self.special.search(t))
+            split.append(["", ""] if whole else p.split(" "))
         later: set[str] = set()
         for s in split:
             later.update(s[1:])
         self._learn(self.later, later, " ")
+        self._learn(self.first, {s[0] for s in split}, "")
         out = []
         for t, s in zip(texts, split):
             parts = [self.first[s[0]], *map(self.later.__getitem__, s[1:])]
@@ -105,6 +165,17 @@ class Encoder:
         return out
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """This worker's encoder: what it has learnt in a task serves the next."""
+    if path not in _encoders:
+        _encoders.clear()
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def frame(docs: list[tuple[int | None, bytes]], block: int = BLOCK) -> bytes:
     """One frame: header, document table, the coder's header, block table, blocks. docs: (id, ids as bytes) in order."""
     ids = np.frombuffer(b"".join(b for _, b in docs), dtype="<u4")
@@ -160,7 +231,7 @@ def write(docs: DataFrame, folder: str, path: str, doc_id: str = "doc_id", text:
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def put(writer, batch, state):
-        encoder = state.get("encoder") or state.setdefault("encoder", Encoder(path))
+        encoder = encoder_of(path)
         held = state.setdefault("held", [])
         ids, texts = batch.column(0).to_pylist(), batch.column(1)
         for i in range(0, len(ids), 256):

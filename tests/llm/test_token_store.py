@@ -111,3 +111,33 @@ def test_pairs_of_the_frame_are_known_in_few_steps(monkeypatch):
     assert len(steps) <= 2 * 200 + 1
     assert (id_coder.decode(header, coded) == ids).all()
     assert sum(map(len, coded)) * 8 / len(ids) < 2.5  # 11 bits each without their pairs, 1 at best
+
+
+def test_known_words_need_no_library():
+    """Words, marks behind them and words behind line breaks that were met before aren't encoded again; a decoder's tables give what a search gives."""
+    e, lib = token_store.Encoder(PATH), Tokenizer.from_file(PATH)
+    e.encode(["alpha beta gamma.", "gamma gamma"])
+
+    class Closed:
+        def encode_batch_fast(self, texts, **how):
+            assert not texts
+            return []
+
+    e.tokenizer = e.words = Closed()
+    new = "alpha beta.\ngamma beta\n\ngamma gamma."
+    assert np.frombuffer(e.encode([new])[0], "<u4").tolist() == lib.encode(new, add_special_tokens=False).ids
+    assert token_store.encoder_of(PATH) is token_store.encoder_of(PATH)
+    hostile = ["a\n\n<|endoftext|>b", "a\n\n b", "a\n b", "a\n\n", "a\n", "a \nb", "a\n\n\nb", "\na b", "a's.'s b.", "x\r\ny z"]
+    got = token_store.Encoder(PATH).encode(hostile)
+    assert [np.frombuffer(b, "<u4").tolist() for b in got] == [lib.encode(t, add_special_tokens=False).ids for t in hostile]
+
+
+def test_tables_find_what_a_search_finds():
+    rng = np.random.default_rng(4)
+    counts = np.sort(rng.zipf(1.3, 3000).clip(1, 10**6))[::-1]
+    pairs = np.unique(rng.integers(0, 200, 5000) * 3000 + rng.integers(0, 3000, 5000))
+    f = id_coder._Frame(counts, pairs, rng.zipf(1.5, len(pairs)).clip(1, 10**6))
+    f.index()
+    now, v = rng.integers(0, 3000, 100_000) // rng.integers(1, 50, 100_000), rng.integers(0, 1 << f.bits, 100_000)
+    assert (f.entry_at(now, v) == np.searchsorted(f.places, (now << f.bits) + v, "right") - 1).all()
+    assert (f.number_at(v) == np.searchsorted(f.first, v, "right") - 1).all()
