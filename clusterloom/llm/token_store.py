@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 from itertools import accumulate
@@ -19,9 +20,8 @@ from pyspark.sql.window import Window
 from clusterloom.llm import id_coder
 from clusterloom.llm.common import pick, shared_dir
 from clusterloom.llm.files import opened, write_files
+from clusterloom.llm.token_counts import BYTES, MARKED
 
-#: A word of letters, which are such in every version of Unicode, and marks, without the apostrophe: patterns part both.
-MARKED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=?@\[-`{-~]*)")
 MAGIC = b"CLI4"
 #: magic, documents, bytes of the document table, of the coder's header and of the block table, bytes of all blocks, crc32 of all that.
 HEAD = struct.Struct("<4sIIIIQI")
@@ -29,14 +29,6 @@ HEAD = struct.Struct("<4sIIIIQI")
 BLOCK, FRAME, MEMO = 1536, 3_000_000, 700_000
 
 
-def _byte_letters() -> dict[int, str]:
-    """The letter by which byte-level models name each byte; a line break stays, it parts lines."""
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    hidden = [b for b in range(256) if b not in set(shown)]
-    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden) if b != 10}
-
-
-BYTES = _byte_letters()
 SPACE = BYTES[32]
 
 
@@ -165,15 +157,15 @@ class Encoder:
         return out
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple, Encoder] = {}
 
 
-def encoder_of(path: str) -> Encoder:
-    """This worker's encoder: what it has learnt in a task serves the next."""
-    if path not in _encoders:
+def encoder_of(run: str, path: str) -> Encoder:
+    """This worker's encoder in a run of the operator: what it has learnt in a task serves the run's next one."""
+    if (run, path) not in _encoders:
         _encoders.clear()
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+        _encoders[run, path] = Encoder(path)
+    return _encoders[run, path]
 
 
 def frame(docs: list[tuple[int | None, bytes]], block: int = BLOCK) -> bytes:
@@ -228,10 +220,10 @@ def write(docs: DataFrame, folder: str, path: str, doc_id: str = "doc_id", text:
     size, n, cuts: where frames start, counts: their ids). Files follow each other by part. Null texts are empty, null ids
     come first, repeated ids in order of text; other columns aren't read; an empty table gives an empty manifest. A text of
     any length is encoded whole and lies in one frame, so it has to fit a worker. The files are written when this is called."""
-    end = np.array([end_id], dtype="<u4").tobytes()
+    end, name = np.array([end_id], dtype="<u4").tobytes(), uuid.uuid4().hex
 
     def put(writer, batch, state):
-        encoder = encoder_of(path)
+        encoder = encoder_of(name, path)
         held = state.setdefault("held", [])
         ids, texts = batch.column(0).to_pylist(), batch.column(1)
         for i in range(0, len(ids), 256):

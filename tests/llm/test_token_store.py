@@ -126,7 +126,8 @@ def test_known_words_need_no_library():
     e.tokenizer = e.words = Closed()
     new = "alpha beta.\ngamma beta\n\ngamma gamma."
     assert np.frombuffer(e.encode([new])[0], "<u4").tolist() == lib.encode(new, add_special_tokens=False).ids
-    assert token_store.encoder_of(PATH) is token_store.encoder_of(PATH)
+    known = token_store.encoder_of("run", PATH)
+    assert token_store.encoder_of("run", PATH) is known and token_store.encoder_of("other run", PATH) is not known
     hostile = ["a\n\n<|endoftext|>b", "a\n\n b", "a\n b", "a\n\n", "a\n", "a \nb", "a\n\n\nb", "\na b", "a's.'s b.", "x\r\ny z"]
     got = token_store.Encoder(PATH).encode(hostile)
     assert [np.frombuffer(b, "<u4").tolist() for b in got] == [lib.encode(t, add_special_tokens=False).ids for t in hostile]
