@@ -55,7 +55,7 @@ class Packer:
             kept.sort()
             sig, of = sig[kept], of[kept]
         part = part_of(sig, self.parts)
-        order = np.argsort(part, kind="stable")  # inside a part, by id as before
+        order = np.argsort(part.astype(np.uint16) if self.parts < 1 << 16 else part, kind="stable")  # inside a part, by id as before
         sig, of, part = sig[order], of[order], part[order]
         cut = np.searchsorted(part, np.arange(self.parts + 1))
         rows = []

@@ -32,9 +32,12 @@ BANDS, ROWS = 34, 7
 PARTS = 4 * BANDS
 #: Characters that are checked at a time, and shingles that are hashed at a time.
 CHECKED, PIECE = 300_000, 1 << 16
+#: Hash functions: the least and the largest hash of each are a row (min-max hash, of no more variance than a function for each row).
+HASHES = BANDS * ROWS // 2
 _rng = np.random.Generator(np.random.PCG64(77))
-_A = _rng.integers(1, 1 << 15, BANDS * ROWS, dtype=np.uint16) * np.uint16(2) + np.uint16(1)
-_X = _rng.integers(0, 1 << 16, BANDS * ROWS, dtype=np.uint16)
+_A = _rng.integers(1, 1 << 15, HASHES, dtype=np.uint16) * np.uint16(2) + np.uint16(1)
+_X = _rng.integers(0, 1 << 16, HASHES, dtype=np.uint16)
+_SHORT_PLACES = _rng.integers(1, 1 << 31, GRAM, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 #: Lines of so many distinct shingles (by 16-bit hashes) are hashed once, not once a row. Those of fewer have 16-bit hashes, which add n / 131,072
 #: to the similarity of two lines of n shingles: less than 0.008.
 MANY = 1024
@@ -52,6 +55,21 @@ def _banded(least: np.ndarray, seed: int) -> np.ndarray:
     return out
 
 
+def _banded_short(rows: np.ndarray) -> np.ndarray:
+    """(lines, BANDS): a hash of the rows of each band; rows: (rows, lines) of 16 bits, four to a number."""
+    out = np.empty((rows.shape[1], BANDS), dtype=np.uint64)
+    for b in range(BANDS):
+        own, h = rows[b * ROWS : (b + 1) * ROWS], np.full(len(out), b + 1, dtype=np.uint64)
+        for at in range(0, ROWS, 4):
+            packed = own[at].astype(np.uint64)
+            for r in own[at + 1 : at + 4]:
+                packed <<= U(16)
+                packed |= r
+            h = mix(h * _PLACES[at] + packed)
+        out[:, b] = h
+    return out
+
+
 def gram_hashes(chars: np.ndarray) -> np.ndarray:
     """64-bit hashes of the GRAM characters from each place on."""
     n = max(0, len(chars) - GRAM + 1)
@@ -94,12 +112,12 @@ class Lines:
     """The lines of a run of texts: their keys (hashes of the whole line, A-Z in lower case), texts and numbers."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        chars = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), dtype=np.uint32)
+        chars = np.frombuffer(data.tobytes().lower().decode("utf-8", "replace").encode("utf-32-le"), dtype=np.uint32)  # A-Z alone are lowered
         inner = np.flatnonzero((data & 0xC0) == 0x80)  # bytes that don't begin a character
         at = offsets - np.searchsorted(inner, offsets)
         if at[-1] != len(chars):
             raise ValueError("a text is not UTF-8")
-        self.chars = np.where(chars - np.uint32(65) < 26, chars + np.uint32(32), chars)
+        self.chars = chars
         newline = np.flatnonzero(chars == 10)
         # A line starts with each text and behind each newline.
         starts = np.concatenate([at[:-1], newline + 1])
@@ -127,35 +145,44 @@ class Lines:
     def _blank(chars: np.ndarray) -> np.ndarray:
         return (chars == 32) | (chars - np.uint32(9) < 5)
 
-    @cached_property
-    def grams(self) -> np.ndarray:
-        return gram_hashes(self.chars)
-
     @cached_property
     def short(self) -> np.ndarray:
         """16-bit hashes of the GRAM characters from each place on."""
-        return (self.grams >> U(48)).astype(np.uint16)
+        n = max(0, len(self.chars) - GRAM + 1)
+        out = np.empty(n, dtype=np.uint16)
+        for at in range(0, n, PIECE):
+            c = self.chars[at : at + PIECE + GRAM - 1]
+            m = min(PIECE, n - at)
+            h = c[:m] * _SHORT_PLACES[0]
+            for k in range(1, GRAM):
+                h += c[k : k + m] * _SHORT_PLACES[k]
+            h ^= h >> np.uint32(15)
+            h *= np.uint32(0x2C1B3C6D)
+            out[at : at + m] = h >> np.uint32(16)
+        return out
 
     def signatures(self, chosen: np.ndarray) -> np.ndarray:
-        """(lines, BANDS) signatures of the chosen lines, of GRAM characters or more: a hash function for each row."""
+        """(lines, BANDS) signatures of the chosen lines, of GRAM characters or more: a hash function for each two rows, which are in
+        different bands."""
         first = self.starts[chosen]
         sizes = self.ends[chosen] - GRAM + 1 - first
         ends = np.cumsum(sizes)
-        g, begins = self.short, ends - sizes
-        least = np.empty((BANDS * ROWS, len(chosen)), dtype=np.uint64)
+        g, begins, last = self.short, ends - sizes, first + sizes
+        rows = np.empty((2 * HASHES, len(chosen)), dtype=np.uint16)
         held = np.empty(max(PIECE, int(sizes.max())), dtype=np.uint16)
         a = 0
         while a < len(chosen):  # whole lines, so many that a processor's cache holds their hashes
             b = max(a + 1, int(np.searchsorted(ends, begins[a] + PIECE, "right")))
             at = begins[a:b] - begins[a]
-            own = g[np.arange(ends[b - 1] - begins[a]) + np.repeat(first[a:b] - at, sizes[a:b])]
+            own = np.concatenate([g[i:j] for i, j in zip(first[a:b].tolist(), last[a:b].tolist())])
             hashes = held[: len(own)]
-            for k in range(BANDS * ROWS):
+            for k in range(HASHES):
                 np.bitwise_xor(own, _X[k], out=hashes)
                 np.multiply(hashes, _A[k], out=hashes)
-                least[k, a:b] = np.minimum.reduceat(hashes, at)
+                np.minimum.reduceat(hashes, at, out=rows[k, a:b])
+                np.maximum.reduceat(hashes, at, out=rows[HASHES + k, a:b])
             a = b
-        return _banded(least, 0)
+        return _banded_short(rows)
 
     def signatures_at_once(self, chosen: np.ndarray) -> np.ndarray:
         """(lines, BANDS) signatures of lines of many shingles: one hash function deals a line's shingles over all rows, and
@@ -164,7 +191,7 @@ class Lines:
         rows = BANDS * ROWS
         least = np.full((len(chosen), rows), _NONE, dtype=np.uint64)
         for own, i in zip(least, chosen.tolist()):
-            h = mix(self.grams[self.starts[i] : self.ends[i] - GRAM + 1])
+            h = mix(gram_hashes(self.chars[self.starts[i] : self.ends[i]]))
             np.minimum.at(own, ((h >> U(32)) * U(rows) >> U(32)).astype(np.int64), h & U(0xFFFFFFFF))
         out, (line, row) = least.copy(), np.nonzero(least == _NONE)
         step = U(0)

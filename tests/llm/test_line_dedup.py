@@ -176,3 +176,26 @@ def test_lines_of_many_shingles_are_hashed_once(monkeypatch):
     near = [k for k in range(0, len(rows), 2) if (c := len(line_dedup.gram_set(rows[k]) & line_dedup.gram_set(rows[k + 1]))) >= 0.77 * (sizes[k] + sizes[k + 1] - c)]
     assert len(near) > pairs / 2 and sum(bool(found[k] & found[k + 1]) for k in near) >= 0.97 * len(near)
     assert not any(found[k] & found[k + 2] for k in range(0, len(rows) - 2, 2))
+
+
+def test_two_rows_a_hash_and_only_long_lines_hashed_whole(monkeypatch):
+    """Each hash function serves two rows, and bands are alike as often as the formula says; 64-bit hashes are made of long lines alone."""
+    rng = random.Random(5)
+    assert 2 * len(line_dedup._A) == line_dedup.BANDS * line_dedup.ROWS
+    lines, want = [], []
+    for _ in range(600):
+        a = [rng.choice("abcdefgh") for _ in range(120)]
+        b = [*a]
+        for i in rng.sample(range(120), 3):
+            b[i] = "z"
+        x, y = (line_dedup.gram_set("".join(t)) for t in (a, b))
+        want.append((len(x & y) / len(x | y)) ** line_dedup.ROWS)
+        lines += ["".join(a), "".join(b)]
+    long, hashed, grams = "".join(rng.choice("abcdefghijklmnop") for _ in range(3000)), [], line_dedup.gram_hashes
+    monkeypatch.setattr(line_dedup, "gram_hashes", lambda chars: hashed.append(len(chars)) or grams(chars))
+    data = np.frombuffer("\n".join([*lines, long]).encode(), dtype=np.uint8)
+    found = line_dedup.Lines(data, np.array([0, len(data)]))
+    (few, signatures), (many, _) = found.signed(np.arange(len(found.keys)), 0.75)
+    assert len(few) == len(lines) and many.tolist() == [len(lines)] and hashed == [3000]
+    alike = (signatures[::2] == signatures[1::2]).mean()
+    assert abs(alike - np.mean(want)) < 0.02
