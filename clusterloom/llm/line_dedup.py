@@ -91,8 +91,10 @@ def _row_grams(texts: list[str]) -> np.ndarray:
     ends = np.flatnonzero(chars == 10)
     row = np.repeat(np.arange(len(texts), dtype=np.uint64), np.diff(np.concatenate([[-1], ends])))
     h = gram_hashes(chars)
-    inside = row[: len(h)] == row[len(chars) - len(h) :]
-    inside &= np.arange(len(h)) + GRAM - 1 < ends[row[: len(h)].astype(np.int64)]
+    inside = np.ones(len(h), dtype=bool)
+    for k in range(GRAM):  # no shingle holds a line's end
+        at = ends - k
+        inside[at[(at >= 0) & (at < len(h))]] = False
     keys = (row[: len(h)] << U(44) | h >> U(20))[inside]
     keys.sort()
     return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
