@@ -5,9 +5,10 @@ import numpy as np
 import public_tokenizers
 import pyarrow.dataset as ds
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from clusterloom.llm import id_coder, token_store
+from clusterloom.llm import id_coder, jvm, token_store
 from clusterloom.llm.common import shared_dir
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -142,3 +143,56 @@ def test_tables_find_what_a_search_finds():
     now, v = rng.integers(0, 3000, 100_000) // rng.integers(1, 50, 100_000), rng.integers(0, 1 << f.bits, 100_000)
     assert (f.entry_at(now, v) == np.searchsorted(f.places, (now << f.bits) + v, "right") - 1).all()
     assert (f.number_at(v) == np.searchsorted(f.first, v, "right") - 1).all()
+
+
+def test_java_and_numpy_code_alike(spark, tmp_path):
+    """Files of Spark's own tasks are what the NumPy coder writes and reads, for any ids; damage is found."""
+    call = jvm.functions(spark, token_store.SOURCES, **token_store.RETURNED)
+    rng = np.random.default_rng(3)
+    zipf = np.minimum(rng.zipf(1.3, 5000), 60000)
+    cases = ((rng.integers(0, 65536, 2000), 77), (rng.integers(0, 1 << 32, 3000), 500), (np.zeros(500, int), 1000), (np.array([(1 << 32) - 1]), 1), (np.zeros(0, int), 5), (zipf, 900))
+    for k, (ids, block) in enumerate(cases):
+        b = ids.astype("<u4").tobytes()
+        half = len(b) // 8 * 4
+        docs = [(1, b[:half]), (None, b""), (-5, b[half:])]
+        row = spark.createDataFrame([(bytearray(token_store.table_of(docs)), bytearray(b))], "entries binary, ids binary")
+        at = row.select(F.call_udf(call["WriteFrame"], F.lit(f"file://{tmp_path}/{k}"), F.lit(3), "entries", "ids", F.lit(block), F.lit(None).cast("binary")).alias("at")).first()["at"]
+        with token_store.opened(at["path"]) as f:
+            names, counts, got, end = token_store.read_frame(f, at["cut"])
+        assert (names, counts.tolist(), got.tolist(), end) == ([1, None, -5], [half // 4, 0, len(ids) - half // 4], ids.tolist(), at["size"])
+        frame = token_store.frame(docs, block)
+        read = [spark.createDataFrame([(bytearray(x), 100)], "frame binary, start long").select(F.inline(F.call_udf(call["ReadFrame"], "frame", "start"))) for x in (frame, frame[:-3] + bytes([frame[-3] ^ 16]) + frame[-2:])]
+        assert sorted(map(tuple, read[0].collect()), key=lambda r: (r[1], r[2])) == sorted(((d, 100 + s, len(x) // 4, zlib.crc32(x)) for (d, x), s in zip(docs, (0, half // 4, half // 4))), key=lambda r: (r[1], r[2]))
+        if len(ids):
+            with pytest.raises(Exception, match="checksum|no sound frame"):
+                read[1].collect()
+
+
+def test_documents_are_the_same_by_either_coder(spark):
+    lib, rng = Tokenizer.from_file(PATH), random.Random(4)
+    rows = [(i, " ".join(rng.choice(["alpha", "Été,", "x\ny", "beta..."]) for _ in range(rng.randrange(40)))) for i in range(60)] + [(None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted((len(x := lib.encode(t or "", add_special_tokens=False).ids + [0]), zlib.crc32(np.array(x, "<u4").tobytes())) for _, t in rows)
+    for large in (0, 150, token_store.LARGE):  # all frames by NumPy, some, none
+        manifest = token_store.write(df, shared_dir(spark, "ids"), PATH, block=30, per_frame=120, large=large)
+        for reads in (0, token_store.LARGE):
+            got = sorted(map(tuple, token_store.read(manifest, large=reads).collect()), key=lambda r: r[1])
+            assert [r[0] for r in got] == [None, *range(60)]
+            assert [r[1] for r in got] == [sum(r[2] for r in got[:i]) for i in range(61)]
+            assert sorted(r[2:] for r in got) == want
+
+
+def test_pieces_are_compared_by_all_their_bytes():
+    """Pieces of any length and of equal hashes, and line breaks, marks and texts for the library in any order."""
+    lib, rng = Tokenizer.from_file(PATH), random.Random(6)
+    parts = ["the", "Été", "\n", "\n\n", "123", "<|endoftext|>", "日本", "\xa0", " ", "---", "🙂", "\t", "a.", "b,\n", "Ã×÷", "×", "é" * 13, "s" * 24, "s" * 25, "s" * 26, "ª", "ÿ!", "'s", "\r\n", "\x00"]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", " ", " ", "\n"]) for _ in range(rng.randrange(30))) for _ in range(400)] + ["", " ", "\n", "a\n", "a\n\n", "a\n\n<|endoftext|>"]
+    want = [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    for change in (None, lambda words, tags: tags & np.uint64(1)):  # and hashes that tell nearly nothing
+        e = token_store.Encoder(PATH)
+        e.pieces._hashes = change or e.pieces._hashes
+        for _ in range(2):
+            assert [np.frombuffer(b, "<u4").tolist() for b in e.encode(texts)] == want
+        e.pieces.most = 5
+        assert [np.frombuffer(b, "<u4").tolist() for b in e.encode(texts[:50])] == want[:50]
+        assert [np.frombuffer(b, "<u4").tolist() for b in e.encode_by_dict(texts)] == want
