@@ -1,4 +1,4 @@
-"""Fuzzy line deduplication: MinHash over character shingles, banding, exact checks, union-find over lines.
+"""Fuzzy line deduplication: MinHash over character shingles (SignLines.java), banding, exact checks, union-find over lines.
 
 Each band's bucket first pairs its lines with one or two of them; checked links give first components, which are nearly
 all. Then lines of different components that share a bucket are compared: pair by pair in small buckets, in blocks in
@@ -20,6 +20,7 @@ from clusterloom.llm.buckets import LARGE, PACKED, Bloom, Packer, across, parts_
 from clusterloom.llm.common import drop_stored, let, pick, stored
 from clusterloom.llm.components import components
 from clusterloom.llm.hashing import _PLACES, _powers, mix, slices
+from clusterloom.llm.jvm import functions
 
 U = np.uint64
 #: Characters of a shingle. Shorter lines are duplicates only of equal ones.
@@ -42,6 +43,7 @@ _SHORT_PLACES = _rng.integers(1, 1 << 31, GRAM, dtype=np.uint32) * np.uint32(2)
 #: to the similarity of two lines of n shingles: less than 0.008.
 MANY = 1024
 _NONE = U(1 << 32)
+SOURCES = ("SignLines",)
 
 
 def _banded(least: np.ndarray, seed: int) -> np.ndarray:
@@ -110,6 +112,11 @@ def similar(x: list[str], y: list[str], similarity: float) -> np.ndarray:
     return common >= similarity * (total - common)
 
 
+def keys_of(sums: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The keys of lines, from the sums of their characters' hashes and their numbers of characters."""
+    return mix(sums + lengths * _PLACES[1])
+
+
 class Lines:
     """The lines of a run of texts: their keys (hashes of the whole line, A-Z in lower case), texts and numbers."""
 
@@ -141,7 +148,7 @@ class Lines:
         self.starts, self.ends = starts[shown], ends[shown]
         self.of = np.searchsorted(at[1:], self.starts, "right")
         self.number = np.searchsorted(newline, self.starts) - np.searchsorted(newline, at[:-1])[self.of]
-        self.keys = mix(total[shown] * down[self.starts] + (self.ends - self.starts).astype(np.uint64) * _PLACES[1])
+        self.keys = keys_of(total[shown] * down[self.starts], (self.ends - self.starts).astype(np.uint64))
 
     @staticmethod
     def _blank(chars: np.ndarray) -> np.ndarray:
@@ -205,7 +212,7 @@ class Lines:
         return _banded(out.T, BANDS)
 
     def signed(self, chosen: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(lines, their signatures): lines of MANY distinct 16-bit hashes or more at once, others row by row, and those that may
+        """(lines, their signatures), as duplicate_lines() had them before SignLines.java: lines of MANY distinct 16-bit hashes or more at once, others row by row, and those that may
         have partners of both kinds both ways."""
         long = chosen[self.ends[chosen] - self.starts[chosen] - GRAM + 1 >= similarity * MANY]
         distinct, met = np.zeros(len(long), np.int64), np.zeros(1 << 16, bool)
@@ -273,16 +280,13 @@ def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 )
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, seen = Packer(parts), set()
+        packer = Packer(parts)
         for batch in batches:
-            for _, data, offsets in slices(batch.column(0)):
-                x = Lines(data, offsets)
-                at = np.flatnonzero(x.ends - x.starts >= GRAM)
-                chosen = at[_fresh(x.keys[at], seen)] if len(at) else at
-                for own, signatures in x.signed(chosen, similarity):
-                    for key, sigs in zip(x.keys[own].view(np.int64).tolist(), signatures):
-                        if out := packer.add(sigs, key):
-                            yield out
+            for signed in batch.column(0).drop_null().to_pylist():
+                rows = np.frombuffer(signed, dtype="<u8").reshape(-1, 2 + BANDS)
+                for key, sigs in zip(keys_of(rows[:, 0], rows[:, 1]).view(np.int64).tolist(), rows[:, 2:]):
+                    if out := packer.add(sigs, key):
+                        yield out
         if out := packer.flush():
             yield out
 
@@ -290,7 +294,7 @@ def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "version", "line")
     firsts = stored(lines.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n")), "lines")
     parts = max(PARTS, parts_for(spark, firsts.count() * BANDS))
-    found = stored(stars(own.select("text").mapInArrow(sign, PACKED), members=True), "pairs")
+    found = stored(stars(own.select(F.call_udf(functions(spark, SOURCES, SignLines="binary")["SignLines"], "text").alias("signed")).mapInArrow(sign, PACKED), members=True), "pairs")
     pairs = stored(found.where("kind = 0").select("a", "b").distinct(), "pairs")
     bloom = Bloom.of(pairs.select(F.explode(F.array("a", "b")).alias("key")), "key")
 

@@ -1,8 +1,9 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from clusterloom.llm import line_dedup
+from clusterloom.llm import jvm, line_dedup
 
 
 def grams(s):
@@ -199,3 +200,36 @@ def test_two_rows_a_hash_and_only_long_lines_hashed_whole(monkeypatch):
     assert len(few) == len(lines) and many.tolist() == [len(lines)] and hashed == [3000]
     alike = (signatures[::2] == signatures[1::2]).mean()
     assert abs(alike - np.mean(want)) < 0.02
+
+
+def test_java_signs_the_lines_that_numpy_finds(spark):
+    """Java's lines have the keys of Lines, repeated ones once; bands of lines of any length are alike as often as the formula says."""
+    rng = random.Random(16)
+    call = jvm.functions(spark, line_dedup.SOURCES, SignLines="binary")["SignLines"]
+
+    def signed(texts):
+        rows = spark.createDataFrame([(i, bytearray(t.encode()) if t is not None else None) for i, t in enumerate(texts)], "i int, text binary").repartition(1)
+        got = rows.sortWithinPartitions("i").select("i", F.call_udf(call, "text").alias("signed")).collect()
+        return [r["signed"] if r["signed"] is None else np.frombuffer(r["signed"], "<u8").reshape(-1, 2 + line_dedup.BANDS) for r in sorted(got, key=lambda r: r["i"])]
+
+    hostile = [None, "", "\n\n", "abcd\nabcde\n", " \t \x0b \n  \x1c   \nABCDÉ Z", "🙂🙂🙂🙂\n🙂🙂🙂🙂🙂\nabcdé z", "日本語の文字" * 50 + "\n\r\n" + "x" * 30_000, "ABCDE\nabcde"]
+    got, met = signed(hostile), set()
+    for text, rows in zip(hostile, got):
+        assert (rows is None) == (text is None)
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        lines = line_dedup.Lines(data, np.array([0, len(data)]))
+        want = [k for k in dict.fromkeys(lines.keys[lines.ends - lines.starts >= line_dedup.GRAM].tolist()) if k not in met]
+        met.update(want)
+        assert (line_dedup.keys_of(rows[:, 0], rows[:, 1]).tolist() if text is not None else []) == want
+    for n, edits in ((8, 1), (30, 1), (116, 3), (400, 9), (2000, 40)):
+        texts, want = [], []
+        for _ in range(300):
+            a = [rng.choice("abcdefgh") for _ in range(n + 4)]
+            b = [*a]
+            for i in rng.sample(range(n + 4), edits):
+                b[i] = "z"
+            x, y = grams("".join(a)), grams("".join(b))
+            want.append((len(x & y) / len(x | y)) ** line_dedup.ROWS)
+            texts.append("".join(a) + "\n" + "".join(b))
+        found = [r for r in signed(texts) if len(r) == 2]
+        assert len(found) > 280 and abs(np.mean([(r[0, 2:] == r[1, 2:]).mean() for r in found]) - np.mean(want)) < 0.02
